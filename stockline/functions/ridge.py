@@ -11,6 +11,12 @@ pivoting is needed.  The same expression text runs in Spark SQL and DuckDB.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+
 # Trend plus annual, semiannual and quarterly Fourier terms.
 FEATURES: list[tuple[str, str]] = [
     ("t", "{t}"),
@@ -93,3 +99,58 @@ def prediction_expr(prefix: str) -> str:
     """intercept + Σ w_j x_j, with the features x_* of the current row."""
     terms = " + ".join(f"{prefix}{COEFFICIENTS[j]} * x_{name}" for j, (name, _) in enumerate(FEATURES))
     return f"{prefix}intercept + {terms}"
+
+
+def merged_stages(prefixes: tuple[str, ...], alpha: float) -> list[list[tuple[str, str]]]:
+    """The solve stages of several moment sets run side by side (same depth)."""
+    per = [solve_stages(p, alpha) for p in prefixes]
+    return [sum(group, []) for group in zip(*per)]
+
+
+_IDENT = re.compile(r"\b[a-z]+_[a-z0-9_]+\b")
+
+
+def live_columns(stages: list[list[tuple[str, str]]], keep: set[str]) -> list[set[str]]:
+    """For each stage, the generated columns still needed after it runs."""
+    needed = set(keep)
+    out: list[set[str]] = []
+    for stage in reversed(stages):
+        out.append(set(needed))
+        for name, expr in stage:
+            needed.discard(name)
+        for _, expr in stage:
+            needed |= set(_IDENT.findall(expr))
+    return list(reversed(out))
+
+
+def solve_batches(prefixes: Sequence[str], carry: Sequence[str], alpha: float):
+    """mapInPandas function: moments (one row per series) -> coefficients.
+
+    The same centred normal equations as ``solve_stages``, solved with a
+    batched LAPACK call over all series of an Arrow batch.  Only the bounded
+    one-row-per-series table passes through Python.
+    """
+    carry = list(carry)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        eye = np.eye(K)[None]
+        for pdf in batches:
+            out = pdf[carry].copy()
+            for p in prefixes:
+                n = pdf[f"{p}n"].to_numpy(dtype=float)
+                sy = pdf[f"{p}sy"].to_numpy(dtype=float)
+                sx = np.stack([pdf[f"{p}sx{j}"].to_numpy(dtype=float) for j in range(K)], axis=1)
+                sxy = np.stack([pdf[f"{p}sxy{j}"].to_numpy(dtype=float) for j in range(K)], axis=1)
+                sxx = np.empty((len(pdf), K, K))
+                for j in range(K):
+                    for k in range(j, K):
+                        sxx[:, j, k] = sxx[:, k, j] = pdf[f"{p}sxx{j}_{k}"].to_numpy(dtype=float)
+                a = sxx - sx[:, :, None] * sx[:, None, :] / n[:, None, None] + alpha * eye
+                b = sxy - sx * (sy / n)[:, None]
+                w = np.linalg.solve(a, b[..., None])[..., 0] if len(pdf) else np.empty((0, K))
+                out[f"{p}intercept"] = sy / n - (sx / n[:, None] * w).sum(axis=1)
+                for j, name in enumerate(COEFFICIENTS):
+                    out[f"{p}{name}"] = w[:, j]
+            yield out
+
+    return run

@@ -21,12 +21,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ridge
 from ..functions.numeric import round_half_up
 from ..tables import Tables
 
 ANNUAL = 52
+# Unrounded statistics of the forecast (coefficients, predictions, errors) come
+# from floating sums whose order depends on partitioning; they are reported
+# rounded to this many decimals so reruns give identical values.
+REPORT_DECIMALS = 6
 
 
 @dataclass(frozen=True)
@@ -65,9 +70,13 @@ def accuracy_metrics(actual: str, predicted: str) -> list:
     ]
 
 
-def _apply_stages(df: DataFrame, stages: list[list[tuple[str, str]]]) -> DataFrame:
-    for stage in stages:
-        df = df.select("*", *[F.expr(expr).alias(name) for name, expr in stage])
+def _apply_stages(df: DataFrame, stages: list[list[tuple[str, str]]], carry: list[str], keep: set[str]) -> DataFrame:
+    """Run the solve stages, keeping only columns a later stage or the output needs."""
+    live = ridge.live_columns(stages, keep)
+    for stage, after in zip(stages, live):
+        produced = {name for name, _ in stage}
+        kept = [c for c in df.columns if c in after and c not in produced and c not in carry]
+        df = df.select(*carry, *kept, *[F.expr(expr).alias(name) for name, expr in stage if name in after])
     return df
 
 
@@ -77,8 +86,14 @@ def forecast(
     periods: int = 12,
     test_weeks: int = 12,
     alpha: float = 1.0,
+    solver: str = "numpy",
 ) -> ForecastResult:
-    """G1-G11 for every series of ``weekly`` (columns: keys, week_start, demand_units)."""
+    """G1-G11 for every series of ``weekly`` (columns: keys, week_start, demand_units).
+
+    ``solver="numpy"`` solves the per-series 7x7 systems with a batched LAPACK
+    call in ``mapInPandas`` (one row per series crosses to Python);
+    ``solver="sql"`` uses the generated elimination expressions (JVM only).
+    """
     if periods <= 0 or test_weeks <= 0:
         raise ValueError("Forecast and test horizons must be positive")
     keys = list(keys)
@@ -117,8 +132,18 @@ def forecast(
         F.max("n_obs").alias("n_obs"),
         F.max("week_start").alias("last_week"),
     )
-    solved = _apply_stages(moments, ridge.solve_stages("h_", alpha) + ridge.solve_stages("f_", alpha))
     coef_cols = ["intercept"] + ridge.COEFFICIENTS
+    outputs = {f"{p}{c}" for p in ("h_", "f_") for c in coef_cols}
+    carry = [*keys, "n_obs", "last_week"]
+    if solver == "sql":
+        solved = _apply_stages(moments, ridge.merged_stages(("h_", "f_"), alpha), carry, outputs)
+    elif solver == "numpy":
+        schema = T.StructType(
+            [moments.schema[c] for c in carry] + [T.StructField(c, T.DoubleType()) for c in sorted(outputs)]
+        )
+        solved = moments.mapInPandas(ridge.solve_batches(("h_", "f_"), carry, alpha), schema)
+    else:
+        raise ValueError(f"Unknown solver: {solver}")
     models = solved.select(
         *keys,
         "n_obs",
@@ -137,12 +162,13 @@ def forecast(
         F.greatest(F.lit(0.0), F.expr(ridge.prediction_expr("h_"))).alias("predicted_demand"),
         F.col("seasonal_naive_demand").cast("double").alias("seasonal_naive_demand"),
     )
+    r = REPORT_DECIMALS
 
     # Accuracy, baseline accuracy and the residual band.
     mae, mape = accuracy_metrics("actual_demand", "predicted_demand")
     base_mae, base_mape = accuracy_metrics("actual_demand", "seasonal_naive_demand")
     residual = F.col("actual_demand") - F.col("predicted_demand")
-    metrics = validation.groupBy(*keys).agg(
+    raw_metrics = validation.groupBy(*keys).agg(
         mae.alias("mae"),
         mape.alias("mape"),
         base_mae.alias("baseline_mae"),
@@ -150,11 +176,13 @@ def forecast(
         F.least(F.percentile(residual, F.lit(0.1)), F.lit(0.0)).alias("residual_lower"),
         F.greatest(F.percentile(residual, F.lit(0.9)), F.lit(0.0)).alias("residual_upper"),
     )
+    metric_cols = ["mae", "mape", "baseline_mae", "baseline_mape", "residual_lower", "residual_upper"]
+    metrics = raw_metrics.select(*keys, *[round_half_up(c, r).alias(c) for c in metric_cols])
 
     # Refit on all rows; future weeks from the first Monday after the
     # last observed week + 6 days.
     steps = F.explode(F.sequence(F.lit(0), F.lit(periods - 1))).alias("step")
-    future_base = models.join(metrics.select(*keys, "residual_lower", "residual_upper"), keys).select(
+    future_base = models.join(raw_metrics.select(*keys, "residual_lower", "residual_upper"), keys).select(
         "*", steps
     )
     t_future = (F.col("n_obs") + F.col("step")).alias("t")
@@ -172,11 +200,14 @@ def forecast(
         round_half_up(F.greatest(point + F.col("residual_upper"), F.lit(0.0)), 1).alias("upper_80"),
     )
     coefficients = models.select(
-        *keys, "n_obs", *[F.col(f"h_{c}") for c in coef_cols], *[F.col(f"f_{c}") for c in coef_cols]
+        *keys,
+        "n_obs",
+        *[round_half_up(f"h_{c}", r).alias(f"h_{c}") for c in coef_cols],
+        *[round_half_up(f"f_{c}", r).alias(f"f_{c}") for c in coef_cols],
     )
     return ForecastResult(
         history=history.drop("n_obs"),
-        validation=validation,
+        validation=validation.withColumn("predicted_demand", round_half_up("predicted_demand", r)),
         future=future,
         metrics=metrics,
         coefficients=coefficients,
@@ -211,8 +242,10 @@ def forecast_kpis(result: ForecastResult, keys: Sequence[str], periods: int = 12
         .select(
             *keys,
             "forecast_total",
-            (F.col("forecast_total") / F.lit(float(periods))).alias("forecast_weekly_average"),
-            improvement.alias("improvement_vs_naive_pct"),
+            round_half_up(F.col("forecast_total") / F.lit(float(periods)), REPORT_DECIMALS).alias(
+                "forecast_weekly_average"
+            ),
+            round_half_up(improvement, REPORT_DECIMALS).alias("improvement_vs_naive_pct"),
             "last_actual",
         )
     )

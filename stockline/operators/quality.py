@@ -135,12 +135,15 @@ def _summary_row(rule_id: str, family: str, table: str, violations: Column) -> l
     ]
 
 
-def row_rule_counts(t: Tables, family: str | None = None) -> DataFrame:
+def row_rule_counts(t: Tables, families: tuple[str, ...] | None = None, only: set[str] | None = None) -> DataFrame:
     """Row-level rules, one aggregate pass per table, unpivoted to rule rows."""
     frames = t.frames()
     parts = []
     for table in TABLE_NAMES:
-        rules = [r for r in row_rules() if r.table == table and (family is None or r.family == family)]
+        rules = [
+            r for r in row_rules()
+            if r.table == table and (families is None or r.family in families) and (only is None or r.rule_id in only)
+        ]
         if not rules:
             continue
         counts = frames[table].agg(
@@ -155,7 +158,7 @@ def row_rule_counts(t: Tables, family: str | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _duplicate_rows(df: DataFrame, cols: tuple[str, ...]) -> Column:
+def _duplicate_rows(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
     """Rows beyond the first per key value (what ``duplicated()`` flags)."""
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("v")
@@ -163,23 +166,30 @@ def _duplicate_rows(df: DataFrame, cols: tuple[str, ...]) -> Column:
 
 
 def primary_key_counts(t: Tables) -> DataFrame:
-    """B1/B2: empty tables, NULL keys and duplicated keys."""
+    """B1/B2: empty tables, NULL keys and duplicated keys.
+
+    One grouped count per table gives all three: NULL keys group together, the
+    row total comes from the group sizes and duplicates are size - 1 per key.
+    """
     frames = t.frames()
     parts = []
     for table in TABLE_NAMES:
         key = PRIMARY_KEYS[table]
-        df = frames[table].select(*key)
-        nulls = df.agg(
-            F.count(F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key]), 1)).alias("v"),
-            F.count(F.lit(1)).alias("rows"),
+        null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+        sizes = frames[table].groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        stats = sizes.agg(
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"),
+            F.coalesce(F.sum(F.when(null_key, F.col("_n"))), F.lit(0)).alias("_nulls"),
+            F.coalesce(F.sum(F.when(~null_key, F.col("_n") - 1)), F.lit(0)).alias("_dups"),
         )
-        dups = _duplicate_rows(df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])), key)
-        parts.append(nulls.select(*_summary_row(f"non_empty.{table}", "non_empty", table,
-                                                F.when(F.col("rows") == 0, 1).otherwise(0))))
+        pk_rule = f"pk.{table}.{'_'.join(key)}"
         parts.append(
-            nulls.crossJoin(dups.withColumnRenamed("v", "d")).select(
-                *_summary_row(f"pk.{table}.{'_'.join(key)}", "primary_key", table, F.col("v") + F.col("d"))
-            )
+            stats.select(
+                F.expr(
+                    f"stack(2, 'non_empty.{table}', 'non_empty', CAST(CASE WHEN _rows = 0 THEN 1 ELSE 0 END AS BIGINT), "
+                    f"'{pk_rule}', 'primary_key', _nulls + _dups) as (rule_id, family, violations)"
+                )
+            ).select("rule_id", "family", F.lit(table).alias("table_name"), F.col("violations").cast("bigint"))
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -201,10 +211,12 @@ def _orphans(t: Tables, child: str, ccol: str, parent: str, pcol: str) -> DataFr
     return kids.join(keys, F.col(ccol) == F.col("_parent_key"), "left_anti")
 
 
-def foreign_key_counts(t: Tables) -> DataFrame:
+def foreign_key_counts(t: Tables, only: set[str] | None = None) -> DataFrame:
     """Child rows whose key has no parent (left-anti join per constraint)."""
     parts = []
     for rule_id, child, ccol, parent, pcol in FOREIGN_KEYS:
+        if only is not None and rule_id not in only:
+            continue
         parts.append(
             _orphans(t, child, ccol, parent, pcol)
             .agg(F.count(F.lit(1)).alias("v"))
@@ -213,12 +225,29 @@ def foreign_key_counts(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dq_summary(t: Tables) -> DataFrame:
-    """All rules: (rule_id, family, table_name, violations)."""
-    return reduce(
-        DataFrame.unionByName,
-        [primary_key_counts(t), unique_counts(t), foreign_key_counts(t), row_rule_counts(t)],
-    )
+ROW_FAMILIES = ("not_null", "range", "cross_column", "date_order", "status")
+FAMILIES = ("non_empty", "primary_key", "unique", "foreign_key", *ROW_FAMILIES)
+
+
+def dq_summary(t: Tables, families: tuple[str, ...] | None = None) -> DataFrame:
+    """Rules of the given families (all by default): (rule_id, family, table_name,
+    violations).  Only the requested checks are planned, so a single family
+    costs one pass over the tables it touches."""
+    wanted = set(families or FAMILIES)
+    unknown = wanted - set(FAMILIES)
+    if unknown:
+        raise ValueError(f"Unknown rule families: {sorted(unknown)}")
+    parts = []
+    if wanted & {"non_empty", "primary_key"}:
+        parts.append(primary_key_counts(t).where(F.col("family").isin(*wanted)))
+    if "unique" in wanted:
+        parts.append(unique_counts(t))
+    if "foreign_key" in wanted:
+        parts.append(foreign_key_counts(t))
+    row_families = [f for f in ROW_FAMILIES if f in wanted]
+    if row_families:
+        parts.append(row_rule_counts(t, tuple(row_families)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def quarantine(t: Tables, rule_id: str) -> DataFrame:
@@ -294,7 +323,15 @@ def validate_tables(t: Tables, scope: str = "loader") -> None:
     ``scope="all"`` then also enforces every schema constraint of
     ``dq_summary`` (message ``Constraint violated: <rule_id> (<n> rows)``).
     """
-    counts = {r["rule_id"]: r["violations"] for r in dq_summary(t).collect()}
+    if scope == "all":
+        summary = dq_summary(t)
+    else:
+        gate_ids = {rule_id for rule_id, _ in GATE}
+        summary = reduce(
+            DataFrame.unionByName,
+            [primary_key_counts(t), foreign_key_counts(t, gate_ids), row_rule_counts(t, only=gate_ids)],
+        )
+    counts = {r["rule_id"]: r["violations"] for r in summary.collect()}
     ordered = []
     for tbl, k in PRIMARY_KEYS.items():
         ordered.append((f"non_empty.{tbl}", f"{tbl} is empty"))

@@ -57,7 +57,7 @@ def selector_lists(t: Tables) -> DataFrame:
 
 def _dq_family(*families: str) -> Callable[[Tables], DataFrame]:
     def run(t: Tables) -> DataFrame:
-        return quality.dq_summary(t).where(F.col("family").isin(*families))
+        return quality.dq_summary(t, families)
 
     return run
 

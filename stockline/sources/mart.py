@@ -59,8 +59,21 @@ def _line_key() -> Column:
     )
 
 
-def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Tables:
-    """Lazy projection; nothing runs until an operator's result is evaluated."""
+LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+    "l_returnflag", "d", "warehouse_id",
+)
+
+
+def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage_dir: str | None = None) -> Tables:
+    """Lazy projection; nothing runs until an operator's result is evaluated.
+
+    ``stage_dir`` (a folder in shared storage) makes the lineitem -> order ->
+    customer -> nation join run once: its narrow result is written there and
+    the three fact tables are derived from that file instead of each
+    repeating the large join (use it when all tables are written, as in a
+    publish).
+    """
     lineitem = _read(spark, sf_dir, "lineitem")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -108,6 +121,9 @@ def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Ta
     lines = lineitem.join(order_warehouse, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
         "d", F.to_date("l_shipdate")
     )
+    if stage_dir:
+        lines.select(*LINE_COLUMNS).write.mode("overwrite").parquet(stage_dir)
+        lines = spark.read.parquet(stage_dir)
 
     weekly_sales = _weekly_sales(lines, products)
     part_attrs = products.select("product_id", "unit_cost", "lead_time_days", F.col("lead_time_days").alias("_lead"))
