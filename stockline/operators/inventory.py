@@ -26,8 +26,17 @@ def latest_week(t: Tables) -> Column:
 
 
 def trailing_sales(t: Tables, window_days: int = rules.DEMAND_WINDOW_DAYS) -> DataFrame:
-    """Sales rows with week_start > latest week - window (12 Mondays for 84 days)."""
-    return t.weekly_sales.where(F.col("week_start") > F.date_sub(latest_week(t), window_days))
+    """Sales rows with week_start > latest week - window (12 Mondays for 84 days).
+
+    On a published snapshot (partitioned by ``sales_month``) the same cutoff is
+    also stated on the partition column; Spark evaluates the scalar subquery
+    first and then lists only the last few month partitions.
+    """
+    cutoff = F.date_sub(latest_week(t), window_days)
+    recent = F.col("week_start") > cutoff
+    if "sales_month" in t.weekly_sales.columns:
+        recent = recent & (F.col("sales_month") >= F.trunc(cutoff, "month"))
+    return t.weekly_sales.where(recent)
 
 
 def recent_demand(t: Tables, window_days: int = rules.DEMAND_WINDOW_DAYS) -> DataFrame:

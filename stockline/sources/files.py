@@ -3,7 +3,8 @@
 * ``read_tables`` reads a folder with one entry per table, always with the
   declared schema (never inferred).
 * ``write_tables`` is the sink: one folder per table; ``weekly_sales`` is
-  partitioned by year so trailing-window reads prune old partitions.
+  partitioned by month (``sales_month``, first day of the month) so the
+  trailing 12-week reads prune all but the last few partitions.
 * ``publish_tables`` is the full-refresh load: run the quality gate first, then
   write everything to a new snapshot folder and return its path.  Readers only
   ever see complete snapshots, which replaces the reference's single SQLite
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..tables import TABLE_NAMES, Tables, to_date
 from .schemas import SCHEMAS
 
-SALES_PARTITION = "sales_year"
+SALES_PARTITION = "sales_month"
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -69,7 +70,11 @@ def write_tables(tables: Tables, root: str, fmt: str = "parquet") -> str:
     for name, df in tables.frames().items():
         writer = df
         if name == "weekly_sales" and fmt == "parquet":
-            writer = df.withColumn(SALES_PARTITION, F.year("week_start"))
+            # Range-partition on (month, position) so each task writes one or two
+            # month folders instead of a file in every month.
+            writer = df.withColumn(SALES_PARTITION, F.trunc("week_start", "month")).repartitionByRange(
+                SALES_PARTITION, "product_id", "warehouse_id"
+            )
             out = writer.write.mode("overwrite").partitionBy(SALES_PARTITION)
         else:
             out = writer.write.mode("overwrite")
@@ -81,12 +86,13 @@ def write_tables(tables: Tables, root: str, fmt: str = "parquet") -> str:
 
 
 def read_published(spark: SparkSession, root: str, as_of: dt.date | str) -> Tables:
-    """Read a snapshot written by ``write_tables`` / ``publish_tables`` (parquet)."""
+    """Read a snapshot written by ``write_tables`` / ``publish_tables`` (parquet).
+
+    ``weekly_sales`` keeps its ``sales_month`` partition column so date-window
+    filters can add a partition predicate (see ``operators.inventory``).
+    """
     root = root.rstrip("/")
-    frames = {}
-    for name in TABLE_NAMES:
-        df = spark.read.parquet(f"{root}/{name}")
-        frames[name] = df.drop(SALES_PARTITION) if name == "weekly_sales" else df
+    frames = {name: spark.read.parquet(f"{root}/{name}") for name in TABLE_NAMES}
     return Tables(as_of=to_date(as_of), **frames)
 
 
