@@ -41,6 +41,27 @@ def table_counts(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def load_tables(t: Tables) -> DataFrame:
+    """A1: the typed table set: rows, columns and declared-schema problems per table.
+
+    Column contracts are checked on the schema (no job); counts are one
+    aggregate per table.  Integral ids of the projected tables are accepted
+    in place of the string ids of the CSV layout.
+    """
+    from ..functions.contracts import check_contract
+    from ..sources.schemas import SCHEMAS
+
+    parts = []
+    for name, df in t.frames().items():
+        problems = len(check_contract(df, SCHEMAS[name], strict_types=False))
+        parts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count",
+            F.lit(len(SCHEMAS[name].fields)).alias("column_count"),
+            F.lit(problems).alias("contract_problems"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def selector_lists(t: Tables) -> DataFrame:
     """Distinct (id, name) pairs for warehouses and products, sorted areas."""
     wh = t.warehouses.select(
@@ -100,6 +121,7 @@ def _seasonal_naive(t: Tables) -> DataFrame:
 
 SPARK_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # A — sources, preparation
+    "load_tables": load_tables,
     "table_counts": table_counts,
     "selector_lists": selector_lists,
     "inventory_health_filtered": lambda t: inventory.inventory_health_report(t, EXAMPLE_WAREHOUSE, EXAMPLE_AREA),
