@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.numeric import extended_value, round_half_up, safe_divide
+from ..functions.numeric import extended_value, round_half_up, safe_divide, to_double
 from ..tables import Tables
 
 POSITION = ["product_id", "warehouse_id"]
@@ -203,8 +203,9 @@ def last_n_mean_demand(t: Tables, n: int = 12) -> DataFrame:
 def position_demand_stats(t: Tables) -> DataFrame:
     """Per position: weeks observed, sample stddev and mean of weekly demand."""
     return t.weekly_sales.groupBy(*POSITION).agg(
-        F.count("demand_units").alias("observations"),
-        F.stddev_samp(F.col("demand_units").cast("double")).alias("demand_stddev"),
+        F.count(to_double("demand_units")).alias("observations"),
+        # non-numeric input becomes NULL and is skipped (coercion, ANSI-safe)
+        F.stddev_samp(to_double("demand_units")).alias("demand_stddev"),
         F.avg("demand_units").alias("avg_weekly_demand"),
     )
 

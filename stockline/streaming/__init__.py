@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analytics this library rebuilds are batch reports over a full snapshot of
+six tables (a full-refresh load followed by metric queries); they define no
+stream, watermark, window over event time or stateful operator.  New data
+arrives as a new published snapshot (``sources.files.publish_tables``) that
+every operator reads as a batch.
+"""
