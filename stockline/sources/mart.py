@@ -233,12 +233,17 @@ def _purchase_orders(lines: DataFrame, part_attrs: DataFrame, as_of: dt.date) ->
     )
 
 
-_CACHE: dict[tuple[int, str], Tables] = {}
+_CACHE: dict[tuple[int, str, str], Tables] = {}
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """Memoized ``build_tables`` per (session, folder); the frames stay lazy."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    """Memoized ``build_tables`` per (session, application, folder); the frames stay lazy.
+
+    The application id is part of the key so a stopped and recreated session
+    never gets frames bound to the old one.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
+        _CACHE.clear()
         _CACHE[key] = build_tables(spark, sf_dir)
     return _CACHE[key]
