@@ -32,11 +32,10 @@ class RowRule:
     rule_id: str
     family: str
     table: str
-    condition: Column  # must hold for a valid row
+    condition: str  # SQL predicate that must hold for a valid row
 
-
-def _c(name: str) -> Column:
-    return F.col(name)
+    def column(self) -> Column:
+        return F.expr(self.condition)
 
 
 NOT_NULL_COLUMNS: dict[str, tuple[str, ...]] = {
@@ -61,10 +60,11 @@ NOT_NULL_COLUMNS: dict[str, tuple[str, ...]] = {
 
 
 def row_rules() -> list[RowRule]:
+    """All row-level rules as SQL predicates (Columns are built only when used)."""
     rules: list[RowRule] = []
     for table, cols in NOT_NULL_COLUMNS.items():
         for c in cols:
-            rules.append(RowRule(f"not_null.{table}.{c}", "not_null", table, _c(c).isNotNull()))
+            rules.append(RowRule(f"not_null.{table}.{c}", "not_null", table, f"{c} IS NOT NULL"))
     positive = {
         "suppliers": ("contracted_lead_time_days",),
         "products": ("unit_cost", "lead_time_days"),
@@ -77,30 +77,30 @@ def row_rules() -> list[RowRule]:
     }
     for table, cols in positive.items():
         for c in cols:
-            rules.append(RowRule(f"range.{table}.{c}_positive", "range", table, _c(c) > 0))
+            rules.append(RowRule(f"range.{table}.{c}_positive", "range", table, f"{c} > 0"))
     for table, cols in non_negative.items():
         for c in cols:
-            rules.append(RowRule(f"range.{table}.{c}_non_negative", "range", table, _c(c) >= 0))
+            rules.append(RowRule(f"range.{table}.{c}_non_negative", "range", table, f"{c} >= 0"))
+    statuses = ", ".join(f"'{v}'" for v in PO_STATUSES)
     rules += [
-        RowRule("cross.products.price_ge_cost", "cross_column", "products", _c("unit_price") >= _c("unit_cost")),
-        RowRule("cross.weekly_sales.sold_le_demand", "cross_column", "weekly_sales",
-                _c("units_sold") <= _c("demand_units")),
+        RowRule("cross.products.price_ge_cost", "cross_column", "products", "unit_price >= unit_cost"),
+        RowRule("cross.weekly_sales.sold_le_demand", "cross_column", "weekly_sales", "units_sold <= demand_units"),
         RowRule("cross.weekly_sales.lost_eq_demand_minus_sold", "cross_column", "weekly_sales",
-                _c("lost_sales_units") == _c("demand_units") - _c("units_sold")),
+                "lost_sales_units = demand_units - units_sold"),
         RowRule("cross.purchase_orders.received_le_ordered", "cross_column", "purchase_orders",
-                _c("received_quantity") <= _c("ordered_quantity")),
+                "received_quantity <= ordered_quantity"),
         RowRule("cross.purchase_orders.accepted_le_received", "cross_column", "purchase_orders",
-                _c("accepted_quantity") <= _c("received_quantity")),
+                "accepted_quantity <= received_quantity"),
         RowRule("date.inventory_batches.expiry_after_manufacture", "date_order", "inventory_batches",
-                _c("expiry_date") > _c("manufacture_date")),
+                "expiry_date > manufacture_date"),
         RowRule("date.purchase_orders.promised_on_or_after_order", "date_order", "purchase_orders",
-                _c("promised_delivery_date") >= _c("order_date")),
+                "promised_delivery_date >= order_date"),
         RowRule("date.purchase_orders.actual_on_or_after_order", "date_order", "purchase_orders",
-                _c("actual_delivery_date").isNull() | (_c("actual_delivery_date") >= _c("order_date"))),
-        RowRule("status.purchase_orders.domain", "status", "purchase_orders", _c("status").isin(*PO_STATUSES)),
+                "actual_delivery_date IS NULL OR actual_delivery_date >= order_date"),
+        RowRule("status.purchase_orders.domain", "status", "purchase_orders", f"status IN ({statuses})"),
         RowRule("status.purchase_orders.actual_date_iff_delivered", "status", "purchase_orders",
-                ((_c("status") == "Delivered") & _c("actual_delivery_date").isNotNull())
-                | (_c("status").isin("Open", "Cancelled") & _c("actual_delivery_date").isNull())),
+                "(status = 'Delivered' AND actual_delivery_date IS NOT NULL) "
+                "OR (status IN ('Open', 'Cancelled') AND actual_delivery_date IS NULL)"),
     ]
     return rules
 
@@ -139,15 +139,16 @@ def row_rule_counts(t: Tables, families: tuple[str, ...] | None = None, only: se
     """Row-level rules, one aggregate pass per table, unpivoted to rule rows."""
     frames = t.frames()
     parts = []
+    all_rules = row_rules()
     for table in TABLE_NAMES:
         rules = [
-            r for r in row_rules()
+            r for r in all_rules
             if r.table == table and (families is None or r.family in families) and (only is None or r.rule_id in only)
         ]
         if not rules:
             continue
         counts = frames[table].agg(
-            *[F.count(F.when(~r.condition, 1)).alias(f"_v{i}") for i, r in enumerate(rules)]
+            *[F.count(F.when(~r.column(), 1)).alias(f"_v{i}") for i, r in enumerate(rules)]
         )
         stack = ", ".join(f"'{r.rule_id}', '{r.family}', _v{i}" for i, r in enumerate(rules))
         parts.append(
@@ -255,7 +256,7 @@ def quarantine(t: Tables, rule_id: str) -> DataFrame:
     frames = t.frames()
     for r in row_rules():
         if r.rule_id == rule_id:
-            return frames[r.table].where(~r.condition)
+            return frames[r.table].where(~r.column())
     for rid, child, ccol, parent, pcol in FOREIGN_KEYS:
         if rid == rule_id:
             return _orphans(t, child, ccol, parent, pcol)
