@@ -126,17 +126,26 @@ FOREIGN_KEYS: list[tuple[str, str, str, str, str]] = [
 ]
 
 
-def _summary_row(rule_id: str, family: str, table: str, violations: Column) -> list[Column]:
+def _summary_row(rule_id: str, family: str, table: str, violations: str) -> list[str]:
+    """SQL select items of one summary row (``violations`` is an expression)."""
     return [
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(family).alias("family"),
-        F.lit(table).alias("table_name"),
-        violations.cast("bigint").alias("violations"),
+        f"'{rule_id}' AS rule_id",
+        f"'{family}' AS family",
+        f"'{table}' AS table_name",
+        f"CAST({violations} AS BIGINT) AS violations",
     ]
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def row_rule_counts(t: Tables, families: tuple[str, ...] | None = None, only: set[str] | None = None) -> DataFrame:
-    """Row-level rules, one aggregate pass per table, unpivoted to rule rows."""
+    """Row-level rules, one aggregate pass per table, unpivoted to rule rows.
+
+    The rules are SQL predicates, so each table's counts are a single global
+    aggregate written as select expressions.
+    """
     frames = t.frames()
     parts = []
     all_rules = row_rules()
@@ -147,23 +156,21 @@ def row_rule_counts(t: Tables, families: tuple[str, ...] | None = None, only: se
         ]
         if not rules:
             continue
-        counts = frames[table].agg(
-            *[F.count(F.when(~r.column(), 1)).alias(f"_v{i}") for i, r in enumerate(rules)]
+        counts = frames[table].selectExpr(
+            *[f"count(CASE WHEN NOT ({r.condition}) THEN 1 END) AS _v{i}" for i, r in enumerate(rules)]
         )
         stack = ", ".join(f"'{r.rule_id}', '{r.family}', _v{i}" for i, r in enumerate(rules))
         parts.append(
-            counts.select(F.expr(f"stack({len(rules)}, {stack}) as (rule_id, family, violations)")).select(
-                "rule_id", "family", F.lit(table).alias("table_name"), F.col("violations").cast("bigint")
+            counts.selectExpr(f"stack({len(rules)}, {stack}) AS (rule_id, family, violations)").selectExpr(
+                "rule_id", "family", f"'{table}' AS table_name", "CAST(violations AS BIGINT) AS violations"
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts)
 
 
 def _duplicate_rows(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
     """Rows beyond the first per key value (what ``duplicated()`` flags)."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("v")
-    )
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).selectExpr("coalesce(sum(_n - 1), 0) AS v")
 
 
 def primary_key_counts(t: Tables) -> DataFrame:
@@ -176,23 +183,21 @@ def primary_key_counts(t: Tables) -> DataFrame:
     parts = []
     for table in TABLE_NAMES:
         key = PRIMARY_KEYS[table]
-        null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+        null_key = " OR ".join(f"{k} IS NULL" for k in key)
         sizes = frames[table].groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        stats = sizes.agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"),
-            F.coalesce(F.sum(F.when(null_key, F.col("_n"))), F.lit(0)).alias("_nulls"),
-            F.coalesce(F.sum(F.when(~null_key, F.col("_n") - 1)), F.lit(0)).alias("_dups"),
+        stats = sizes.selectExpr(
+            "coalesce(sum(_n), 0) AS _rows",
+            f"coalesce(sum(CASE WHEN {null_key} THEN _n END), 0) AS _nulls",
+            f"coalesce(sum(CASE WHEN NOT ({null_key}) THEN _n - 1 END), 0) AS _dups",
         )
         pk_rule = f"pk.{table}.{'_'.join(key)}"
         parts.append(
-            stats.select(
-                F.expr(
-                    f"stack(2, 'non_empty.{table}', 'non_empty', CAST(CASE WHEN _rows = 0 THEN 1 ELSE 0 END AS BIGINT), "
-                    f"'{pk_rule}', 'primary_key', _nulls + _dups) as (rule_id, family, violations)"
-                )
-            ).select("rule_id", "family", F.lit(table).alias("table_name"), F.col("violations").cast("bigint"))
+            stats.selectExpr(
+                f"stack(2, 'non_empty.{table}', 'non_empty', CAST(CASE WHEN _rows = 0 THEN 1 ELSE 0 END AS BIGINT), "
+                f"'{pk_rule}', 'primary_key', _nulls + _dups) AS (rule_id, family, violations)"
+            ).selectExpr("rule_id", "family", f"'{table}' AS table_name", "CAST(violations AS BIGINT) AS violations")
         )
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts)
 
 
 def unique_counts(t: Tables) -> DataFrame:
@@ -200,9 +205,9 @@ def unique_counts(t: Tables) -> DataFrame:
     frames = t.frames()
     parts = []
     for rule_id, table, cols in UNIQUE_RULES:
-        df = frames[table].select(*cols).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-        parts.append(_duplicate_rows(df, cols).select(*_summary_row(rule_id, "unique", table, F.col("v"))))
-    return reduce(DataFrame.unionByName, parts)
+        df = frames[table].select(*cols).where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
+        parts.append(_duplicate_rows(df, cols).selectExpr(*_summary_row(rule_id, "unique", table, "v")))
+    return _union(parts)
 
 
 def _orphans(t: Tables, child: str, ccol: str, parent: str, pcol: str) -> DataFrame:
@@ -220,10 +225,10 @@ def foreign_key_counts(t: Tables, only: set[str] | None = None) -> DataFrame:
             continue
         parts.append(
             _orphans(t, child, ccol, parent, pcol)
-            .agg(F.count(F.lit(1)).alias("v"))
-            .select(*_summary_row(rule_id, "foreign_key", child, F.col("v")))
+            .selectExpr("count(1) AS v")
+            .selectExpr(*_summary_row(rule_id, "foreign_key", child, "v"))
         )
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts)
 
 
 ROW_FAMILIES = ("not_null", "range", "cross_column", "date_order", "status")
