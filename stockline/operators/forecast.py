@@ -17,7 +17,6 @@ reason instead of failing the job.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import ridge
 from ..functions.numeric import round_half_up
+from ..session import ensure_checkpoint_dir
 from ..tables import Tables
 
 ANNUAL = 52
@@ -34,16 +34,6 @@ ANNUAL = 52
 REPORT_DECIMALS = 6
 
 
-@dataclass(frozen=True)
-class ForecastResult:
-    history: DataFrame  # series, week_start, t, actual_demand
-    validation: DataFrame  # series, week_start, actual, predicted, seasonal naive
-    future: DataFrame  # series, week_start, forecast_demand, lower_80, upper_80
-    metrics: DataFrame  # series, mae, mape, baseline_mae, baseline_mape, band
-    coefficients: DataFrame  # series, fit, n_obs, intercept, w_*
-    rejected: DataFrame  # series, n_obs, reason
-
-
 def series_demand(t: Tables, grain: Sequence[str]) -> DataFrame:
     """Weekly demand rows tagged with the series key columns of ``grain``.
 
@@ -80,6 +70,199 @@ def _apply_stages(df: DataFrame, stages: list[list[tuple[str, str]]], carry: lis
     return df
 
 
+class ForecastResult:
+    """Outputs of one forecast over every series of a grain.
+
+    Two reduced tables carry every output:
+
+    * ``indexed``: one row per (series, week) -- weekly sums, row index ``t``,
+      series length and the seasonal naive value, from the single pass over
+      the input;
+    * ``fitted``: one row per accepted series -- both coefficient sets and the
+      unrounded holdout statistics, from the single ridge solve.
+
+    Outputs that read only the index (history, rejected, seasonal naive,
+    recent rows) stay one lazy plan.  When the fit is first requested, the
+    index and then the fit are written as reliable checkpoints in
+    ``spark.checkpoint.dir`` (lineage cut; a lost executor re-reads them), so
+    the input is scanned and aggregated once and the solve runs once however
+    many fit outputs a caller combines (validation, future and KPIs join the
+    fit back to the index).  ``materialize=False`` keeps everything lazy.
+    """
+
+    def __init__(self, weekly: DataFrame, keys: Sequence[str], periods: int, test_weeks: int, alpha: float,
+                 solver: str, materialize: bool = True):
+        if periods <= 0 or test_weeks <= 0:
+            raise ValueError("Forecast and test horizons must be positive")
+        if solver not in ("numpy", "sql"):
+            raise ValueError(f"Unknown solver: {solver}")
+        self.keys = list(keys)
+        self.periods, self.test_weeks, self.alpha, self.solver = periods, test_weeks, alpha, solver
+        self.minimum = test_weeks + ANNUAL
+        self.materialize = materialize
+        self._weekly = weekly
+        self._indexed: DataFrame | None = None
+        self._fitted: DataFrame | None = None
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+
+    @property
+    def indexed(self) -> DataFrame:
+        """Keys, week_start, actual_demand, t, n_obs, seasonal_naive_demand."""
+        if self._indexed is None:
+            keys = self.keys
+            in_time = Window.partitionBy(*keys).orderBy("week_start")
+            self._indexed = (
+                self._weekly.groupBy(*keys, "week_start")
+                .agg(F.sum("demand_units").cast("double").alias("actual_demand"))
+                .select(
+                    "*",
+                    (F.row_number().over(in_time) - 1).cast("int").alias("t"),
+                    F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int").alias("n_obs"),
+                    F.lag("actual_demand", ANNUAL).over(in_time).alias("seasonal_naive_demand"),
+                )
+            )
+        return self._indexed
+
+    def _features(self, rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "*", (F.col("n_obs") - self.test_weeks).alias("split"),
+            *[F.expr(e).alias(n) for n, e in ridge.feature_exprs("t")],
+        )
+
+    @property
+    def fitted(self) -> DataFrame:
+        """G4/G7/G8/G9 per series: n_obs, last_week, h_* and f_* coefficients,
+        unrounded MAE/MAPE (model and seasonal naive) and the residual band."""
+        if self._fitted is None:
+            keys = self.keys
+            # Every consumer of the fit may join back to the index: write it first.
+            self._indexed = self._keep(self.indexed)
+            feats = self._features(self.indexed.where(F.col("n_obs") >= self.minimum))
+            # Both moment sets (holdout fit, full refit) in one aggregation pass.
+            aggs = ridge.moment_aggregates("h_", "t < split", "actual_demand") + ridge.moment_aggregates(
+                "f_", "true", "actual_demand"
+            )
+            moments = feats.groupBy(*keys).agg(
+                *[F.expr(e).alias(n) for n, e in aggs],
+                F.max("n_obs").alias("n_obs"),
+                F.max("week_start").alias("last_week"),
+            )
+            outputs = {f"{p}{c}" for p in ("h_", "f_") for c in COEF_COLS}
+            carry = [*keys, "n_obs", "last_week"]
+            if self.solver == "sql":
+                models = _apply_stages(moments, ridge.merged_stages(("h_", "f_"), self.alpha), carry, outputs)
+            else:
+                schema = T.StructType(
+                    [moments.schema[c] for c in carry] + [T.StructField(c, T.DoubleType()) for c in sorted(outputs)]
+                )
+                models = moments.mapInPandas(ridge.solve_batches(("h_", "f_"), carry, self.alpha), schema)
+            coefs = [f"{p}{c}" for p in ("h_", "f_") for c in COEF_COLS]
+            # Holdout rows meet their model once; the coefficients ride through
+            # the per-series aggregate (constant within a series), so the solve
+            # is planned once.
+            holdout = _predict(feats.where(F.col("t") >= F.col("split")).join(models.drop("n_obs"), keys))
+            mae, mape = accuracy_metrics("actual_demand", "predicted_demand")
+            base_mae, base_mape = accuracy_metrics("actual_demand", "seasonal_naive_demand")
+            residual = F.col("actual_demand") - F.col("predicted_demand")
+            self._fitted = self._keep(
+                holdout.groupBy(*keys).agg(
+                    F.max("n_obs").alias("n_obs"),
+                    F.max("last_week").alias("last_week"),
+                    *[F.max(c).alias(c) for c in coefs],
+                    mae.alias("mae"),
+                    mape.alias("mape"),
+                    base_mae.alias("baseline_mae"),
+                    base_mape.alias("baseline_mape"),
+                    F.least(F.percentile(residual, F.lit(0.1)), F.lit(0.0)).alias("residual_lower"),
+                    F.greatest(F.percentile(residual, F.lit(0.9)), F.lit(0.0)).alias("residual_upper"),
+                )
+            )
+        return self._fitted
+
+    @property
+    def history(self) -> DataFrame:
+        """G1: keys, week_start, actual_demand, t (every series, accepted or not)."""
+        return self.indexed.select(*self.keys, "week_start", "actual_demand", "t")
+
+    @property
+    def seasonal_naive(self) -> DataFrame:
+        """History with the value 52 rows earlier."""
+        return self.indexed.select(*self.keys, "week_start", "t", "actual_demand",
+                                   F.col("seasonal_naive_demand").cast("double").alias("seasonal_naive_demand"))
+
+    @property
+    def rejected(self) -> DataFrame:
+        """Series shorter than test_weeks + 52, with the reference's message."""
+        reason = f"At least {self.minimum} weekly observations are required for annual validation"
+        return (
+            self.indexed.where(F.col("t") == 0)
+            .where(F.col("n_obs") < self.minimum)
+            .select(*self.keys, "n_obs", F.lit(reason).alias("reason"))
+        )
+
+    @property
+    def validation(self) -> DataFrame:
+        """Holdout rows with clipped predictions and the seasonal naive value."""
+        coefs = [f"h_{c}" for c in COEF_COLS]
+        models = self.fitted.select(*self.keys, *coefs)  # first: materializes the index
+        holdout = self._features(self.indexed.where(F.col("n_obs") >= self.minimum))
+        rows = _predict(holdout.where(F.col("t") >= F.col("split")).join(models, self.keys))
+        return rows.select(
+            *self.keys, "week_start", "t", "actual_demand",
+            round_half_up("predicted_demand", REPORT_DECIMALS).alias("predicted_demand"),
+            F.col("seasonal_naive_demand").cast("double").alias("seasonal_naive_demand"),
+        )
+
+    @property
+    def metrics(self) -> DataFrame:
+        """MAE, MAPE, seasonal-naive MAE/MAPE and the residual band."""
+        return self.fitted.select(*self.keys, *[round_half_up(c, REPORT_DECIMALS).alias(c) for c in METRIC_COLS])
+
+    @property
+    def coefficients(self) -> DataFrame:
+        """Holdout (h_) and full (f_) ridge coefficients per series."""
+        r = REPORT_DECIMALS
+        return self.fitted.select(
+            *self.keys,
+            "n_obs",
+            *[round_half_up(f"h_{c}", r).alias(f"h_{c}") for c in COEF_COLS],
+            *[round_half_up(f"f_{c}", r).alias(f"f_{c}") for c in COEF_COLS],
+        )
+
+    @property
+    def future(self) -> DataFrame:
+        """``periods`` weeks from the first Monday after the last
+        observed week + 6 days; point forecast and band clipped at zero."""
+        steps = F.explode(F.sequence(F.lit(0), F.lit(self.periods - 1))).alias("step")
+        base = self.fitted.select("*", steps)
+        feats = base.select("*", (F.col("n_obs") + F.col("step")).alias("t")).select(
+            "*", *[F.expr(e).alias(n) for n, e in ridge.feature_exprs("t")]
+        )
+        point = F.greatest(F.lit(0.0), F.expr(ridge.prediction_expr("f_")))
+        first_week = F.next_day(F.date_add("last_week", 6), "Mon")
+        return feats.select(
+            *self.keys,
+            F.date_add(first_week, F.col("step") * 7).alias("week_start"),
+            round_half_up(point, 1).alias("forecast_demand"),
+            round_half_up(F.greatest(point + F.col("residual_lower"), F.lit(0.0)), 1).alias("lower_80"),
+            round_half_up(F.greatest(point + F.col("residual_upper"), F.lit(0.0)), 1).alias("upper_80"),
+        )
+
+
+COEF_COLS = ["intercept"] + ridge.COEFFICIENTS
+METRIC_COLS = ["mae", "mape", "baseline_mae", "baseline_mape", "residual_lower", "residual_upper"]
+
+
+def _predict(rows: DataFrame) -> DataFrame:
+    """Holdout prediction from the h_ coefficients, clipped at zero."""
+    return rows.withColumn("predicted_demand", F.greatest(F.lit(0.0), F.expr(ridge.prediction_expr("h_"))))
+
+
 def forecast(
     weekly: DataFrame,
     keys: Sequence[str],
@@ -87,6 +270,7 @@ def forecast(
     test_weeks: int = 12,
     alpha: float = 1.0,
     solver: str = "numpy",
+    materialize: bool = True,
 ) -> ForecastResult:
     """G1-G11 for every series of ``weekly`` (columns: keys, week_start, demand_units).
 
@@ -94,125 +278,7 @@ def forecast(
     call in ``mapInPandas`` (one row per series crosses to Python);
     ``solver="sql"`` uses the generated elimination expressions (JVM only).
     """
-    if periods <= 0 or test_weeks <= 0:
-        raise ValueError("Forecast and test horizons must be positive")
-    keys = list(keys)
-    minimum = test_weeks + ANNUAL
-    by_series = Window.partitionBy(*keys)
-    in_time = by_series.orderBy("week_start")
-
-    # G1: weekly sums, row-position index, series length.
-    history = (
-        weekly.groupBy(*keys, "week_start")
-        .agg(F.sum("demand_units").cast("double").alias("actual_demand"))
-        .withColumn("t", (F.row_number().over(in_time) - 1).cast("int"))
-        .withColumn("n_obs", F.count(F.lit(1)).over(by_series).cast("int"))
-    )
-    # Too-short series are rejected with the reference's message.
-    reason = f"At least {minimum} weekly observations are required for annual validation"
-    rejected = (
-        history.where(F.col("n_obs") < minimum)
-        .groupBy(*keys)
-        .agg(F.max("n_obs").alias("n_obs"), F.max("week_start").alias("last_week"))
-        .select(*keys, "n_obs", F.lit(reason).alias("reason"))
-    )
-    valid = history.where(F.col("n_obs") >= minimum).withColumn("split", F.col("n_obs") - test_weeks)
-
-    # Features and the seasonal naive value (52 rows earlier).
-    feats = valid.select(
-        "*",
-        *[F.expr(e).alias(n) for n, e in ridge.feature_exprs("t")],
-        F.lag("actual_demand", ANNUAL).over(in_time).alias("seasonal_naive_demand"),
-    ).withColumnRenamed("actual_demand", "y")
-
-    # Both moment sets in one aggregation pass, then the closed-form solve.
-    aggs = ridge.moment_aggregates("h_", "t < split") + ridge.moment_aggregates("f_", "true")
-    moments = feats.groupBy(*keys).agg(
-        *[F.expr(e).alias(n) for n, e in aggs],
-        F.max("n_obs").alias("n_obs"),
-        F.max("week_start").alias("last_week"),
-    )
-    coef_cols = ["intercept"] + ridge.COEFFICIENTS
-    outputs = {f"{p}{c}" for p in ("h_", "f_") for c in coef_cols}
-    carry = [*keys, "n_obs", "last_week"]
-    if solver == "sql":
-        solved = _apply_stages(moments, ridge.merged_stages(("h_", "f_"), alpha), carry, outputs)
-    elif solver == "numpy":
-        schema = T.StructType(
-            [moments.schema[c] for c in carry] + [T.StructField(c, T.DoubleType()) for c in sorted(outputs)]
-        )
-        solved = moments.mapInPandas(ridge.solve_batches(("h_", "f_"), carry, alpha), schema)
-    else:
-        raise ValueError(f"Unknown solver: {solver}")
-    models = solved.select(
-        *keys,
-        "n_obs",
-        "last_week",
-        *[F.col(f"h_{c}").alias(f"h_{c}") for c in coef_cols],
-        *[F.col(f"f_{c}").alias(f"f_{c}") for c in coef_cols],
-    )
-
-    # Holdout predictions clipped at zero.
-    holdout = feats.where(F.col("t") >= F.col("split")).join(models.drop("n_obs", "last_week"), keys)
-    validation = holdout.select(
-        *keys,
-        "week_start",
-        "t",
-        F.col("y").alias("actual_demand"),
-        F.greatest(F.lit(0.0), F.expr(ridge.prediction_expr("h_"))).alias("predicted_demand"),
-        F.col("seasonal_naive_demand").cast("double").alias("seasonal_naive_demand"),
-    )
-    r = REPORT_DECIMALS
-
-    # Accuracy, baseline accuracy and the residual band.
-    mae, mape = accuracy_metrics("actual_demand", "predicted_demand")
-    base_mae, base_mape = accuracy_metrics("actual_demand", "seasonal_naive_demand")
-    residual = F.col("actual_demand") - F.col("predicted_demand")
-    raw_metrics = validation.groupBy(*keys).agg(
-        mae.alias("mae"),
-        mape.alias("mape"),
-        base_mae.alias("baseline_mae"),
-        base_mape.alias("baseline_mape"),
-        F.least(F.percentile(residual, F.lit(0.1)), F.lit(0.0)).alias("residual_lower"),
-        F.greatest(F.percentile(residual, F.lit(0.9)), F.lit(0.0)).alias("residual_upper"),
-    )
-    metric_cols = ["mae", "mape", "baseline_mae", "baseline_mape", "residual_lower", "residual_upper"]
-    metrics = raw_metrics.select(*keys, *[round_half_up(c, r).alias(c) for c in metric_cols])
-
-    # Refit on all rows; future weeks from the first Monday after the
-    # last observed week + 6 days.
-    steps = F.explode(F.sequence(F.lit(0), F.lit(periods - 1))).alias("step")
-    future_base = models.join(raw_metrics.select(*keys, "residual_lower", "residual_upper"), keys).select(
-        "*", steps
-    )
-    t_future = (F.col("n_obs") + F.col("step")).alias("t")
-    future_feats = future_base.select(
-        "*",
-        t_future,
-    ).select("*", *[F.expr(e).alias(n) for n, e in ridge.feature_exprs("t")])
-    point = F.greatest(F.lit(0.0), F.expr(ridge.prediction_expr("f_")))
-    first_week = F.next_day(F.date_add("last_week", 6), "Mon")
-    future = future_feats.select(
-        *keys,
-        F.date_add(first_week, F.col("step") * 7).alias("week_start"),
-        round_half_up(point, 1).alias("forecast_demand"),
-        round_half_up(F.greatest(point + F.col("residual_lower"), F.lit(0.0)), 1).alias("lower_80"),
-        round_half_up(F.greatest(point + F.col("residual_upper"), F.lit(0.0)), 1).alias("upper_80"),
-    )
-    coefficients = models.select(
-        *keys,
-        "n_obs",
-        *[round_half_up(f"h_{c}", r).alias(f"h_{c}") for c in coef_cols],
-        *[round_half_up(f"f_{c}", r).alias(f"f_{c}") for c in coef_cols],
-    )
-    return ForecastResult(
-        history=history.drop("n_obs"),
-        validation=validation.withColumn("predicted_demand", round_half_up("predicted_demand", r)),
-        future=future,
-        metrics=metrics,
-        coefficients=coefficients,
-        rejected=rejected,
-    )
+    return ForecastResult(weekly, keys, periods, test_weeks, alpha, solver, materialize)
 
 
 def forecast_tables(t: Tables, grain: Sequence[str], periods: int = 12, test_weeks: int = 12,
@@ -229,9 +295,10 @@ def forecast_kpis(result: ForecastResult, keys: Sequence[str], periods: int = 12
     totals = result.future.groupBy(*keys).agg(
         F.sum(F.col("forecast_demand").cast("decimal(18,1)")).cast("double").alias("forecast_total")
     )
-    last = result.history.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("week_start").desc()))
-    ).where("_rn = 1").select(*keys, F.col("actual_demand").alias("last_actual"))
+    # The last row of a series is t = n_obs - 1: a filter on the index, no window.
+    last = result.indexed.where(F.col("t") == F.col("n_obs") - 1).select(
+        *keys, F.col("actual_demand").alias("last_actual")
+    )
     improvement = F.when(
         F.col("baseline_mae") > 0,
         F.lit(100.0) * (F.col("baseline_mae") - F.col("mae")) / F.col("baseline_mae"),
@@ -252,6 +319,8 @@ def forecast_kpis(result: ForecastResult, keys: Sequence[str], periods: int = 12
 
 
 def recent_history(result: ForecastResult, keys: Sequence[str], rows: int = 52) -> DataFrame:
-    """The last ``rows`` history rows per series (chart input), WindowGroupLimit."""
-    w = Window.partitionBy(*keys).orderBy(F.col("week_start").desc())
-    return result.history.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows).drop("_rn")
+    """The last ``rows`` history rows per series (chart input): a filter on
+    the row index against the series length, no sort or window."""
+    return result.indexed.where(F.col("t") >= F.col("n_obs") - rows).select(
+        *keys, "week_start", "actual_demand", "t"
+    )

@@ -111,12 +111,7 @@ def _series_index(t: Tables) -> DataFrame:
 
 
 def _seasonal_naive(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    h = forecast.forecast_tables(t, FORECAST_GRAIN).history
-    w = Window.partitionBy(*FORECAST_GRAIN).orderBy("week_start")
-    return h.select(*FORECAST_GRAIN, "week_start", "t", "actual_demand",
-                    F.lag("actual_demand", forecast.ANNUAL).over(w).alias("seasonal_naive_demand"))
+    return forecast.forecast_tables(t, FORECAST_GRAIN).seasonal_naive
 
 
 SPARK_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {

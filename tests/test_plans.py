@@ -57,3 +57,17 @@ def test_position_aggregates_are_partial_before_exchange(snapshot, capsys):
     assert text.count("partial_sum") >= 2
     # warehouses join is a broadcast of a bounded dimension
     assert "BroadcastHashJoin" in text or "BroadcastExchange" in text
+
+
+def test_forecast_outputs_read_the_written_fit_not_the_input(snapshot, capsys):
+    # KPIs combine future, metrics and the index: after the fit is written,
+    # the final plan neither scans weekly_sales nor runs the solve again.
+    text = plan(SPARK_QUERIES["forecast_kpis"](snapshot), capsys)
+    assert "weekly_sales" not in text
+    assert "MapInPandas" not in text and "MapInArrow" not in text
+    assert "Window" not in text
+
+
+def test_index_only_forecast_outputs_stay_one_lazy_plan(snapshot, capsys):
+    text = plan(SPARK_QUERIES["forecast_recent_history"](snapshot), capsys)
+    assert "weekly_sales" in text and "MapInPandas" not in text
