@@ -141,3 +141,22 @@ def test_business_date_override_moves_expiry(spark):
     t = tiny_tables(spark).with_as_of(dt.date(2027, 1, 15))
     rows = {r.batch_id: r.expiry_bucket for r in expiry.expiry_risk(t).collect()}
     assert rows["B2"] == "Expired" and rows["B5"] == "0-90 days"
+
+
+def test_foreign_key_orphans_count_rows_not_keys(spark):
+    # three batches point at a missing product (two share the key), one at a
+    # missing warehouse; the distinct-key pre-aggregation must still count rows
+    batches = [
+        ("B1", "N1", "P1", "W1", D("2025-01-01"), D("2026-09-20"), 10, 120, 50),
+        ("B2", "N2", "P9", "W1", D("2025-06-01"), D("2026-11-01"), 300, 120, 50),
+        ("B3", "N3", "P9", "W2", D("2025-07-01"), D("2026-11-01"), 40, 120, 50),
+        ("B4", "N4", "P8", "W2", D("2025-08-01"), D("2027-10-01"), 30, 40, 20),
+        ("B5", "N5", "P1", "W7", D("2025-09-01"), D("2027-03-26"), 900, 200, 100),
+    ]
+    t = tiny_tables(spark, inventory_batches=batches)
+    counts = {r.rule_id: r.violations for r in quality.foreign_key_counts(t).collect()}
+    assert counts["fk.inventory_batches.product_id"] == 3
+    assert counts["fk.inventory_batches.warehouse_id"] == 1
+    assert counts["fk.purchase_orders.product_id"] == 0
+    orphans = {r.batch_id for r in quality.quarantine(t, "fk.inventory_batches.product_id").collect()}
+    assert orphans == {"B2", "B3", "B4"}
