@@ -26,6 +26,9 @@ CLUSTER_CONF = {
     # Dimension-sized build sides only; facts never fit under this bound.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
+    # Reliable checkpoints (forecast index and fit) are deleted once no
+    # DataFrame references them, so repeated jobs do not fill shared storage.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Plans here are built from many column expressions; per-call call-site
     # capture costs several Py4J round trips per function call on the driver.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -46,6 +49,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("STOCKLINE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
