@@ -156,21 +156,22 @@ def row_rule_counts(t: Tables, families: tuple[str, ...] | None = None, only: se
         ]
         if not rules:
             continue
-        counts = frames[table].selectExpr(
-            *[f"count(CASE WHEN NOT ({r.condition}) THEN 1 END) AS _v{i}" for i, r in enumerate(rules)]
-        )
-        stack = ", ".join(f"'{r.rule_id}', '{r.family}', _v{i}" for i, r in enumerate(rules))
-        parts.append(
-            counts.selectExpr(f"stack({len(rules)}, {stack}) AS (rule_id, family, violations)").selectExpr(
-                "rule_id", "family", f"'{table}' AS table_name", "CAST(violations AS BIGINT) AS violations"
-            )
+        # One aggregate pass, unpivoted by ``stack`` over the conditional counts.
+        entries = ", ".join(
+            f"'{r.rule_id}', '{r.family}', '{table}', CAST(count(CASE WHEN NOT ({r.condition}) THEN 1 END) AS BIGINT)"
+            for r in rules
         )
+        parts.append(frames[table].selectExpr(
+            f"stack({len(rules)}, {entries}) AS (rule_id, family, table_name, violations)"
+        ))
     return _union(parts)
 
 
-def _duplicate_rows(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    """Rows beyond the first per key value (what ``duplicated()`` flags)."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).selectExpr("coalesce(sum(_n - 1), 0) AS v")
+def _duplicate_rows(df: DataFrame, cols: tuple[str, ...], rule_id: str, table: str) -> DataFrame:
+    """Rows beyond the first per key value (what ``duplicated()`` flags), as a summary row."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).selectExpr(
+        *_summary_row(rule_id, "unique", table, "coalesce(sum(_n - 1), 0)")
+    )
 
 
 def primary_key_counts(t: Tables) -> DataFrame:
@@ -185,18 +186,16 @@ def primary_key_counts(t: Tables) -> DataFrame:
         key = PRIMARY_KEYS[table]
         null_key = " OR ".join(f"{k} IS NULL" for k in key)
         sizes = frames[table].groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        stats = sizes.selectExpr(
-            "coalesce(sum(_n), 0) AS _rows",
-            f"coalesce(sum(CASE WHEN {null_key} THEN _n END), 0) AS _nulls",
-            f"coalesce(sum(CASE WHEN NOT ({null_key}) THEN _n - 1 END), 0) AS _dups",
-        )
+        rows = "coalesce(sum(_n), 0)"
+        nulls = f"coalesce(sum(CASE WHEN {null_key} THEN _n END), 0)"
+        dups = f"coalesce(sum(CASE WHEN NOT ({null_key}) THEN _n - 1 END), 0)"
         pk_rule = f"pk.{table}.{'_'.join(key)}"
-        parts.append(
-            stats.selectExpr(
-                f"stack(2, 'non_empty.{table}', 'non_empty', CAST(CASE WHEN _rows = 0 THEN 1 ELSE 0 END AS BIGINT), "
-                f"'{pk_rule}', 'primary_key', _nulls + _dups) AS (rule_id, family, violations)"
-            ).selectExpr("rule_id", "family", f"'{table}' AS table_name", "CAST(violations AS BIGINT) AS violations")
-        )
+        # a global aggregate yields one row even for an empty table
+        parts.append(sizes.selectExpr(
+            f"stack(2, 'non_empty.{table}', 'non_empty', '{table}', CAST(CASE WHEN {rows} = 0 THEN 1 ELSE 0 END AS BIGINT), "
+            f"'{pk_rule}', 'primary_key', '{table}', CAST({nulls} + {dups} AS BIGINT)) "
+            "AS (rule_id, family, table_name, violations)"
+        ))
     return _union(parts)
 
 
@@ -206,7 +205,7 @@ def unique_counts(t: Tables) -> DataFrame:
     parts = []
     for rule_id, table, cols in UNIQUE_RULES:
         df = frames[table].select(*cols).where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
-        parts.append(_duplicate_rows(df, cols).selectExpr(*_summary_row(rule_id, "unique", table, "v")))
+        parts.append(_duplicate_rows(df, cols, rule_id, table))
     return _union(parts)
 
 
@@ -237,8 +236,7 @@ def foreign_key_counts(t: Tables, only: set[str] | None = None) -> DataFrame:
         keys = frames[parent].select(F.col(pcol).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
         parts.append(
             kids.join(keys, F.col(ccol) == F.col("_parent_key"), "left_anti")
-            .selectExpr("coalesce(sum(_rows), 0) AS v")
-            .selectExpr(*_summary_row(rule_id, "foreign_key", child, "v"))
+            .selectExpr(*_summary_row(rule_id, "foreign_key", child, "coalesce(sum(_rows), 0)"))
         )
     return _union(parts)
 
