@@ -23,8 +23,14 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
-    """Append a 1-based row number following ``order`` (must be a total order)."""
+def global_row_number(
+    df: DataFrame, order: Sequence[Column], name: str = "row_number", total: str | None = None
+) -> DataFrame:
+    """Append a 1-based row number following ``order`` (must be a total order).
+
+    ``total`` names an optional column holding the row count of ``df``, taken
+    from the same per-partition counts (no second pass over ``df``).
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     tagged = ordered.withColumn("_mid", F.monotonically_increasing_id()).select(
         "*",
@@ -33,9 +39,15 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     )
     # One row per partition: a table bounded by the partition count.
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    in_order = Window.orderBy("_part")
     offsets = counts.select(
         "_part",
-        (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
+        (F.sum("_cnt").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
+        *(
+            [F.sum("_cnt").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+             .cast("bigint").alias(total)]
+            if total else []
+        ),
     )
     return (
         tagged.join(F.broadcast(offsets), "_part")

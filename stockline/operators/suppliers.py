@@ -103,13 +103,11 @@ def supplier_ranking(t: Tables) -> DataFrame:
         ),
     )
     numbered = global_row_number(
-        scored, [F.col("composite_score").desc_nulls_last(), F.col("supplier_id").asc()], "_rn"
+        scored, [F.col("composite_score").desc_nulls_last(), F.col("supplier_id").asc()], "_rn", total="_n"
     )
-    total = scored.agg(F.count(F.lit(1)).alias("_n"))
     ranked = global_dense_rank(numbered, "composite_score", descending=True, name="supplier_rank")
     return (
-        ranked.crossJoin(F.broadcast(total))  # one-row relation
-        .withColumn("performance_quartile", ntile_from_row_number("_rn", "_n", 4))
+        ranked.withColumn("performance_quartile", ntile_from_row_number("_rn", "_n", 4))
         .drop("_rn", "_n")
         .orderBy("supplier_rank", "supplier_id")
     )

@@ -49,3 +49,11 @@ def test_ntile_with_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "rn long")
     got = [r.t for r in df.select(ntile_from_row_number("rn", F.lit(3), 4).alias("t")).orderBy("rn").collect()]
     assert got == [1, 2, 3]
+
+
+def test_row_number_total_comes_from_the_partition_counts(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("v"))
+    out = global_row_number(df, [F.col("v").desc()], "rn", total="n").collect()
+    assert {r.n for r in out} == {1000}
+    assert sorted(r.rn for r in out) == list(range(1, 1001))
+    assert all(r.rn == 1000 - r.v for r in out)
