@@ -104,10 +104,9 @@ def fefo_actions(t: Tables) -> DataFrame:
     """
     risk = expiry_risk(t)
     keys = ["warehouse_id", "product_id", "expiry_date"]
-    # Straight from the batches: all batches of a position share its product
-    # and warehouse, so the view's inner joins drop whole positions and cannot
-    # change a running total; the dimension joins stay out of this branch.
-    per_date = t.inventory_batches.groupBy(*keys).agg(F.sum("inventory_quantity").alias("_units"))
+    # From the view itself: its dimension joins are then one shared exchange
+    # (reused by the join back) instead of a second scan of the batches.
+    per_date = risk.groupBy(*keys).agg(F.sum("inventory_quantity").alias("_units"))
     running = per_date.select(
         *keys,
         F.sum("_units")
