@@ -76,3 +76,14 @@ def test_published_snapshot_gives_same_results(spark, sf_dir):
     for key in ("recent_demand", "current_service", "inventory_health", "executive_kpis"):
         a, b = SPARK_QUERIES[key](lazy), SPARK_QUERIES[key](snap)
         assert normalize(a.collect(), a.columns) == normalize(b.collect(), b.columns), key
+
+
+def test_registered_queries_read_the_staged_line_join(spark, sf_dir, capsys):
+    t = mart.load(spark, sf_dir)
+    assert mart.load(spark, sf_dir) is t  # one staging per session and folder
+    for df in (t.weekly_sales, t.inventory_batches, t.purchase_orders):
+        capsys.readouterr()
+        df.explain()
+        text = capsys.readouterr().out
+        assert "lineitem" not in text and "orders.parquet" not in text
+        assert "/lines-" in text
