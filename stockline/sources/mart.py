@@ -251,9 +251,12 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     application, folder) so a stopped and recreated session never gets frames
     bound to the old one.
     """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    app = spark.sparkContext.applicationId
+    key = (id(spark), app, sf_dir.rstrip("/"))
     if key not in _CACHE:
-        _CACHE.clear()
+        # one snapshot per folder; entries of other applications are stale
+        for old in [k for k in _CACHE if k[:2] != key[:2]]:
+            del _CACHE[old]
         lazy = build_tables(spark, sf_dir, stage_dir=scratch_path(spark, "lines"))
         snapshot = files.write_tables(lazy, scratch_path(spark, "snapshot"))
         _CACHE[key] = files.read_published(spark, snapshot, lazy.as_of)
