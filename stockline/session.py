@@ -52,27 +52,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    context.setLogLevel("ERROR")
+    # One process, one disk: a local folder is shared here, and only here.
+    if context.getCheckpointDir() is None and not context.getConf().get("spark.checkpoint.dir"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stockline-ckpt-"))
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset.
+    """The shared folder for checkpoints and written intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  A machine-local folder is created only when nothing is configured,
-    which is the case in tests and local benchmarks.
+    A folder already set on the context (``setCheckpointDir``) wins; otherwise
+    ``spark.checkpoint.dir`` names it.  No folder is invented: a machine-local
+    one would be invisible to other executors, so with neither set this raises.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
+        if current is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
-    local = tempfile.mkdtemp(prefix="stockline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if current is None:
+        raise RuntimeError(
+            "no shared folder for intermediate tables: start Spark with spark.checkpoint.dir, "
+            "or call SparkContext.setCheckpointDir with a path that all executors can reach"
+        )
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
