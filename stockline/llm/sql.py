@@ -71,7 +71,28 @@ WITH dw AS (
 SELECT *, (n_hit > 0 AND 20 * n_hit >= n_words) AS contaminated FROM j
 """
 
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM p
+), g AS (
+  SELECT doc_id, list(DISTINCT q) AS gone
+  FROM (SELECT doc_id, unnest(range(i, i + 20)) AS q FROM r WHERE k > 1) GROUP BY doc_id
+), k AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY q) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS q FROM d)
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS gd, unnest(gone) AS gq FROM g) WHERE gd = doc_id AND gq = q)
+  GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES = {
+    "op5_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
     "op9_decontaminate": DECONTAMINATE,
 }
