@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockline.llm import decontaminate, pii, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
+from stockline.llm import decontaminate, minhash, pii, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
 from stockline.session import scratch_path
 
 
@@ -45,6 +45,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "tokens")
     token_pack.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
@@ -79,6 +83,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash": op6_minhash,
     "op7_token_pack": op7_token_pack,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,

@@ -91,7 +91,35 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+MINHASH = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 3], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), u AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r(node, seen) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT u.y, r.seen FROM r JOIN u ON u.x = r.node
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n USING (doc_id)
+"""
+
 ORACLES = {
+    "op6_minhash": MINHASH,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
     "op9_decontaminate": DECONTAMINATE,
