@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockline.llm import decontaminate, minhash, pii, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
+from stockline.llm import decontaminate, lm_score, minhash, pii, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
 from stockline.session import scratch_path
 
 
@@ -78,6 +78,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
@@ -87,5 +91,6 @@ QUERIES = {
     "op7_token_pack": op7_token_pack,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLE_SQL = sql.ORACLES
