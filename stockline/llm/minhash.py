@@ -252,6 +252,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return named.select(null("doc_id"), "n_shingles", null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, unchanged.
+
+    Rows that share an id are one document and stay or go together.
+    """
+    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def _similar(batches: Arrow) -> Arrow:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in ("sig_a", "sig_b"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -64,7 +65,7 @@ def _words(text: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts the rules bound, per row: id, n_words, word_chars, n_symbols, ...
+    """The counts the rules bound, per row: ``row`` (all columns of it), doc_id, n_words, word_chars, ...
 
     ``n_repeat_words`` counts words that lie in a 3-word window found twice or
     more in the text: windows are sorted beside their position, equal
@@ -72,13 +73,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sum of gaps between sorted positions, 3 at most each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", "t", _words(F.col("t")).alias("w"))
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text.alias("t"))
+    base = base.select("row", "doc_id", "t", _words(F.col("t")).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, SPACES, "") != "")
     windows = F.transform(
         F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
         lambda x, i: F.struct(F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2)).alias("k"), i.alias("p")),
     )
     counted = base.select(
+        "row",
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
@@ -120,7 +123,6 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     MAX_REPEAT_PERCENT of them in repeated 3-word windows.  ``kept``: not
     base_failed and inside every rule's bounds.
     """
-    failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     return measures(docs, id_col, text_col).select(
         "doc_id",
         "n_words",
@@ -130,6 +132,15 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         "n_repeat_words",
         "n_lines",
         "n_stop_words",
-        failed.alias("base_failed"),
-        (~failed & F.expr(" AND ".join(r.sql() for r in rules))).alias("kept"),
+        F.expr(BASE_FAILED).alias("base_failed"),
+        _passes(rules).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, unchanged (judged in place, no join by id)."""
+    return measures(docs, id_col, text_col).where(_passes(rules)).select("row.*")
+
+
+def _passes(rules: tuple[Rule, ...]) -> Column:
+    return F.expr(f"NOT ({BASE_FAILED}) AND " + " AND ".join(r.sql() for r in rules))

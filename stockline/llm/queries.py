@@ -6,6 +6,7 @@ output (texts, spans, ids, files); the work is the operator's.
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_model": op1_quality_model,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
@@ -99,4 +101,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_lm_score": op10_lm_score,
 }
-ORACLE_SQL = sql.ORACLES
+ORACLE_SQL = sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
