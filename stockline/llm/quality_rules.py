@@ -123,7 +123,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     MAX_REPEAT_PERCENT of them in repeated 3-word windows.  ``kept``: not
     base_failed and inside every rule's bounds.
     """
-    return measures(docs, id_col, text_col).select(
+    judged = F.struct(
         "doc_id",
         "n_words",
         "word_chars",
@@ -135,11 +135,18 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         F.expr(BASE_FAILED).alias("base_failed"),
         _passes(rules).alias("kept"),
     )
+    # unpacked from an array, so that a filter on a column is not pushed below (see keep_good)
+    return measures(docs, id_col, text_col).select(F.inline(F.array(judged)))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged (judged in place, no join by id)."""
-    return measures(docs, id_col, text_col).where(_passes(rules)).select("row.*")
+    """The rows of ``docs`` that pass, unchanged (judged in place, no join by id).
+
+    Rows are unpacked where the verdict is true rather than filtered by it: the
+    optimiser pushes a filter below the projections it reads, and would work the
+    counts out again for every place that names them.
+    """
+    return measures(docs, id_col, text_col).select(F.inline(F.when(_passes(rules), F.array("row"))))
 
 
 def _passes(rules: tuple[Rule, ...]) -> Column:
