@@ -17,10 +17,14 @@ The work is arranged so that no group is ever expanded into all its pairs:
    the member that lies in the fullest buckets (the centre of a group of copies
    rather than its edge); every member is confirmed against its leaders.
 3. Links make components (repeated minimum over links, pointers halved).
-4. What is left are buckets whose members are still in several components.  Their
-   members are compared by signature, in blocks of bounded size, only across
-   components; pairs whose agreement is within five standard deviations of the
-   threshold are confirmed on the full sets, and components are joined again.
+4. What is left are buckets whose members are still in several components (of
+   buckets with equal members, one).  They are cut into blocks of bounded size,
+   and every two blocks of a bucket meet in one task.  A first round looks at
+   signatures only and names the members that agree with a member of another
+   component to within five standard deviations of the threshold; a second
+   brings the texts of those, confirms pairs on their full sets, and returns
+   only the links that join two components, so a block of n members returns
+   fewer than n links.  Then components are joined again.
 
 Edge cases: null or wordless texts have an empty set, link with nothing and are
 kept; texts with fewer words than a shingle have one shingle, the whole
@@ -50,7 +54,7 @@ ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: 2 * 100 values at similarity 0.8 have a standard deviation of 5.7; five of them below 160.
 AGREE = 131
-BLOCK = 4096
+BLOCK = 1024
 NONE = -(1 << 63)
 
 Arrow = Iterator[pa.RecordBatch]
@@ -128,27 +132,56 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
-def _block_pairs(batches: Arrow) -> Arrow:
-    """Pairs (a, b) across components of one block pair whose signatures agree well enough."""
+def _blocks(batches: Arrow) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of one task of two blocks (or one with itself): rows, signatures, left and right positions."""
     for batch in groups(batches, "route"):
         route = batch.column("route").to_numpy()
-        ids, component, side = (batch.column(c).to_numpy() for c in ("cls", "component", "side"))
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-        begin = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
-        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(route)]):
-            left = lo + np.flatnonzero(side[lo:hi] == 0)
-            right = lo + np.flatnonzero(side[lo:hi] == 1)
-            right = right if len(right) else left  # a block with itself
-            found = [], []
-            for i in left.tolist():
-                other = right[component[right] != component[i]]
-                if other is not None and len(other):
-                    good = other[_agreement(sig[other], sig[i]) >= AGREE]
-                    found[0].append(np.minimum(ids[i], ids[good]))
-                    found[1].append(np.maximum(ids[i], ids[good]))
-            if found[0]:
-                pair = np.unique(np.stack((np.concatenate(found[0]), np.concatenate(found[1])), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        begin = np.flatnonzero(np.append(True, route[1:] != route[:-1])).tolist()
+        for lo, hi in zip(begin, [*begin[1:], len(route)]):
+            part = batch.slice(lo, hi - lo)
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+            side = part.column("side").to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            yield part, sig, left, right if len(right) else left
+
+
+def _close(batches: Arrow) -> Arrow:
+    """Members whose signature agrees well enough with that of a member of another component."""
+    for part, sig, left, right in _blocks(batches):
+        component = part.column("component").to_numpy()
+        found = np.zeros(part.num_rows, bool)
+        for i in left.tolist():
+            other = right[component[right] != component[i]]
+            if len(other):
+                near = other[_agreement(sig[other], sig[i]) >= AGREE]
+                found[near] = True
+                found[i] |= len(near) > 0
+        if found.any():
+            yield part.select(["route", "cls", "component", "side", "sig"]).filter(pa.array(found))
+
+
+def _joining(batches: Arrow, words: int, percent: int) -> Arrow:
+    """Confirmed links that join two components, one for each time that two are joined."""
+    for part, sig, left, right in _blocks(batches):
+        ids, root = part.column("cls").to_numpy(), part.column("component").to_numpy().copy()
+        sets: list[np.ndarray] = []
+        for piece in _text.slices(part.column("text")):
+            values, first = shingles(piece, words)
+            sets += [values[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        links = []
+        for i in left.tolist():
+            other = right[root[right] != root[i]]
+            agree = _agreement(sig[other], sig[i])
+            for j in other[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())].tolist():
+                if root[i] == root[j]:
+                    continue
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    root[root == root[j]] = root[i]
+        if links:
+            a, b = np.array(links, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _confirm(batches: Arrow, words: int, percent: int) -> Arrow:
@@ -234,16 +267,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     placed = bucket.select("key", "cls", "size").join(label.withColumnRenamed("node", "cls"), "cls", "left")
     placed = placed.select("key", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(open_keys, "key").join(sigs, "cls")
-    # blocks of a bucket: every member meets every block, in its own block's row or column
+    # still open: several components; of buckets with the same members one is enough
+    content = [F.sum(F.pmod(F.xxhash64("cls", F.lit(k)), F.lit(1 << 40))).alias(f"m{k}") for k in (0, 1)]
+    ends = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")]
+    open_keys = placed.groupBy("key").agg(*content, *ends).where("lo <> hi").groupBy("m0", "m1", "size").agg(F.min("key").alias("key"))
+    rest = placed.drop("size").join(open_keys.select("key", "size"), "key").join(sigs, "cls")
+    # every member meets every block of its bucket, in its own block's row or column
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    rest = rest.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
     route = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
     rest = rest.select(route.alias("route"), "cls", "component", (F.col("own") > F.col("met")).cast("int").alias("side"), "sig")
-    more = rest.repartition("route").sortWithinPartitions("route").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
-    more = _links(more.join(star, ["a", "b"], "left_anti"), texts, words, percent)
+    schema = "route bigint, cls bigint, component bigint, side int, sig binary"
+    near = written(rest.repartition("route").sortWithinPartitions("route").mapInArrow(_close, schema), "near")
+    near = near.join(texts, "cls").select("route", "cls", "component", "side", "sig", "text")
+    more = near.repartition("route").sortWithinPartitions("route", "cls").mapInArrow(lambda batches: _joining(batches, words, percent), "a bigint, b bigint")
     all_links = written(links.union(more), "links")
 
     final = components(all_links).toDF("cls", "component")
