@@ -1,16 +1,20 @@
 """Global ranking without an unpartitioned window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task.
-These helpers number rows of a globally ordered frame in parallel:
-
-1. range-partition on the ordering and sort inside each partition;
-2. ``monotonically_increasing_id`` then holds (partition index << 33) + row
-   position inside the partition (documented layout);
+``global_row_number`` numbers rows of a globally ordered frame in parallel:
+
+1. range-partition on the ordering, sort inside each partition, and tag rows
+   with (partition index, position) from ``monotonically_increasing_id`` (its
+   documented layout: partition index << 33, plus the position);
+2. write the tagged rows under ``spark.checkpoint.dir``.  Row numbers and
+   partition sizes must come from the same partitioning; a second evaluation
+   could sample other range bounds or coalesce other partitions, so both read
+   the written rows;
 3. per-partition row counts (one row per partition, a bounded table) give each
    partition's offset, broadcast back.
 
-The order must be total (add a unique tie-break column) so a recomputed task
-after executor loss yields the same numbers.
+The order must be total (add a unique tie-break column) for the numbers to be
+reproducible.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -28,6 +34,8 @@ def global_row_number(
 ) -> DataFrame:
     """Append a 1-based row number following ``order`` (must be a total order).
 
+    Runs one job, which writes the ordered rows (see the module's text).
+
     ``total`` names an optional column holding the row count of ``df``, taken
     from the same per-partition counts (no second pass over ``df``).
     """
@@ -37,6 +45,9 @@ def global_row_number(
         F.shiftright("_mid", 33).alias("_part"),
         F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)).alias("_pos"),
     )
+    path = scratch_path(df.sparkSession, "numbered")
+    tagged.write.parquet(path)
+    tagged = df.sparkSession.read.schema(tagged.schema).parquet(path)
     # One row per partition: a table bounded by the partition count.
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     in_order = Window.orderBy("_part")
@@ -56,18 +67,15 @@ def global_row_number(
     )
 
 
-def global_dense_rank(
-    df: DataFrame, value: str, descending: bool = True, name: str = "dense_rank"
-) -> DataFrame:
-    """dense_rank over one column: number the distinct values, join back.
+def dense_rank_of_values(df: DataFrame, value: str, name: str = "dense_rank") -> DataFrame:
+    """dense_rank by one column descending (NULL last), for a column of few values.
 
-    NULL values rank after all others in both directions, like SQL
-    ``DESC NULLS LAST`` / ``ASC NULLS LAST``.
+    Meant for values of a bounded domain (a score of one decimal): the window
+    runs over the distinct values, one row each, not over the rows.
     """
-    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    distinct = df.select(value).distinct()
-    ranked = global_row_number(distinct, [key], name)
-    return df.join(ranked, df[value].eqNullSafe(ranked[value]), "inner").drop(ranked[value])
+    distinct = df.select(F.col(value).alias("_value")).distinct()
+    ranked = distinct.withColumn(name, F.row_number().over(Window.orderBy(F.col("_value").desc_nulls_last())))
+    return df.join(ranked, df[value].eqNullSafe(ranked["_value"]), "left").drop("_value")
 
 
 def ntile_from_row_number(row_number: str | Column, total: str | Column, buckets: int) -> Column:

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.contracts import require_columns
 from ..functions.numeric import extended_value
 from ..tables import Tables
 
+NEAR_DAYS = 365
 
-def expiry_risk(t: Tables) -> DataFrame:
-    """Every batch (expired and empty ones included) with its band."""
+
+def expiry_risk(t: Tables, within_days: int | None = None) -> DataFrame:
+    """Every batch (expired and empty ones included) with its band.
+
+    ``within_days`` keeps batches that expire by then; the cut is a literal date
+    on ``expiry_date``, which reaches the scan (a cut on the derived number of
+    days would not).
+    """
     as_of = F.lit(t.as_of)
+    batches = t.inventory_batches
+    if within_days is not None:
+        batches = batches.where(F.col("expiry_date") <= F.lit(t.as_of + dt.timedelta(days=within_days)))
     products = t.products.select("product_id", "product_name", "therapeutic_area", "unit_cost")
-    warehouses = F.broadcast(t.warehouses.select("warehouse_id", "warehouse_name"))
+    warehouses = t.warehouses.select("warehouse_id", "warehouse_name")
     days = F.datediff("expiry_date", as_of)
     return (
-        t.inventory_batches.join(products, "product_id")
+        batches.join(products, "product_id")
         .join(warehouses, "warehouse_id")
         .select(
             "batch_id",
@@ -43,11 +57,9 @@ def expiry_risk(t: Tables) -> DataFrame:
 
 def expiry_report(t: Tables, warehouse_id=None, include_long_dated: bool = True) -> DataFrame:
     """Optional warehouse filter and 365-day cut, most urgent first."""
-    df = expiry_risk(t)
+    df = expiry_risk(t, None if include_long_dated else NEAR_DAYS)
     if warehouse_id is not None and warehouse_id != "":
         df = df.where(F.col("warehouse_id") == F.lit(warehouse_id))
-    if not include_long_dated:
-        df = df.where(F.col("days_to_expiry") <= 365)
     return df.orderBy(F.col("days_to_expiry").asc(), F.col("inventory_value_at_risk").desc(), "batch_id")
 
 
@@ -58,6 +70,8 @@ def value_at_risk(t: Tables, horizons: Sequence[int] = (90, 180, 365)) -> DataFr
     """
     if any(h < 0 for h in horizons):
         raise ValueError("Horizon must be non-negative")
+    require_columns(t.inventory_batches, ["product_id", "expiry_date", "inventory_quantity"])
+    require_columns(t.products, ["product_id", "unit_cost"])
     days = F.datediff("expiry_date", F.lit(t.as_of))
     batches = t.inventory_batches.join(t.products.select("product_id", "unit_cost"), "product_id")
     value = extended_value("inventory_quantity", "unit_cost", scale=None)
@@ -100,7 +114,8 @@ def fefo_actions(t: Tables) -> DataFrame:
     1. units per (warehouse, product, expiry date) — a partial aggregate;
     2. running sum over those date rows (at most one row per calendar day per
        position, a bounded group);
-    3. join the totals back to the batch rows on the three keys.
+    3. join the totals back to the batch rows on the three keys, null-safely: a
+       batch without an expiry date comes first in the order and keeps its row.
     """
     risk = expiry_risk(t)
     keys = ["warehouse_id", "product_id", "expiry_date"]
@@ -108,7 +123,7 @@ def fefo_actions(t: Tables) -> DataFrame:
     # (reused by the join back) instead of a second scan of the batches.
     per_date = risk.groupBy(*keys).agg(F.sum("inventory_quantity").alias("_units"))
     running = per_date.select(
-        *keys,
+        *[F.col(k).alias(f"_{k}") for k in keys],
         F.sum("_units")
         .over(
             Window.partitionBy("warehouse_id", "product_id")
@@ -119,7 +134,7 @@ def fefo_actions(t: Tables) -> DataFrame:
         .alias("cumulative_units_by_fefo"),
     )
     return (
-        risk.join(running, keys)
+        risk.join(running, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
         .select(
             "batch_id",
             "warehouse_id",
@@ -148,7 +163,7 @@ def fefo_queue(t: Tables) -> DataFrame:
 
 def expiry_kpis(t: Tables) -> DataFrame:
     """Urgent batch count, units within 90 and 180 days, value within 180."""
-    near = expiry_risk(t).where(F.col("days_to_expiry") <= 365)
+    near = expiry_risk(t, 180)
     d = F.col("days_to_expiry")
     return near.agg(
         F.count(F.when(d <= 90, 1)).alias("urgent_batches"),
@@ -169,5 +184,5 @@ def top_at_risk(t: Tables, n: int = 20) -> DataFrame:
     orderBy + limit plans as TakeOrderedAndProject: each task keeps its own
     top ``n`` and only those reach the final merge.
     """
-    near = expiry_risk(t).where(F.col("days_to_expiry") <= 365)
+    near = expiry_risk(t, NEAR_DAYS)
     return near.orderBy(F.col("inventory_value_at_risk").desc(), "batch_id").limit(n)

@@ -4,8 +4,7 @@ Plan shape at scale: the three facts are each aggregated to the
 (product_id, warehouse_id) grain with map-side partial aggregation, so a hot
 position never reaches one reducer as raw rows.  The three aggregates share
 their hash partitioning, so the joins between them need no further exchange;
-products is joined once per position, warehouses (a handful of rows) is
-broadcast.
+products and warehouses are joined once per position.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.contracts import require_columns
 from ..functions.numeric import extended_value, round_half_up, safe_divide, to_double
 from ..tables import Tables
 
@@ -21,8 +21,15 @@ POSITION = ["product_id", "warehouse_id"]
 
 
 def latest_week(t: Tables) -> Column:
-    """MAX(week_start) of the sales table as a scalar subquery (one row)."""
-    return t.weekly_sales.select(F.max("week_start")).scalar()
+    """MAX(week_start) of the sales table as a scalar subquery (one row).
+
+    On a published snapshot the latest month comes first, from the partition
+    column alone (no data column is read), so weeks are scanned in that month only.
+    """
+    sales = t.weekly_sales
+    if "sales_month" in sales.columns:
+        sales = sales.where(F.col("sales_month") == sales.select(F.max("sales_month")).scalar())
+    return sales.select(F.max("week_start")).scalar()
 
 
 def trailing_sales(t: Tables, window_days: int = rules.DEMAND_WINDOW_DAYS) -> DataFrame:
@@ -72,22 +79,27 @@ def open_on_order(t: Tables) -> DataFrame:
     )
 
 
-def inventory_health(t: Tables) -> DataFrame:
-    """One row per position that has at least one batch (21 columns)."""
+def _positions(t: Tables) -> DataFrame:
+    """Every position with a batch: stock, unrounded demand, open orders and dimensions."""
     stock = stock_position(t)
     demand = recent_demand(t)
     on_order = open_on_order(t)
     products = t.products.select(
         "product_id", "product_name", "therapeutic_area", "unit_cost", "unit_price", "lead_time_days"
     )
-    warehouses = F.broadcast(t.warehouses.select("warehouse_id", "warehouse_name", "region"))
+    warehouses = t.warehouses.select("warehouse_id", "warehouse_name", "region")
 
-    joined = (
+    return (
         stock.join(demand, POSITION, "left")
         .join(on_order, POSITION, "left")
         .join(products, "product_id")
         .join(warehouses, "warehouse_id")
     )
+
+
+def inventory_health(t: Tables) -> DataFrame:
+    """One row per position that has at least one batch (21 columns)."""
+    joined = _positions(t)
     inv = F.col("inventory_quantity")
     avg = F.coalesce(F.col("avg_weekly_demand"), F.lit(0.0))
     on_order_qty = F.coalesce(F.col("on_order_quantity"), F.lit(0).cast("bigint"))
@@ -202,11 +214,12 @@ def last_n_mean_demand(t: Tables, n: int = 12) -> DataFrame:
 
 def position_demand_stats(t: Tables) -> DataFrame:
     """Per position: weeks observed, sample stddev and mean of weekly demand."""
+    require_columns(t.weekly_sales, [*POSITION, "demand_units"])
     return t.weekly_sales.groupBy(*POSITION).agg(
         F.count(to_double("demand_units")).alias("observations"),
         # non-numeric input becomes NULL and is skipped (coercion, ANSI-safe)
         F.stddev_samp(to_double("demand_units")).alias("demand_stddev"),
-        F.avg("demand_units").alias("avg_weekly_demand"),
+        F.avg(to_double("demand_units")).alias("avg_weekly_demand"),
     )
 
 
@@ -224,9 +237,12 @@ def safety_stock_by_position(t: Tables, z: float = rules.SERVICE_Z) -> DataFrame
 
 
 def _policy_inputs(t: Tables) -> DataFrame:
-    health = inventory_health(t).select(*POSITION, "inventory_quantity", "safety_stock", "lead_time_days")
-    return health.join(recent_demand(t).select(*POSITION, "avg_weekly_demand"), POSITION, "left").withColumn(
-        "avg_weekly_demand", F.coalesce(F.col("avg_weekly_demand"), F.lit(0.0))
+    return _positions(t).select(
+        *POSITION,
+        "inventory_quantity",
+        "safety_stock",
+        "lead_time_days",
+        F.coalesce("avg_weekly_demand", F.lit(0.0)).alias("avg_weekly_demand"),
     )
 
 

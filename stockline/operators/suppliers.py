@@ -11,10 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.contracts import require_columns
 from ..functions.numeric import extended_value, pct, round_half_up, safe_divide
-from ..functions.ranking import global_dense_rank, global_row_number, ntile_from_row_number
+from ..functions.ranking import dense_rank_of_values, global_row_number, ntile_from_row_number
 from ..tables import Tables
 
+ORDER_COLUMNS = (
+    "supplier_id",
+    "order_date",
+    "promised_delivery_date",
+    "actual_delivery_date",
+    "ordered_quantity",
+    "received_quantity",
+    "accepted_quantity",
+    "unit_cost",
+    "status",
+)
+
+
 def _delivered():
     return F.col("status") == "Delivered"
 
@@ -25,6 +39,7 @@ def _delivered_sum(c: str):
 
 def po_stats_by_supplier(t: Tables) -> DataFrame:
     """Exact per-supplier sums over purchase orders (one row per supplier)."""
+    require_columns(t.purchase_orders, ORDER_COLUMNS)
     on_time = F.col("actual_delivery_date") <= F.col("promised_delivery_date")
     return t.purchase_orders.groupBy("supplier_id").agg(
         F.count(F.when(_delivered(), 1)).alias("delivered_orders"),
@@ -87,8 +102,10 @@ def supplier_ranking(t: Tables) -> DataFrame:
     """Composite score (NULL if a metric is NULL), DENSE_RANK and NTILE(4)
     by score descending, NULL scores last, supplier_id breaking NTILE ties.
 
-    Ranks are computed with the distributed global numbering, not a
-    single-task window over all suppliers.
+    The score has one decimal, so it takes a bounded number of values and the
+    dense rank is a window over those.  Tiles come from the distributed global
+    numbering (one job, see ``functions.ranking``), so neither a single-task
+    window nor a score that many suppliers share gathers rows in one task.
     """
     perf = supplier_performance(t)
     scored = perf.select(
@@ -105,7 +122,7 @@ def supplier_ranking(t: Tables) -> DataFrame:
     numbered = global_row_number(
         scored, [F.col("composite_score").desc_nulls_last(), F.col("supplier_id").asc()], "_rn", total="_n"
     )
-    ranked = global_dense_rank(numbered, "composite_score", descending=True, name="supplier_rank")
+    ranked = dense_rank_of_values(numbered, "composite_score", name="supplier_rank")
     return (
         ranked.withColumn("performance_quartile", ntile_from_row_number("_rn", "_n", 4))
         .drop("_rn", "_n")
@@ -117,7 +134,7 @@ def supplier_order_detail(t: Tables, supplier_id) -> DataFrame:
     """One supplier's orders with names; signed days against the promise."""
     po = t.purchase_orders.where(F.col("supplier_id") == F.lit(supplier_id))
     products = t.products.select("product_id", "product_name")
-    warehouses = F.broadcast(t.warehouses.select("warehouse_id", "warehouse_name"))
+    warehouses = t.warehouses.select("warehouse_id", "warehouse_name")
     return (
         po.join(products, "product_id")
         .join(warehouses, "warehouse_id")
@@ -147,7 +164,7 @@ def open_po_exposure(t: Tables) -> DataFrame:
         F.round(F.sum(extended_value("ordered_quantity", "unit_cost", scale=None)), 2).cast("double").alias("open_po_value"),
         F.count(F.when(F.col("promised_delivery_date") < F.lit(t.as_of), 1)).alias("past_due_orders"),
     )
-    warehouses = F.broadcast(t.warehouses.select("warehouse_id", "warehouse_name"))
+    warehouses = t.warehouses.select("warehouse_id", "warehouse_name")
     suppliers = t.suppliers.select("supplier_id", "supplier_name")
     return (
         per_pair.join(warehouses, "warehouse_id")

@@ -44,19 +44,34 @@ def test_scans_read_only_needed_columns(snapshot, capsys):
     assert "batch_number" not in schema and "manufacture_date" not in schema
 
 
-def test_supplier_ranking_has_no_single_partition_window_over_suppliers(snapshot, capsys):
+def test_supplier_ranking_windows_run_over_counts_only(snapshot, capsys):
     text = plan(SPARK_QUERIES["supplier_ranking"](snapshot), capsys)
-    # the only unpartitioned window is over the per-partition counts (_part)
-    for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", text):
-        assert spec.startswith("_part") or "_part" in spec
-    assert "rangepartitioning" in text
+    # unpartitioned windows: over the partitions' row counts and over the distinct scores
+    specs = re.findall(r"windowspecdefinition\(([^)]*)\)", text)
+    assert specs and all("_part" in x or "_value" in x for x in specs)
+    assert "/numbered-" in text or "numbered" in text
 
 
 def test_position_aggregates_are_partial_before_exchange(snapshot, capsys):
     text = plan(SPARK_QUERIES["inventory_health"](snapshot), capsys)
     assert text.count("partial_sum") >= 2
-    # warehouses join is a broadcast of a bounded dimension
-    assert "BroadcastHashJoin" in text or "BroadcastExchange" in text
+
+
+@pytest.mark.parametrize("key", ["expiry_risk_near", "fefo_queue", "expiry_kpis", "top_at_risk"])
+def test_expiry_cut_reaches_the_scan(snapshot, capsys, key):
+    text = plan(SPARK_QUERIES[key](snapshot), capsys)
+    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(expiry_date", text)
+
+
+@pytest.mark.parametrize("key", ["reorder_point", "weeks_of_supply", "order_quantity_gross"])
+def test_policy_queries_aggregate_trailing_demand_once(snapshot, capsys, key):
+    text = plan(SPARK_QUERIES[key](snapshot), capsys)
+    assert len(re.findall(r"ReadSchema: struct<[^>]*demand_units", text)) == 1
+
+
+def test_trend_joins_products_after_aggregating(snapshot, capsys):
+    text = plan(SPARK_QUERIES["therapy_trend"](snapshot), capsys)
+    assert text.index("partial_sum") < text.index("therapeutic_area")
 
 
 def test_forecast_outputs_read_the_written_fit_not_the_input(snapshot, capsys):
