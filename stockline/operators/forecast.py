@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ridge
+from ..functions.contracts import require_columns
 from ..functions.numeric import round_half_up
 from ..session import ensure_checkpoint_dir
 from ..tables import Tables
@@ -44,6 +45,10 @@ def series_demand(t: Tables, grain: Sequence[str]) -> DataFrame:
     sales = t.weekly_sales
     attrs = [c for c in grain if c not in sales.columns]
     if attrs:
+        # units per product (and the grain's own sales columns) and week first: the
+        # join to products then meets one row per group instead of every sales row
+        own = [c for c in grain if c in sales.columns and c != "product_id"]
+        sales = sales.groupBy("product_id", *own, "week_start").agg(F.sum("demand_units").alias("demand_units"))
         sales = sales.join(t.products.select("product_id", *attrs), "product_id")
     keys = list(grain) if grain else ["series"]
     if not grain:
@@ -278,6 +283,7 @@ def forecast(
     call in ``mapInPandas`` (one row per series crosses to Python);
     ``solver="sql"`` uses the generated elimination expressions (JVM only).
     """
+    require_columns(weekly, [*keys, "week_start", "demand_units"])
     return ForecastResult(weekly, keys, periods, test_weeks, alpha, solver, materialize)
 
 
@@ -288,7 +294,7 @@ def forecast_tables(t: Tables, grain: Sequence[str], periods: int = 12, test_wee
     return forecast(weekly, keys, periods, test_weeks, alpha)
 
 
-def forecast_kpis(result: ForecastResult, keys: Sequence[str], periods: int = 12) -> DataFrame:
+def forecast_kpis(result: ForecastResult, keys: Sequence[str]) -> DataFrame:
     """Forecast total and weekly average, improvement over the seasonal
     naive MAE (NULL when that MAE is 0) and the last actual, per series."""
     keys = list(keys)
@@ -309,7 +315,7 @@ def forecast_kpis(result: ForecastResult, keys: Sequence[str], periods: int = 12
         .select(
             *keys,
             "forecast_total",
-            round_half_up(F.col("forecast_total") / F.lit(float(periods)), REPORT_DECIMALS).alias(
+            round_half_up(F.col("forecast_total") / F.lit(float(result.periods)), REPORT_DECIMALS).alias(
                 "forecast_weekly_average"
             ),
             round_half_up(improvement, REPORT_DECIMALS).alias("improvement_vs_naive_pct"),

@@ -331,6 +331,24 @@ GATE: list[tuple[str, str]] = (
 )
 
 
+def unknown_operand_counts(t: Tables) -> DataFrame:
+    """The gate's row rules with a NULL condition counted as a failure.
+
+    A CHECK lets a NULL condition pass; the load does not: a missing operand
+    means that the comparison does not hold.  A purchase order whose status is
+    outside the domain fails the domain rule, not this one.
+    """
+    gate_ids = {rule_id for rule_id, _ in GATE}
+    parts = []
+    for rule in row_rules():
+        if rule.rule_id in gate_ids:
+            failed = f"NOT coalesce({rule.condition}, FALSE)"
+            if rule.family == "status":
+                failed += f" AND (status IS NULL OR status IN ({', '.join(repr(v) for v in PO_STATUSES)}))"
+            parts.append(t.frames()[rule.table].selectExpr(*_summary_row(rule.rule_id, rule.family, rule.table, f"count(CASE WHEN {failed} THEN 1 END)")))
+    return _union(parts)
+
+
 def validate_tables(t: Tables, scope: str = "loader") -> None:
     """Raise ``ValueError`` for the first failing rule.
 
@@ -348,6 +366,7 @@ def validate_tables(t: Tables, scope: str = "loader") -> None:
             [primary_key_counts(t), foreign_key_counts(t, gate_ids), row_rule_counts(t, only=gate_ids)],
         )
     counts = {r["rule_id"]: r["violations"] for r in summary.collect()}
+    counts.update({r["rule_id"]: r["violations"] for r in unknown_operand_counts(t).collect()})
     ordered = []
     for tbl, k in PRIMARY_KEYS.items():
         ordered.append((f"non_empty.{tbl}", f"{tbl} is empty"))

@@ -58,8 +58,10 @@ def demand_history_all_grains(t: Tables) -> DataFrame:
 def therapy_trend(t: Tables) -> DataFrame:
     """weekly demand per therapeutic area, 4-row moving average and
     year-over-year change against the row 52 rows earlier (row-based lag)."""
+    # per product and week first, so that the join meets one row per pair
+    per_product = t.weekly_sales.groupBy("product_id", "week_start").agg(F.sum("demand_units").alias("demand_units"))
     weekly = (
-        t.weekly_sales.join(t.products.select("product_id", "therapeutic_area"), "product_id")
+        per_product.join(t.products.select("product_id", "therapeutic_area"), "product_id")
         .groupBy("week_start", "therapeutic_area")
         .agg(F.sum("demand_units").cast("bigint").alias("weekly_demand"))
     )

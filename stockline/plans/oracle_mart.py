@@ -45,7 +45,7 @@ sales_grouped AS (
     GROUP BY 1, 2, 3
 ),
 weekly_sales AS (
-    SELECT CAST((g.product_id * 16 + g.warehouse_id) * 65536
+    SELECT CAST((g.product_id * 65536 + g.warehouse_id) * 65536
                 + floor(datediff('day', DATE '1970-01-05', g.week_start) / 7) AS BIGINT) AS sales_id,
            g.week_start, g.product_id, g.warehouse_id, g.demand_units,
            g.demand_units - g.lost_sales_units AS units_sold,

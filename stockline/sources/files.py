@@ -5,10 +5,12 @@
 * ``write_tables`` is the sink: one folder per table; ``weekly_sales`` is
   partitioned by month (``sales_month``, first day of the month) so the
   trailing 12-week reads prune all but the last few partitions.
-* ``publish_tables`` is the full-refresh load: run the quality gate first, then
-  write everything to a new snapshot folder and return its path.  Readers only
-  ever see complete snapshots, which replaces the reference's single SQLite
-  transaction (Spark has no cross-table transaction).
+* ``publish_tables`` is the full-refresh load: run the quality gate (every
+  constraint of the schema) first, write everything to a new snapshot folder,
+  and only then record the folder in ``published`` beside it.
+  ``latest_snapshot`` returns the last recorded one, so a job that dies half way
+  leaves a folder that no reader finds.  This replaces a database transaction
+  (Spark has none across tables).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from ..tables import TABLE_NAMES, Tables, to_date
 from .schemas import SCHEMAS
 
 SALES_PARTITION = "sales_month"
+PUBLISHED = "published"
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -34,6 +37,8 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
             spark.read.schema(schema)
             .option("header", True)
             .option("enforceSchema", False)
+            # a malformed value is an error, not a NULL
+            .option("mode", "FAILFAST")
             .option("dateFormat", "yyyy-MM-dd")
             .csv(path)
         )
@@ -105,6 +110,18 @@ def publish_tables(tables: Tables, root: str, validate: bool = True) -> str:
     if validate:
         from ..operators.quality import validate_tables
 
-        validate_tables(tables)
-    snapshot = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex[:12]}"
-    return write_tables(tables, snapshot)
+        validate_tables(tables, scope="all")
+    root = root.rstrip("/")
+    snapshot = write_tables(tables, f"{root}/snapshot-{uuid.uuid4().hex[:12]}")
+    spark = tables.products.sparkSession
+    entry = spark.range(1).select(
+        F.lit(snapshot).alias("snapshot"), F.lit(tables.as_of).alias("as_of"), F.current_timestamp().alias("published_at")
+    )
+    entry.write.mode("append").parquet(f"{root}/{PUBLISHED}")
+    return snapshot
+
+
+def latest_snapshot(spark: SparkSession, root: str) -> str:
+    """The folder of the last complete publish under ``root``."""
+    log = spark.read.parquet(f"{root.rstrip('/')}/{PUBLISHED}")
+    return log.agg(F.max_by("snapshot", "published_at").alias("snapshot")).first()["snapshot"]

@@ -181,10 +181,11 @@ def _weekly_sales(lines: DataFrame, products: DataFrame) -> DataFrame:
     prices = products.select("product_id", "unit_price")
     sold = F.col("demand_units") - F.col("lost_sales_units")
     # Deterministic surrogate key: recomputation after executor loss yields the
-    # same ids (monotonically_increasing_id would not).
+    # same ids (monotonically_increasing_id would not).  The parts have fields of
+    # their own; keys too large for them overflow, which is an error in ANSI mode.
     week_number = F.floor(F.datediff("week_start", F.lit(dt.date(1970, 1, 5))) / 7)
     return weekly.join(prices, "product_id").select(
-        ((F.col("product_id") * 16 + F.col("warehouse_id")) * 65536 + week_number).cast("bigint").alias("sales_id"),
+        ((F.col("product_id") * 65536 + F.col("warehouse_id")) * 65536 + week_number).cast("bigint").alias("sales_id"),
         "week_start",
         "product_id",
         "warehouse_id",

@@ -10,12 +10,14 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck_connection
+from stockline.plans import catalog, oracle
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(catalog.queries())
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(KEYS) == set(oracle.oracle_queries())
+    assert set(KEYS) <= set(entry.queries()) and set(KEYS) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):

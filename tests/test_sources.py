@@ -42,6 +42,59 @@ def test_publish_refuses_invalid_tables(spark):
     assert not any(Path(root).iterdir())
 
 
+SALE = (1, D("2026-06-29"), "P1", "W1", 10, 8, 2, 1.0)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        {"weekly_sales": [SALE, (2, D("2026-07-06"), "P9", "W1", 10, 8, 2, 1.0)]},  # unknown product
+        {"weekly_sales": [SALE, (2, D("2026-07-06"), "P1", "W9", 10, 8, 2, 1.0)]},  # unknown warehouse
+        {"weekly_sales": [SALE, (2, *SALE[1:])]},  # week, product and warehouse twice
+        {"weekly_sales": [(1, D("2026-06-29"), "P1", "W1", 10, 8, 2, -1.0)]},  # negative revenue
+        {"warehouses": [("W1", "West", "Reno", "West"), ("W2", "West", "Allentown", "East")]},  # name twice
+    ],
+)
+def test_publish_refuses_what_the_schema_forbids(spark, rows):
+    root = _tmp()
+    with pytest.raises(ValueError, match="Constraint violated"):
+        files.publish_tables(tiny_tables(spark, **rows), root)
+    assert not any(Path(root).iterdir())
+
+
+def test_a_missing_operand_fails_the_gate(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    t = tiny_tables(spark)
+    no_units = replace(t, weekly_sales=t.weekly_sales.withColumn("units_sold", F.lit(None).cast("bigint")))
+    with pytest.raises(ValueError, match="Units sold cannot exceed demand|Lost sales must equal"):
+        files.publish_tables(no_units, _tmp())
+    no_status = replace(t, purchase_orders=t.purchase_orders.withColumn("status", F.when(F.col("purchase_order_id") != "PO1", F.col("status"))))
+    with pytest.raises(ValueError, match="Only delivered purchase orders"):
+        files.publish_tables(no_status, _tmp())
+    lost = replace(t, purchase_orders=t.purchase_orders.withColumn("status", F.when(F.col("purchase_order_id") == "PO3", F.lit("Lost")).otherwise(F.col("status"))))
+    with pytest.raises(ValueError, match="status.purchase_orders.domain"):
+        files.publish_tables(lost, _tmp())
+
+
+def test_only_recorded_snapshots_are_found(spark):
+    t, root = tiny_tables(spark), _tmp()
+    first = files.publish_tables(t, root)
+    files.write_tables(t, f"{root}/snapshot-halfway")  # a publish that died before its record
+    assert files.latest_snapshot(spark, root) == first
+    second = files.publish_tables(t, root)
+    assert files.latest_snapshot(spark, root) == second != first
+
+
+def test_malformed_csv_value_is_an_error(spark):
+    root = Path(_tmp())
+    (root / "suppliers.csv").write_text("supplier_id,supplier_name,country,contracted_lead_time_days\nS1,One,US,abc\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_table(spark, str(root / "suppliers.csv"), "suppliers", fmt="csv").collect()
+
+
 def test_missing_frame_is_reported():
     with pytest.raises(ValueError, match="Missing required data frames: purchase_orders"):
         files.require_frames({n: None for n in TABLE_NAMES if n != "purchase_orders"})
