@@ -11,9 +11,11 @@ A block holds whole texts, ``BLOCK_TOKENS`` ids or one longer text.  The shards'
 lengths (one number each) give every block its global offset.
 
 White space ends tokens in the tokenizer used here, so each distinct
-white-space-delimited chunk is tokenised once (with the library, in batches)
-and its ids are joined back by position; ``verify`` compares test strings with
-the library's own result and refuses tokenizers that work otherwise.
+white-space-delimited chunk is tokenised once and its ids are joined back by
+position.  A new chunk of printable Latin-1 characters is cut into the
+tokenizer's pre-tokens, and the library's model segments each distinct one; any
+other chunk goes through the whole tokenizer.  ``verify`` compares test strings
+with the library's own result and refuses tokenizers that work otherwise.
 
 Edge cases: null texts are empty and hold the end id alone; null ids come first;
 rows that share an id are ordered by text, so equal rows are interchangeable;
@@ -23,6 +25,7 @@ an empty table writes no block; only the id and text columns are read.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -36,13 +39,18 @@ from pyspark.sql.window import Window
 from stockline.llm import _text
 
 BLOCK_TOKENS = 1 << 16
-TABLE_CHUNKS = 600_000
+TABLE_CHUNKS = 200_000
 GROUP = 64
 SCHEMA = (
     "shard int, block int, start bigint, n_tokens bigint, ids array<bigint>, lengths array<bigint>, bits int, payload binary"
 )
 _SPACES = "\t\n\x0b\x0c\r"
-_PROBES = ("", "  A b\tC\r\nd ", "don't it's x'LL", "é ́x Å", "a b　c d\x85e\x1cf", "<|endoftext|>x <|startoftext|> y", "中文 \U0001f600!?", "1 22 333 ΣΣ İ")
+#: The tokenizer's pre-tokens among lower-cased printable Latin-1 characters (where NFC changes nothing).
+_PRE_TOKEN = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    "|[^a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+"
+)
+_PROBES = ("", "  A b\tC\r\nd ", "don't it's x'LL", "é ́x Å", "a b　c d\x85e\x1cf", "<|endoftext|>x <|startoftext|> y", "中文 \U0001f600!?", "1 22 333 ΣΣ İ", "Ünï-Çødé÷x, 'TIS ½x²! it'S_x")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -75,18 +83,37 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return out.reshape(-1)[start - lo * GROUP : start - lo * GROUP + count]
 
 
+class _Table(dict):
+    """Ids of distinct strings; a missing one is made once."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = made = self.make(key)
+        return made
+
+    def trim(self, limit: int) -> None:
+        """Empty a table that has outgrown its bound; what is needed is made again."""
+        if len(self) > limit:
+            self.clear()
+
+
 class Encoder:
-    """One loaded tokenizer with its table of distinct chunks (emptied when full)."""
+    """One loaded tokenizer with its tables of distinct chunks and pre-tokens."""
 
     _loaded: dict[tuple[int, int], Encoder] = {}
 
     def __init__(self, model: str, table_chunks: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.model = self.tokenizer.model
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = table_chunks
-        self.table: dict[str, bytes] = {}
+        self.chunks, self.pieces = _Table(self._chunk), _Table(self._piece)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.verify(_PROBES)
 
@@ -102,19 +129,27 @@ class Encoder:
             if np.frombuffer(self.encode([t])[0], "<i4").tolist() != self.tokenizer.encode(t, add_special_tokens=False).ids:
                 raise ValueError(f"the tokenizer does not encode chunk by chunk: {t!r}")
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token."""
+        symbols = piece if piece.isascii() else self.as_bytes.pre_tokenize_str(piece)[0][0]
+        return array("i", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of one white-space-delimited chunk."""
+        if not chunk.isprintable() or "<|" in chunk or max(chunk, default="") > "\xff":
+            return array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, _PRE_TOKEN.findall(chunk.lower())))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.table) > self.limit:
-            self.table.clear()
-        table, chunked = self.table, []
+        self.chunks.trim(self.limit)
+        self.pieces.trim(2 * self.limit)
+        out, of = [], self.chunks.__getitem__
         for text in texts:
             for c in _SPACES:
                 text = text.replace(c, " ")
-            chunked.append(text.split(" "))
-        new = list(set().union(*chunked) - table.keys())
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            table[chunk] = array("i", e.ids).tobytes()
-        return [b"".join(map(table.__getitem__, chunks)) for chunks in chunked]
+            out.append(b"".join(map(of, text.split(" "))))
+        return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], encoder: Encoder, end_id: int) -> Iterator[pa.RecordBatch]:
