@@ -46,7 +46,7 @@ from stockline.llm._store import written
 FOLDS, HELD_OUT = 5, 1
 MIN_BIGRAM = 2
 MU = 1000.0
-FREQUENT = 2_000_000
+FREQUENT = 200_000
 BITS_PER_ENTRY = 12
 SHARD_BYTES = 64 << 20
 FLUSH_BYTES = 12 << 20
