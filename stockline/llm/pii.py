@@ -294,8 +294,8 @@ def _texts_with_terms(docs: DataFrame, terms: DataFrame, text_col: str, use: Cal
                 yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(text)], ["term", "k"])
 
     occurring = docs.select(F.col(text_col).alias("t"), key.alias("k")).mapInArrow(vocabulary, "term bigint, k bigint").distinct()
-    per_text = occurring.join(terms, "term").groupBy("k").agg(F.collect_list(F.struct("term", "disclosure")).alias("__terms"))
-    joined = docs.withColumn("__key", key).join(per_text, F.col("__key") == F.col("k"), "left").drop("__key", "k")
+    per_text = occurring.join(terms, "term").groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("term", "disclosure")).alias("__terms"))
+    joined = docs.withColumn("__key", key).join(per_text, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
 
     def run_joined(batches: Arrow) -> Arrow:
         for batch in batches:

@@ -5,9 +5,9 @@ piece holds a marker after another character (checked on the vocabulary when
 the model is loaded), no merge can cross the border before a run of markers, so
 a text is encoded chunk by chunk (markers and what follows up to the next
 marker).  Each distinct chunk is segmented once, with the library, and its ids
-are joined back by position; decoding goes the same way.  The table lives in a
-Python worker and is emptied when it holds ``table_chunks`` chunks, which bounds
-memory and changes no result.
+are joined back by position; decoding goes the same way.  The table lives as long as
+its task and is cut back to the chunks in use when it holds ``table_chunks`` of
+them, which bounds memory and changes no result.
 
 Models whose normaliser rewrites characters, or whose pieces cross markers, are
 refused; ``verify`` encodes test strings both ways.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 250_000
 BATCH_BYTES = 2 << 20
 _CHUNKS = re.compile(" +[^ ]*")
 _PROBES = ("", " ", "  two  spaces ", "a\tb\nc", f"x{MARK}y {MARK} z", "café 中文 \U0001f600\u0000", "ﬁ é 　 ​")
@@ -71,13 +71,19 @@ class Codec:
             if np.frombuffer(self.encode([t])[0], "<i4").tolist() != ids or self.decode([np.array(ids, "<i4")]) != [self.sp.decode(ids)]:
                 raise ValueError(f"the model does not encode chunk by chunk: {t!r}")
 
-    def _room(self, table: dict) -> None:
+    def _room(self, table: dict, used: set) -> None:
+        """Cut a table that has outgrown its bound back to the chunks in use."""
         if len(table) > self.limit:
+            kept = {c: table[c] for c in used if c in table}
             table.clear()
+            table.update(kept)
+
+    def clear(self) -> None:
+        self.ids.clear()
+        self.texts.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: new chunks are segmented together, then all are joined by position."""
-        self._room(self.ids)
         table, chunked = self.ids, []
         for text in texts:
             text = text.replace(MARK, " ")
@@ -85,7 +91,9 @@ class Codec:
             if "" in chunks:  # runs of markers belong to the chunk behind them
                 chunks = [c[1:] for c in _CHUNKS.findall(" " + text)]
             chunked.append(chunks)
-        new = list(set().union(*chunked) - table.keys())
+        used = set().union(*chunked)
+        self._room(table, used)
+        new = list(used - table.keys())
         # chunks come without their first marker, which the library puts in front itself
         for chunk, ids in zip(new, self.sp.encode(new, num_threads=1) if new else ()):
             table[chunk] = array("i", ids if chunk else [self.lone]).tobytes()
@@ -93,14 +101,15 @@ class Codec:
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """The text of each row of ids: chunks are cut before pieces that begin with a marker."""
-        self._room(self.texts)
         table, chunked, heads = self.texts, [], []
         for ids in rows:
             cuts = (4 * (np.flatnonzero(self.begins[ids[1:]]) + 1)).tolist()
             data = ids.astype("<i4").tobytes()
             heads.append(ids[: cuts[0] // 4 if cuts else len(ids)].tolist())
             chunked.append([data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])])
-        new = list(set().union(*chunked) - table.keys())
+        used = set().union(*chunked)
+        self._room(table, used)
+        new = list(used - table.keys())
         # behind two markers of its own, the library drops none of a chunk's
         for chunk, text in zip(new, self.sp.decode([[self.lone, self.lone, *array("i", c)] for c in new], num_threads=1) if new else ()):
             table[chunk] = text[1:]
@@ -136,6 +145,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 off = np.append(0, np.cumsum([len(x) // 4 for x in data])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], ["doc_id", "ids"])
+        codec.clear()  # a worker may stay for other work
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -154,5 +164,6 @@ def decode(encoded: DataFrame, model_path: str, table_chunks: int = TABLE_CHUNKS
                 ends = np.cumsum(sizes[lo:hi])
                 texts = pa.array(codec.decode([flat[b - n : b] for b, n in zip(ends.tolist(), sizes[lo:hi].tolist())]), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["doc_id", "ids", "decoded"])
+        codec.clear()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
