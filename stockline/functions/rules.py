@@ -112,10 +112,6 @@ def order_up_to_quantity(inventory: str | Column, avg_demand: str | Column, lead
     return _guard(value, invalid, "Replenishment inputs must be non-negative", strict)
 
 
-def days_between(later: str | Column, earlier: str | Column) -> Column:
-    return F.datediff(col(later), col(earlier))
-
-
 def expiry_bucket(days_to_expiry: str | Column) -> Column:
     """Shelf-life band; upper bounds inclusive; NULL falls to 'Over 365 days'."""
     d = col(days_to_expiry)

@@ -53,7 +53,7 @@ def load_tables(t: Tables) -> DataFrame:
 
     parts = []
     for name, df in t.frames().items():
-        problems = len(check_contract(df, SCHEMAS[name], strict_types=False))
+        problems = len(check_contract(df, SCHEMAS[name], integral_ids=True))
         parts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(name).alias("table_name"), "row_count",
             F.lit(len(SCHEMAS[name].fields)).alias("column_count"),

@@ -64,11 +64,3 @@ def register_views(t: Tables, prefix: str = "") -> list[str]:
 def query(spark: SparkSession, sql: str, params: Mapping[str, object] | None = None) -> DataFrame:
     """Run SQL over the registered views with named parameters."""
     return spark.sql(sql, args=dict(params or {}))
-
-
-def table_counts_sql(spark: SparkSession, prefix: str = "") -> DataFrame:
-    """Row count per table over the registered views (one union, one job)."""
-    from ..tables import TABLE_NAMES
-
-    parts = [f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {prefix}{n}" for n in TABLE_NAMES]
-    return spark.sql(" UNION ALL ".join(parts))

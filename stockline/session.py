@@ -13,28 +13,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the analytics assume on a cluster.  Sizes are per the 100 TB target:
-# AQE coalesces small shuffle partitions and splits skewed ones at run time, so
-# the static partition count only has to be large enough for the biggest stage.
-CLUSTER_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    # Dimension-sized build sides only; facts never fit under this bound.
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.session.timeZone": "UTC",
-    # Reliable checkpoints (forecast index and fit) are deleted once no
-    # DataFrame references them, so repeated jobs do not fill shared storage.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # Plans here are built from many column expressions; per-call call-site
-    # capture costs several Py4J round trips per function call on the driver.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
-}
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "stockline") -> SparkSession:
     """Local session for tests and benchmarks (UI off, AQE on)."""
     builder = (

@@ -1,4 +1,4 @@
-"""Forecasting with the reference's synthetic series, plus solver checks."""
+"""Forecasts on series with known shape, against a second derivation of the fit."""
 
 from __future__ import annotations
 
@@ -9,69 +9,95 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fixtures import tiny_tables
 from stockline.functions import ridge
 from stockline.operators import forecast
 
+FIRST = dt.date(2023, 1, 2)
 
-def _series(spark, weeks=104, start=dt.date(2024, 9, 30), key="s1", fn=None):
-    fn = fn or (lambda i: round(500 + 1.5 * i + 60 * math.sin(2 * math.pi * i / 52)))
-    rows = [(key, start + dt.timedelta(weeks=i), int(fn(i))) for i in range(weeks)]
+
+def series(spark, shape, weeks, key="north"):
+    rows = [(key, FIRST + dt.timedelta(weeks=i), round(shape(i))) for i in range(weeks)]
     return spark.createDataFrame(rows, "series string, week_start date, demand_units long")
 
 
-def test_accuracy_metrics(spark):
-    df = spark.createDataFrame([(100.0, 90.0), (200.0, 220.0)], "a double, p double")
+def falling(i):
+    return 900 - 2 * i + 70 * math.cos(4 * math.pi * i / 52)
+
+
+def test_errors_of_three_weeks(spark):
+    # off by 6, 0 and 10; the week without demand has no percentage: (6/24 + 10/40) / 2 = 25 %
+    df = spark.createDataFrame([(24.0, 18.0), (0.0, 0.0), (40.0, 50.0)], "a double, p double")
     mae, mape = forecast.accuracy_metrics("a", "p")
-    row = df.agg(mae.alias("mae"), mape.alias("mape")).collect()[0]
-    assert row.mae == 15
-    assert row.mape == pytest.approx(10.0)
-
-
-def test_forecast_has_holdout_metrics_and_12_future_weeks(spark):
-    result = forecast.forecast(_series(spark), ["series"], periods=12, test_weeks=12)
-    assert result.validation.count() == 12
-    future = result.future.orderBy("week_start").collect()
-    assert len(future) == 12
-    assert all(r.forecast_demand >= 0 for r in future)
-    assert all(r.lower_80 <= r.forecast_demand <= r.upper_80 for r in future)
-    assert future[0].week_start == dt.date(2024, 9, 30) + dt.timedelta(weeks=104)
-    assert all((b.week_start - a.week_start).days == 7 for a, b in zip(future, future[1:]))
-    m = result.metrics.collect()[0]
-    assert m.mae < 5 and m.mape < 2 and m.mae < m.baseline_mae
-    assert m.residual_lower <= 0 <= m.residual_upper
-
-
-def test_short_history_is_rejected_not_fatal(spark):
-    short = _series(spark, weeks=20, start=dt.date(2026, 1, 5), key="short", fn=lambda i: i)
-    both = short.unionByName(_series(spark))
-    result = forecast.forecast(both, ["series"])
-    rejected = result.rejected.collect()
-    assert [(r.series, r.n_obs) for r in rejected] == [("short", 20)]
-    assert "At least 64" in rejected[0].reason
-    assert {r.series for r in result.future.select("series").distinct().collect()} == {"s1"}
+    row = df.agg(mae.alias("mae"), mape.alias("mape")).first()
+    assert (row.mae, row.mape) == (pytest.approx(16 / 3), pytest.approx(25.0))
+
+
+def test_a_falling_series_with_a_half_year_wave(spark):
+    result = forecast.forecast(series(spark, falling, 130), ["series"], periods=9, test_weeks=10)
+    held = result.validation.orderBy("week_start").collect()
+    assert [r.t for r in held] == list(range(120, 130))
+    assert all(abs(r.predicted_demand - r.actual_demand) < 4 for r in held)
+    assert [r.seasonal_naive_demand for r in held] == [round(falling(i - 52)) for i in range(120, 130)]
+    ahead = result.future.orderBy("week_start").collect()
+    assert [r.week_start for r in ahead] == [FIRST + dt.timedelta(weeks=130 + i) for i in range(9)]
+    for i, r in enumerate(ahead):
+        assert abs(r.forecast_demand - falling(130 + i)) < 6
+        assert 0 <= r.lower_80 <= r.forecast_demand <= r.upper_80
+    score = result.metrics.first()
+    assert score.baseline_mae == pytest.approx(104, abs=1) and score.mae < 3
+    assert score.residual_lower <= 0 <= score.residual_upper
+
+
+def test_series_too_short_for_a_year(spark):
+    short = series(spark, falling, 61, key="south")  # 10 held out + 52 are needed
+    result = forecast.forecast(short.unionByName(series(spark, falling, 62)), ["series"], test_weeks=10)
+    assert [(r.series, r.n_obs, r.reason[:11]) for r in result.rejected.collect()] == [("south", 61, "At least 62")]
+    assert [r.series for r in result.future.select("series").distinct().collect()] == ["north"]
+
+
+@pytest.mark.parametrize("wrong", [{"periods": 0}, {"test_weeks": -1}, {"solver": "guess"}])
+def test_arguments(spark, wrong):
     with pytest.raises(ValueError):
-        forecast.forecast(both, ["series"], periods=0)
+        forecast.forecast(series(spark, falling, 5), ["series"], **wrong)
 
 
-def test_solvers_agree_with_closed_form_ridge(spark):
-    weekly = _series(spark, weeks=90, fn=lambda i: 300 + 2 * i + 40 * math.cos(2 * math.pi * i / 52) + (i % 7))
-    numpy_fit = forecast.forecast(weekly, ["series"], solver="numpy").coefficients.collect()[0]
-    sql_fit = forecast.forecast(weekly, ["series"], solver="sql").coefficients.collect()[0]
-    y = np.array([r.demand_units for r in weekly.orderBy("week_start").collect()], dtype=float)
-    t = np.arange(len(y), dtype=float)
-    x = np.column_stack([t] + [f(k * np.pi * t / 52) for k in (2, 4, 8) for f in (np.sin, np.cos)])
+@pytest.mark.parametrize("solver", ["numpy", "sql"])
+def test_fit_is_the_ridge_solution(spark, solver):
+    weekly = series(spark, lambda i: falling(i) + 13 * (i % 5), 95)
+    fit = forecast.forecast(weekly, ["series"], solver=solver).coefficients.first()
+    y = np.array([round(falling(i) + 13 * (i % 5)) for i in range(95)], float)
+    t = np.arange(95.0)
+    x = np.column_stack([t, *(wave(2 * np.pi * turns * t / 52) for turns in (1, 2, 4) for wave in (np.sin, np.cos))])
+    # ridge as least squares on rows appended for the penalty
     xc, yc = x - x.mean(0), y - y.mean()
-    w = np.linalg.solve(xc.T @ xc + np.eye(7), xc.T @ yc)
-    b = y.mean() - x.mean(0) @ w
-    for fit in (numpy_fit, sql_fit):
-        assert fit.f_intercept == pytest.approx(b, abs=1e-5)
-        assert [fit[f"f_{c}"] for c in ridge.COEFFICIENTS] == pytest.approx(list(w), abs=1e-5)
-
-
-def test_network_grain_over_tables(spark):
-    from fixtures import tiny_tables
-
-    t = tiny_tables(spark)
-    result = forecast.forecast_tables(t, ())
-    # 13 weeks of history only: the network series is rejected with a reason
-    assert result.rejected.select(F.col("n_obs")).collect()[0].n_obs == 13
+    w = np.linalg.lstsq(np.vstack([xc, np.eye(7)]), np.append(yc, np.zeros(7)), rcond=None)[0]
+    assert [fit[f"f_{c}"] for c in ridge.COEFFICIENTS] == pytest.approx(list(w), abs=1e-5)
+    assert fit.f_intercept == pytest.approx(y.mean() - x.mean(0) @ w, abs=1e-5)
+
+
+def test_weekly_average_is_over_the_forecast_s_own_horizon(spark):
+    result = forecast.forecast(series(spark, falling, 130), ["series"], periods=26)
+    total = sum(r.forecast_demand for r in result.future.collect())
+    kpi = forecast.forecast_kpis(result, ["series"]).first()
+    assert kpi.forecast_total == pytest.approx(total)
+    assert kpi.forecast_weekly_average == pytest.approx(total / 26, abs=1e-5)
+    assert kpi.last_actual == round(falling(129))
+
+
+def test_thousands_of_series_in_one_fit(spark):
+    n, weeks = 3000, 70
+    rows = spark.range(n * weeks).select(
+        (F.col("id") % n).alias("series"),
+        F.date_add(F.lit(FIRST), (F.floor(F.col("id") / n) * 7).cast("int")).alias("week_start"),
+        (100 + (F.col("id") % n) + 3 * F.floor(F.col("id") / n)).cast("long").alias("demand_units"),
+    )
+    result = forecast.forecast(rows, ["series"])
+    assert result.rejected.isEmpty()
+    off = result.validation.agg(F.count("*").alias("n"), F.max(F.abs(F.col("predicted_demand") - F.col("actual_demand"))).alias("off")).first()
+    assert (off.n, result.future.count()) == (12 * n, 12 * n) and off.off < 10
+
+
+def test_network_series_of_a_young_table(spark):
+    result = forecast.forecast_tables(tiny_tables(spark), ())
+    assert [r.n_obs for r in result.rejected.collect()] == [13]

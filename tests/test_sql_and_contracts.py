@@ -21,8 +21,7 @@ def test_parameterised_query_over_views(spark):
         {"wh": "W1"},
     ).collect()
     assert [(r.product_id, r.stockout_risk) for r in rows] == [("P1", "Watch")]
-    counts = {r.table_name: r.row_count for r in views.table_counts_sql(spark, "fx_").collect()}
-    assert counts["weekly_sales"] == 26 and counts["warehouses"] == 2
+    assert views.query(spark, "SELECT count(*) AS n FROM fx_weekly_sales").first().n == 26
     kpi = views.query(spark, "SELECT * FROM fx_v_executive_kpis").collect()
     assert len(kpi) == 1 and kpi[0].total_revenue > 0
 
@@ -42,4 +41,22 @@ def test_contract_reports_type_drift(spark):
     problems = check_contract(drifted, SCHEMAS["products"])
     assert "missing column strength" in problems
     assert any(p.startswith("column unit_cost: expected double") for p in problems)
-    assert check_contract(drifted, T.StructType([T.StructField("unit_cost", T.DoubleType())]), strict_types=False) == []
+
+
+def test_integral_ids_stand_in_for_strings_only_where_asked():
+    class Frame:
+        schema = T.StructType([T.StructField("product_id", T.LongType()), T.StructField("unit_cost", T.LongType())])
+
+    declared = T.StructType([T.StructField("product_id", T.StringType()), T.StructField("unit_cost", T.DoubleType())])
+    assert len(check_contract(Frame, declared)) == 2
+    assert check_contract(Frame, declared, integral_ids=True) == ["column unit_cost: expected double, got bigint"]
+
+
+def test_views_without_a_column_that_pages_read_are_refused(spark):
+    t = tiny_tables(spark)
+    built = {name: build(t) for name, build in views.VIEWS.items()}
+    views.check_view_columns(built)
+    with pytest.raises(ValueError, match="Missing columns: on_order_quantity"):
+        views.check_view_columns(built | {"v_inventory_health": built["v_inventory_health"].drop("on_order_quantity")})
+    with pytest.raises(ValueError, match="Missing required objects: v_expiry_risk"):
+        views.check_view_columns({k: v for k, v in built.items() if k != "v_expiry_risk"})
