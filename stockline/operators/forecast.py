@@ -17,6 +17,8 @@ reason instead of failing the job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions import ridge
 from ..functions.contracts import require_columns
 from ..functions.numeric import round_half_up
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..tables import Tables
 
 ANNUAL = 52
@@ -75,6 +77,19 @@ def _apply_stages(df: DataFrame, stages: list[list[tuple[str, str]]], carry: lis
     return df
 
 
+def _join_series(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join two frames by series; a NULL key is a series of its own."""
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_{k}" for k in keys])
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class ForecastResult:
     """Outputs of one forecast over every series of a grain.
 
@@ -86,17 +101,15 @@ class ForecastResult:
     * ``fitted``: one row per accepted series -- both coefficient sets and the
       unrounded holdout statistics, from the single ridge solve.
 
-    Outputs that read only the index (history, rejected, seasonal naive,
-    recent rows) stay one lazy plan.  When the fit is first requested, the
-    index and then the fit are written as reliable checkpoints in
-    ``spark.checkpoint.dir`` (lineage cut; a lost executor re-reads them), so
-    the input is scanned and aggregated once and the solve runs once however
-    many fit outputs a caller combines (validation, future and KPIs join the
-    fit back to the index).  ``materialize=False`` keeps everything lazy.
+    Everything is lazy until ``materialize()`` is called.  It writes the index
+    and the fit as Parquet in the shared checkpoint folder (lineage cut; a lost
+    executor re-reads them; readers take only the columns they need), so the
+    input is scanned and aggregated once and the solve runs once however many
+    outputs a caller combines.  Without it each output plans what it needs from
+    the input.
     """
 
-    def __init__(self, weekly: DataFrame, keys: Sequence[str], periods: int, test_weeks: int, alpha: float,
-                 solver: str, materialize: bool = True):
+    def __init__(self, weekly: DataFrame, keys: Sequence[str], periods: int, test_weeks: int, alpha: float, solver: str):
         if periods <= 0 or test_weeks <= 0:
             raise ValueError("Forecast and test horizons must be positive")
         if solver not in ("numpy", "sql"):
@@ -104,16 +117,19 @@ class ForecastResult:
         self.keys = list(keys)
         self.periods, self.test_weeks, self.alpha, self.solver = periods, test_weeks, alpha, solver
         self.minimum = test_weeks + ANNUAL
-        self.materialize = materialize
         self._weekly = weekly
         self._indexed: DataFrame | None = None
         self._fitted: DataFrame | None = None
+        self._written = False
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        if not self.materialize:
-            return df
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+    def materialize(self) -> ForecastResult:
+        """Write the index and the fit (two jobs); later outputs read them."""
+        if not self._written:
+            self._indexed = _written(self.indexed, "forecast-index")
+            self._fitted = None  # planned anew, from the written index
+            self._fitted = _written(self.fitted, "forecast-fit")
+            self._written = True
+        return self
 
     @property
     def indexed(self) -> DataFrame:
@@ -145,8 +161,6 @@ class ForecastResult:
         unrounded MAE/MAPE (model and seasonal naive) and the residual band."""
         if self._fitted is None:
             keys = self.keys
-            # Every consumer of the fit may join back to the index: write it first.
-            self._indexed = self._keep(self.indexed)
             feats = self._features(self.indexed.where(F.col("n_obs") >= self.minimum))
             # Both moment sets (holdout fit, full refit) in one aggregation pass.
             aggs = ridge.moment_aggregates("h_", "t < split", "actual_demand") + ridge.moment_aggregates(
@@ -170,22 +184,20 @@ class ForecastResult:
             # Holdout rows meet their model once; the coefficients ride through
             # the per-series aggregate (constant within a series), so the solve
             # is planned once.
-            holdout = _predict(feats.where(F.col("t") >= F.col("split")).join(models.drop("n_obs"), keys))
+            holdout = _predict(_join_series(feats.where(F.col("t") >= F.col("split")), models.drop("n_obs"), keys))
             mae, mape = accuracy_metrics("actual_demand", "predicted_demand")
             base_mae, base_mape = accuracy_metrics("actual_demand", "seasonal_naive_demand")
             residual = F.col("actual_demand") - F.col("predicted_demand")
-            self._fitted = self._keep(
-                holdout.groupBy(*keys).agg(
-                    F.max("n_obs").alias("n_obs"),
-                    F.max("last_week").alias("last_week"),
-                    *[F.max(c).alias(c) for c in coefs],
-                    mae.alias("mae"),
-                    mape.alias("mape"),
-                    base_mae.alias("baseline_mae"),
-                    base_mape.alias("baseline_mape"),
-                    F.least(F.percentile(residual, F.lit(0.1)), F.lit(0.0)).alias("residual_lower"),
-                    F.greatest(F.percentile(residual, F.lit(0.9)), F.lit(0.0)).alias("residual_upper"),
-                )
+            self._fitted = holdout.groupBy(*keys).agg(
+                F.max("n_obs").alias("n_obs"),
+                F.max("last_week").alias("last_week"),
+                *[F.max(c).alias(c) for c in coefs],
+                mae.alias("mae"),
+                mape.alias("mape"),
+                base_mae.alias("baseline_mae"),
+                base_mape.alias("baseline_mape"),
+                F.least(F.percentile(residual, F.lit(0.1)), F.lit(0.0)).alias("residual_lower"),
+                F.greatest(F.percentile(residual, F.lit(0.9)), F.lit(0.0)).alias("residual_upper"),
             )
         return self._fitted
 
@@ -214,9 +226,9 @@ class ForecastResult:
     def validation(self) -> DataFrame:
         """Holdout rows with clipped predictions and the seasonal naive value."""
         coefs = [f"h_{c}" for c in COEF_COLS]
-        models = self.fitted.select(*self.keys, *coefs)  # first: materializes the index
+        models = self.fitted.select(*self.keys, *coefs)
         holdout = self._features(self.indexed.where(F.col("n_obs") >= self.minimum))
-        rows = _predict(holdout.where(F.col("t") >= F.col("split")).join(models, self.keys))
+        rows = _predict(_join_series(holdout.where(F.col("t") >= F.col("split")), models, self.keys))
         return rows.select(
             *self.keys, "week_start", "t", "actual_demand",
             round_half_up("predicted_demand", REPORT_DECIMALS).alias("predicted_demand"),
@@ -275,7 +287,6 @@ def forecast(
     test_weeks: int = 12,
     alpha: float = 1.0,
     solver: str = "numpy",
-    materialize: bool = True,
 ) -> ForecastResult:
     """G1-G11 for every series of ``weekly`` (columns: keys, week_start, demand_units).
 
@@ -284,7 +295,7 @@ def forecast(
     ``solver="sql"`` uses the generated elimination expressions (JVM only).
     """
     require_columns(weekly, [*keys, "week_start", "demand_units"])
-    return ForecastResult(weekly, keys, periods, test_weeks, alpha, solver, materialize)
+    return ForecastResult(weekly, keys, periods, test_weeks, alpha, solver)
 
 
 def forecast_tables(t: Tables, grain: Sequence[str], periods: int = 12, test_weeks: int = 12,
@@ -310,8 +321,7 @@ def forecast_kpis(result: ForecastResult, keys: Sequence[str]) -> DataFrame:
         F.lit(100.0) * (F.col("baseline_mae") - F.col("mae")) / F.col("baseline_mae"),
     )
     return (
-        totals.join(result.metrics, keys)
-        .join(last, keys)
+        _join_series(_join_series(totals, result.metrics, keys), last, keys)
         .select(
             *keys,
             "forecast_total",

@@ -2,9 +2,9 @@
 
 Output of ``dq_summary``: one row per rule ``(rule_id, family, table_name,
 violations)``.  Row-level rules of a table (not null, ranges, cross-column,
-date order, status) are evaluated in **one pass** per table as conditional
-counts; key rules use a grouped count (uniqueness) or a left-anti join
-(foreign keys).  ``quarantine`` returns the offending rows of one rule.
+date order, status) and its foreign keys come from **one scan** (``table_pass``);
+primary keys and unique keys are one grouped count each.  ``quarantine`` returns
+the offending rows of one rule.
 
 A CHECK whose condition is NULL passes in SQL; ``count(when(~cond, 1))``
 skips NULL conditions the same way.
@@ -140,33 +140,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def row_rule_counts(t: Tables, families: tuple[str, ...] | None = None, only: set[str] | None = None) -> DataFrame:
-    """Row-level rules, one aggregate pass per table, unpivoted to rule rows.
-
-    The rules are SQL predicates, so each table's counts are a single global
-    aggregate written as select expressions.
-    """
-    frames = t.frames()
-    parts = []
-    all_rules = row_rules()
-    for table in TABLE_NAMES:
-        rules = [
-            r for r in all_rules
-            if r.table == table and (families is None or r.family in families) and (only is None or r.rule_id in only)
-        ]
-        if not rules:
-            continue
-        # One aggregate pass, unpivoted by ``stack`` over the conditional counts.
-        entries = ", ".join(
-            f"'{r.rule_id}', '{r.family}', '{table}', CAST(count(CASE WHEN NOT ({r.condition}) THEN 1 END) AS BIGINT)"
-            for r in rules
-        )
-        parts.append(frames[table].selectExpr(
-            f"stack({len(rules)}, {entries}) AS (rule_id, family, table_name, violations)"
-        ))
-    return _union(parts)
-
-
 def _duplicate_rows(df: DataFrame, cols: tuple[str, ...], rule_id: str, table: str) -> DataFrame:
     """Rows beyond the first per key value (what ``duplicated()`` flags), as a summary row."""
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).selectExpr(
@@ -216,29 +189,39 @@ def _orphans(t: Tables, child: str, ccol: str, parent: str, pcol: str) -> DataFr
     return kids.join(keys, F.col(ccol) == F.col("_parent_key"), "left_anti")
 
 
-def foreign_key_counts(t: Tables, only: set[str] | None = None) -> DataFrame:
-    """Child rows whose key has no parent.
+def table_pass(t: Tables, table: str, families: tuple[str, ...] = (), only: set[str] | None = None) -> DataFrame | None:
+    """B4-B9 for one table: its foreign keys and row rules from one scan.
 
-    Child rows are first counted per distinct key (partial aggregation before
-    the shuffle), so a hot key -- or a warehouse column with a handful of
-    values -- reaches the anti join as one row per map task, not as its rows;
-    the orphan count is the sum of the unmatched keys' counts.
+    Rows are counted per combination of the foreign-key columns, with the
+    violations of every row rule beside them (partial aggregation before the
+    shuffle, so a hot key reaches the joins as one row per map task).  The
+    combinations are joined to the parents' distinct keys, and one global
+    aggregate gives all summary rows.
     """
     frames = t.frames()
-    parts = []
-    for rule_id, child, ccol, parent, pcol in FOREIGN_KEYS:
-        if only is not None and rule_id not in only:
-            continue
-        kids = (
-            frames[child].where(F.col(ccol).isNotNull())
-            .groupBy(ccol).agg(F.count(F.lit(1)).alias("_rows"))
-        )
-        keys = frames[parent].select(F.col(pcol).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
-        parts.append(
-            kids.join(keys, F.col(ccol) == F.col("_parent_key"), "left_anti")
-            .selectExpr(*_summary_row(rule_id, "foreign_key", child, "coalesce(sum(_rows), 0)"))
-        )
-    return _union(parts)
+    wanted = lambda family, rule: family in families and (only is None or rule in only)
+    keys = [k for k in FOREIGN_KEYS if k[1] == table and wanted("foreign_key", k[0])]
+    rules = [r for r in row_rules() if r.table == table and wanted(r.family, r.rule_id)]
+    if not keys and not rules:
+        return None
+    broken = [f"count(CASE WHEN NOT ({r.condition}) THEN 1 END)" for r in rules]
+    entries = [f"'{r.rule_id}', '{r.family}', '{table}', CAST({n} AS BIGINT)" for r, n in zip(rules, broken)]
+    source = frames[table]
+    if keys:
+        columns = list(dict.fromkeys(k[2] for k in keys))
+        source = source.groupBy(*columns).agg(F.expr("count(1)").alias("_rows"), *[F.expr(n).alias(f"_v{i}") for i, n in enumerate(broken)])
+        entries = [f"'{r.rule_id}', '{r.family}', '{table}', CAST(coalesce(sum(_v{i}), 0) AS BIGINT)" for i, r in enumerate(rules)]
+        for i, (rule_id, _, column, parent, parent_column) in enumerate(keys):
+            known = frames[parent].select(F.col(parent_column).alias(f"_p{i}")).where(F.col(f"_p{i}").isNotNull()).distinct()
+            source = source.join(known, F.col(column) == F.col(f"_p{i}"), "left")
+            orphans = f"coalesce(sum(CASE WHEN {column} IS NOT NULL AND _p{i} IS NULL THEN _rows END), 0)"
+            entries.append(f"'{rule_id}', 'foreign_key', '{table}', CAST({orphans} AS BIGINT)")
+    return source.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (rule_id, family, table_name, violations)")
+
+
+def row_and_key_counts(t: Tables, families: tuple[str, ...], only: set[str] | None = None) -> DataFrame:
+    """``table_pass`` of every table."""
+    return _union([p for p in (table_pass(t, table, families, only) for table in TABLE_NAMES) if p is not None])
 
 
 ROW_FAMILIES = ("not_null", "range", "cross_column", "date_order", "status")
@@ -258,11 +241,9 @@ def dq_summary(t: Tables, families: tuple[str, ...] | None = None) -> DataFrame:
         parts.append(primary_key_counts(t).where(F.col("family").isin(*wanted)))
     if "unique" in wanted:
         parts.append(unique_counts(t))
-    if "foreign_key" in wanted:
-        parts.append(foreign_key_counts(t))
-    row_families = [f for f in ROW_FAMILIES if f in wanted]
-    if row_families:
-        parts.append(row_rule_counts(t, tuple(row_families)))
+    scanned = tuple(f for f in ("foreign_key", *ROW_FAMILIES) if f in wanted)
+    if scanned:
+        parts.append(row_and_key_counts(t, scanned))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -363,7 +344,7 @@ def validate_tables(t: Tables, scope: str = "loader") -> None:
         gate_ids = {rule_id for rule_id, _ in GATE}
         summary = reduce(
             DataFrame.unionByName,
-            [primary_key_counts(t), foreign_key_counts(t, gate_ids), row_rule_counts(t, only=gate_ids)],
+            [primary_key_counts(t), row_and_key_counts(t, ("foreign_key", *ROW_FAMILIES), gate_ids)],
         )
     counts = {r["rule_id"]: r["violations"] for r in summary.collect()}
     counts.update({r["rule_id"]: r["violations"] for r in unknown_operand_counts(t).collect()})

@@ -83,35 +83,24 @@ def _dq_family(*families: str) -> Callable[[Tables], DataFrame]:
     return run
 
 
-def _fc(part: str, grain=FORECAST_GRAIN) -> Callable[[Tables], DataFrame]:
-    def run(t: Tables) -> DataFrame:
-        result = forecast.forecast_tables(t, grain)
-        keys = list(grain) if grain else ["series"]
-        if part == "kpis":
-            return forecast.forecast_kpis(result, keys)
-        if part == "recent_history":
-            return forecast.recent_history(result, keys)
-        return getattr(result, part)
-
-    return run
-
-
-def _metric_cols(t: Tables) -> DataFrame:
-    m = forecast.forecast_tables(t, FORECAST_GRAIN).metrics
-    return m.select(*FORECAST_GRAIN, "mae", "mape", "baseline_mae", "baseline_mape")
+_RESULTS: dict[tuple[str, ...], tuple[Tables, forecast.ForecastResult]] = {}
 
 
-def _band(t: Tables) -> DataFrame:
-    m = forecast.forecast_tables(t, FORECAST_GRAIN).metrics
-    return m.select(*FORECAST_GRAIN, "residual_lower", "residual_upper")
+def _forecast(t: Tables, grain: tuple[str, ...]) -> forecast.ForecastResult:
+    """One forecast per grain and table set, shared by all queries on its outputs."""
+    if grain not in _RESULTS or _RESULTS[grain][0] is not t:
+        _RESULTS[grain] = t, forecast.forecast_tables(t, grain)
+    return _RESULTS[grain][1]
 
 
-def _series_index(t: Tables) -> DataFrame:
-    return forecast.forecast_tables(t, FORECAST_GRAIN).history
+def _fit(part: Callable[[forecast.ForecastResult], DataFrame], grain: tuple[str, ...] = FORECAST_GRAIN) -> Callable[[Tables], DataFrame]:
+    """An output of the fit: index and fit are written once and read by all of them."""
+    return lambda t: part(_forecast(t, grain).materialize())
 
 
-def _seasonal_naive(t: Tables) -> DataFrame:
-    return forecast.forecast_tables(t, FORECAST_GRAIN).seasonal_naive
+def _index(part: Callable[[forecast.ForecastResult], DataFrame], grain: tuple[str, ...] = FORECAST_GRAIN) -> Callable[[Tables], DataFrame]:
+    """An output of the index alone."""
+    return lambda t: part(_forecast(t, grain))
 
 
 SPARK_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -174,17 +163,17 @@ SPARK_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "order_allocation": kpis.order_allocation,
     "replenishment_kpis": kpis.replenishment_kpis,
     # G — forecasting (dosage form x warehouse series; network series)
-    "series_index": _series_index,
-    "rejected_series": lambda t: forecast.forecast_tables(t, ("product_id", "warehouse_id")).rejected,
-    "ridge_moments": _fc("coefficients"),
-    "forecast_validation": _fc("validation"),
-    "seasonal_naive": _seasonal_naive,
-    "forecast_accuracy": _metric_cols,
-    "residual_band": _band,
-    "forecast_future": _fc("future"),
-    "forecast_network_future": _fc("future", grain=()),
-    "forecast_kpis": _fc("kpis"),
-    "forecast_recent_history": _fc("recent_history"),
+    "series_index": _index(lambda r: r.history),
+    "rejected_series": _index(lambda r: r.rejected, ("product_id", "warehouse_id")),
+    "ridge_moments": _fit(lambda r: r.coefficients),
+    "forecast_validation": _fit(lambda r: r.validation),
+    "seasonal_naive": _index(lambda r: r.seasonal_naive),
+    "forecast_accuracy": _fit(lambda r: r.metrics.select(*FORECAST_GRAIN, "mae", "mape", "baseline_mae", "baseline_mape")),
+    "residual_band": _fit(lambda r: r.metrics.select(*FORECAST_GRAIN, "residual_lower", "residual_upper")),
+    "forecast_future": _fit(lambda r: r.future),
+    "forecast_network_future": _fit(lambda r: r.future, ()),
+    "forecast_kpis": _fit(lambda r: forecast.forecast_kpis(r, FORECAST_GRAIN)),
+    "forecast_recent_history": _index(lambda r: forecast.recent_history(r, FORECAST_GRAIN)),
 }
 
 

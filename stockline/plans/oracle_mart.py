@@ -74,9 +74,9 @@ inventory_batches AS (
 ),
 po_status AS (
     SELECT *,
-           CASE WHEN d > CAST({AS_OF_SQL} - INTERVAL (CAST(floor(lead * 65 / 100) AS INTEGER)) DAY AS DATE)
+           CASE WHEN d > CAST({AS_OF_SQL} - INTERVAL (CAST(floor(lead * 50 / 100) AS INTEGER)) DAY AS DATE)
                 THEN 'Open'
-                WHEN l_orderkey % 40 = 0 THEN 'Cancelled'
+                WHEN l_orderkey % 25 = 0 THEN 'Cancelled'
                 ELSE 'Delivered' END AS status,
            CAST(d + INTERVAL (lead) DAY AS DATE) AS promised,
            CAST(l_quantity AS BIGINT) AS qty
@@ -88,8 +88,8 @@ purchase_orders AS (
            d AS order_date,
            promised AS promised_delivery_date,
            CASE WHEN status = 'Delivered' THEN
-               CAST(promised + INTERVAL (CASE WHEN l_tax <= 0.065 THEN -(l_orderkey % 6)
-                                              ELSE 1 + l_orderkey % 14 END) DAY AS DATE)
+               CAST(promised + INTERVAL (CASE WHEN l_tax <= 0.05 THEN -(l_orderkey % 4)
+                                              ELSE 1 + l_orderkey % 10 END) DAY AS DATE)
            END AS actual_delivery_date,
            20 * qty AS ordered_quantity,
            CASE WHEN status = 'Delivered' THEN 20 * qty - qty * (l_orderkey % 2) ELSE 0 END AS received_quantity,

@@ -36,10 +36,10 @@ EXPIRY_DAYS_PER_SIZE = 40
 COST_RATIO = "0.4"  # unit_cost = round(retail price * 0.4, 2)
 SAFETY_BASE, SAFETY_MOD = 5, 20  # safety_stock = 5 + partkey % 20
 CONTRACT_BASE, CONTRACT_MOD = 28, 22  # contracted lead = 28 + suppkey % 22
-OPEN_WINDOW_PCT = 65  # Open when d > as_of - floor(lead * 65 / 100)
-CANCEL_MOD = 40  # Cancelled when orderkey % 40 = 0 (and not Open)
-EARLY_TAX_LIMIT = 0.065  # delivered early (orderkey % 6 days) when tax <= 0.065
-EARLY_MOD, LATE_MOD = 6, 14  # else late by 1 + orderkey % 14 days
+OPEN_WINDOW_PCT = 50  # Open when d > as_of - floor(lead * 50 / 100)
+CANCEL_MOD = 25  # Cancelled when orderkey % 25 = 0 (and not Open)
+EARLY_TAX_LIMIT = 0.05  # delivered early (orderkey % 4 days) when tax <= 0.05
+EARLY_MOD, LATE_MOD = 4, 10  # else late by 1 + orderkey % 10 days
 ORDER_MULTIPLIER = 20  # ordered = 20 * quantity
 
 MONEY = "decimal(18,4)"
@@ -112,7 +112,7 @@ def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage
         F.col("s_suppkey").alias("supplier_id"),
         F.col("s_name").alias("supplier_name"),
         F.col("n_name").alias("country"),
-        (F.lit(CONTRACT_BASE) + F.col("s_suppkey") % CONTRACT_MOD).alias("contracted_lead_time_days"),
+        (F.lit(CONTRACT_BASE) + F.col("s_suppkey") % CONTRACT_MOD).cast("int").alias("contracted_lead_time_days"),
     )
 
     order_warehouse = (

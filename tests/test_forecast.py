@@ -101,3 +101,11 @@ def test_thousands_of_series_in_one_fit(spark):
 def test_network_series_of_a_young_table(spark):
     result = forecast.forecast_tables(tiny_tables(spark), ())
     assert [r.n_obs for r in result.rejected.collect()] == [13]
+
+
+def test_a_series_without_a_key_is_a_series(spark):
+    weekly = series(spark, falling, 80).unionByName(series(spark, falling, 80).withColumn("series", F.lit(None).cast("string")))
+    result = forecast.forecast(weekly, ["series"]).materialize()
+    counts = {r["series"]: r["count"] for r in result.validation.groupBy("series").count().collect()}
+    assert counts == {"north": 12, None: 12}
+    assert forecast.forecast_kpis(result, ["series"]).count() == 2

@@ -154,7 +154,7 @@ def test_foreign_key_orphans_count_rows_not_keys(spark):
         ("B5", "N5", "P1", "W7", D("2025-09-01"), D("2027-03-26"), 900, 200, 100),
     ]
     t = tiny_tables(spark, inventory_batches=batches)
-    counts = {r.rule_id: r.violations for r in quality.foreign_key_counts(t).collect()}
+    counts = {r.rule_id: r.violations for r in quality.dq_summary(t, ("foreign_key",)).collect()}
     assert counts["fk.inventory_batches.product_id"] == 3
     assert counts["fk.inventory_batches.warehouse_id"] == 1
     assert counts["fk.purchase_orders.product_id"] == 0

@@ -7,6 +7,7 @@ import tempfile
 
 import pytest
 
+from stockline.operators import forecast
 from stockline.plans.catalog import SPARK_QUERIES
 from stockline.sources import files, mart
 
@@ -83,6 +84,22 @@ def test_forecast_outputs_read_the_written_fit_not_the_input(snapshot, capsys):
     assert "Window" not in text
 
 
-def test_index_only_forecast_outputs_stay_one_lazy_plan(snapshot, capsys):
-    text = plan(SPARK_QUERIES["forecast_recent_history"](snapshot), capsys)
+def test_forecasts_run_no_job_until_materialized(snapshot, capsys):
+    result = forecast.forecast_tables(snapshot, ("dosage_form", "warehouse_id"))
+    text = plan(forecast.recent_history(result, result.keys), capsys)
     assert "weekly_sales" in text and "MapInPandas" not in text
+    assert "weekly_sales" in plan(result.metrics, capsys)  # planned, not run
+    result.materialize()
+    assert "weekly_sales" not in plan(result.metrics, capsys)
+    assert "MapInPandas" not in plan(result.future, capsys)
+
+
+def test_queries_share_one_fit(snapshot):
+    one, two = (SPARK_QUERIES[k](snapshot) for k in ("forecast_future", "residual_band"))
+    assert set(two.inputFiles()) <= set(one.inputFiles())
+
+
+def test_quality_summary_scans_each_fact_three_times_at_most(snapshot, capsys):
+    text = plan(SPARK_QUERIES["dq_summary"](snapshot), capsys)
+    for table, most in (("weekly_sales", 3), ("inventory_batches", 3), ("purchase_orders", 2)):
+        assert 0 < len(re.findall(rf"Location: [^\n]*/{table}\]", text)) <= most, table
