@@ -38,7 +38,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the piece ids, and digests of ids and of the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model).select(
+    return sentencepiece_codec.round_trip(docs, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",

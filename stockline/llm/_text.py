@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -31,7 +31,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
         b = pow(base, -1, 1 << 64) if inverse else base
-        out = np.full(max(n, 1 << 21), b, np.uint64)
+        out = np.full(1 << max(n - 1, 1 << 15).bit_length(), b, np.uint64)
         out[0] = 1
         have = _powers[base, inverse] = np.multiply.accumulate(out)
     return have[:n]

@@ -63,8 +63,7 @@ def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model)
-    return sentencepiece_codec.decode(encoded, model).select(
+    return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

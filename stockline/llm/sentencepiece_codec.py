@@ -6,8 +6,9 @@ the model is loaded), no merge can cross the border before a run of markers, so
 a text is encoded chunk by chunk (markers and what follows up to the next
 marker).  Each distinct chunk is segmented once, with the library, and its ids
 are joined back by position; decoding goes the same way.  The table lives as long as
-its task and is cut back to the chunks in use when it holds ``table_chunks`` of
-them, which bounds memory and changes no result.
+its task, in two generations of ``table_chunks`` / 2 chunks: when the young one is
+full it becomes the old one, and an old chunk that is met again moves back, so
+frequent chunks stay, memory is bounded, and no result depends on it.
 
 Models whose normaliser rewrites characters, or whose pieces cross markers, are
 refused; ``verify`` encodes test strings both ways.
@@ -30,12 +31,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_CHUNKS = 250_000
-BATCH_BYTES = 2 << 20
+TABLE_CHUNKS = 120_000
+BATCH_BYTES = 1 << 19
 _CHUNKS = re.compile(" +[^ ]*")
 _PROBES = ("", " ", "  two  spaces ", "a\tb\nc", f"x{MARK}y {MARK} z", "café 中文 \U0001f600\u0000", "ﬁ é 　 ​")
 
 
+class Table:
+    """What distinct chunks came to, in two generations of bounded size."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, used: set, make) -> dict:
+        """A table that holds all of ``used``; ``make`` works out a list of new ones."""
+        if len(self.young) + len(used) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        absent = used - young.keys()
+        known = absent & old.keys()
+        young.update((c, old[c]) for c in known)
+        if new := list(absent - known):
+            young.update(zip(new, make(new)))
+        return young
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 class Codec:
     """One loaded model with its tables of distinct chunks.
 
@@ -53,9 +76,7 @@ class Codec:
             raise ValueError("pieces cross whitespace markers: chunks cannot be encoded one by one")
         self.begins = np.array([p.startswith(MARK) for p in pieces])
         self.lone = self.sp.piece_to_id(MARK)
-        self.limit = table_chunks
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[bytes, str] = {}
+        self.ids, self.texts = Table(table_chunks // 2), Table(table_chunks // 2)
         self.verify(_PROBES)
 
     @classmethod
@@ -71,48 +92,41 @@ class Codec:
             if np.frombuffer(self.encode([t])[0], "<i4").tolist() != ids or self.decode([np.array(ids, "<i4")]) != [self.sp.decode(ids)]:
                 raise ValueError(f"the model does not encode chunk by chunk: {t!r}")
 
-    def _room(self, table: dict, used: set) -> None:
-        """Cut a table that has outgrown its bound back to the chunks in use."""
-        if len(table) > self.limit:
-            kept = {c: table[c] for c in used if c in table}
-            table.clear()
-            table.update(kept)
-
     def clear(self) -> None:
+        """Give memory back when a task ends; its worker may stay for other work."""
         self.ids.clear()
         self.texts.clear()
+        pa.default_memory_pool().release_unused()
+
+    def _segment(self, chunks: list[str]) -> list[bytes]:
+        # chunks come without their first marker, which the library puts in front itself
+        return [array("i", ids if c else [self.lone]).tobytes() for c, ids in zip(chunks, self.sp.encode(chunks, num_threads=1))]
+
+    def _join(self, chunks: list[bytes]) -> list[str]:
+        # behind two markers of its own, the library drops none of a chunk's
+        return [t[1:] for t in self.sp.decode([[self.lone, self.lone, *array("i", c)] for c in chunks], num_threads=1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: new chunks are segmented together, then all are joined by position."""
-        table, chunked = self.ids, []
+        chunked = []
         for text in texts:
             text = text.replace(MARK, " ")
             chunks = text.split(" ") if text else []
             if "" in chunks:  # runs of markers belong to the chunk behind them
                 chunks = [c[1:] for c in _CHUNKS.findall(" " + text)]
             chunked.append(chunks)
-        used = set().union(*chunked)
-        self._room(table, used)
-        new = list(used - table.keys())
-        # chunks come without their first marker, which the library puts in front itself
-        for chunk, ids in zip(new, self.sp.encode(new, num_threads=1) if new else ()):
-            table[chunk] = array("i", ids if chunk else [self.lone]).tobytes()
+        table = self.ids.get(set().union(*chunked), self._segment)
         return [b"".join(map(table.__getitem__, chunks)) for chunks in chunked]
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """The text of each row of ids: chunks are cut before pieces that begin with a marker."""
-        table, chunked, heads = self.texts, [], []
+        chunked, heads = [], []
         for ids in rows:
             cuts = (4 * (np.flatnonzero(self.begins[ids[1:]]) + 1)).tolist()
             data = ids.astype("<i4").tobytes()
             heads.append(ids[: cuts[0] // 4 if cuts else len(ids)].tolist())
             chunked.append([data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])])
-        used = set().union(*chunked)
-        self._room(table, used)
-        new = list(used - table.keys())
-        # behind two markers of its own, the library drops none of a chunk's
-        for chunk, text in zip(new, self.sp.decode([[self.lone, self.lone, *array("i", c)] for c in new], num_threads=1) if new else ()):
-            table[chunk] = text[1:]
+        table = self.texts.get(set().union(*chunked), self._join)
         first = self.sp.decode(heads, num_threads=1) if heads else []
         return [head + "".join(map(table.__getitem__, chunks)) for head, chunks in zip(first, chunked)]
 
@@ -145,7 +159,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 off = np.append(0, np.cumsum([len(x) // 4 for x in data])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], ["doc_id", "ids"])
-        codec.clear()  # a worker may stay for other work
+        codec.clear()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -167,3 +181,24 @@ def decode(encoded: DataFrame, model_path: str, table_chunks: int = TABLE_CHUNKS
         codec.clear()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_chunks: int = TABLE_CHUNKS) -> DataFrame:
+    """doc_id, ids and ``decoded``: ``decode(encode(docs))`` in one pass, so that ids cross to Python once."""
+    shared = docs.sparkSession.sparkContext.broadcast(_model(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.load(shared.value, table_chunks)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in _parts(sizes, BATCH_BYTES):
+                data = codec.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
+                off = np.append(0, np.cumsum([len(x) // 4 for x in data])).astype(np.int32)
+                flat = np.frombuffer(b"".join(data), "<i4")
+                texts = codec.decode([flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+                ids = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        codec.clear()
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

@@ -233,6 +233,7 @@ def test_pieces_are_the_library_s(corpus, make_docs):
     got = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, PIECES, table_chunks=50), PIECES, table_chunks=50).collect()
     expected = [(str(d), library.encode(t or "")) for d, t in rows]
     assert sorted((str(r.doc_id), list(r.ids), r.decoded) for r in got) == sorted((d, i, library.decode(i)) for d, i in expected)
+    assert sorted(map(tuple, sentencepiece_codec.round_trip(docs, PIECES).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert sentencepiece_codec.encode(make_docs([]), PIECES).collect() == []
 
 
