@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from stockline.llm import _text
 
 BLOCK_TOKENS = 1 << 16
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 300_000
 GROUP = 64
 SCHEMA = (
     "shard int, block int, start bigint, n_tokens bigint, ids array<bigint>, lengths array<bigint>, bits int, payload binary"
@@ -50,6 +50,7 @@ _PRE_TOKEN = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     "|[^a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+"
 )
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _PROBES = ("", "  A b\tC\r\nd ", "don't it's x'LL", "é ́x Å", "a b　c d\x85e\x1cf", "<|endoftext|>x <|startoftext|> y", "中文 \U0001f600!?", "1 22 333 ΣΣ İ", "Ünï-Çødé÷x, 'TIS ½x²! it'S_x")
 
 
@@ -136,9 +137,12 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of one white-space-delimited chunk."""
-        if not chunk.isprintable() or "<|" in chunk or max(chunk, default="") > "\xff":
+        if not chunk.isascii() and _BEYOND_LATIN.search(chunk) or not chunk.isprintable() or "<|" in chunk:
             return array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, _PRE_TOKEN.findall(chunk.lower())))
+        low = chunk.lower()
+        if low.isalpha():  # one pre-token
+            return self.pieces[low]
+        return b"".join(map(self.pieces.__getitem__, _PRE_TOKEN.findall(low)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
