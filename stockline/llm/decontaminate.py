@@ -1,11 +1,12 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams.
 
 The benchmark's windows (13 words, or a whole shorter item) are hashed once on
-the driver and broadcast; the benchmark's size is checked against
-``max_windows`` first.  Documents are scanned batch by
+the driver and broadcast, if its size, checked first, says that there are at
+most ``max_windows`` of them.  Documents are scanned batch by
 batch: words are hashed over the Arrow buffer, windows are looked up in the
 sorted hash set, and every hit is verified on the words themselves.  No
-shuffle of documents.
+shuffle of documents.  A larger benchmark is not broadcast: its windows are
+joined with those of the documents by hash.
 
 Normalisation lower-cases A-Z and takes words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm import _text
@@ -88,42 +89,91 @@ class WindowSet:
                         yield i, n, items
 
 
+Hits = Iterator[tuple[int, int, list[str]]]
+
+
+class _Words:
+    """The normalised words of a slice: bytes, borders, where texts begin, hashes."""
+
+    def __init__(self, part: _text.Slice):
+        self.part, buf = part, _text.LOWER[part.buf]
+        self.start, self.end, self.first = _text.spans(buf, part.off, IS_WORD)
+        self.hashes = _text.word_hashes(buf, self.start, self.end)
+        self.data = buf.tobytes()
+
+    def judged(self, ids: pa.Array, hits: Hits) -> pa.RecordBatch:
+        """One row per text from (word position, window length, item ids) of every occurrence."""
+        part, first, s, e = self.part, self.first, self.start, self.end
+        texts = part.hi - part.lo
+        items: list[set[str]] = [set() for _ in range(texts)]
+        step = np.zeros(len(s) + 1, np.int32)
+        for i, n, found in hits:
+            items[int(np.searchsorted(first, i, side="right")) - 1].update(found)
+            step[i] += 1
+            step[i + n] -= 1
+        hit = np.cumsum(step)[:-1] > 0
+        n_hit = np.diff(np.append(0, np.cumsum(hit))[first])
+        runs: list[list[dict]] = [[] for _ in range(texts)]
+        for d in np.flatnonzero(n_hit).tolist():
+            own = hit[first[d] : first[d + 1]]
+            at = first[d] + np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
+            base = int(part.off[d])
+            char = lambda b: len(self.data[base:b].decode("utf-8", "replace"))  # noqa: B023, E731
+            runs[d] = [{"start": char(int(s[a])), "end": char(int(e[b - 1]))} for a, b in zip(at[::2], at[1::2])]
+        columns = [
+            ids.slice(part.lo, texts),
+            pa.array(np.diff(first)),
+            pa.array(n_hit.astype(np.int64)),
+            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], windows: WindowSet) -> Iterator[pa.RecordBatch]:
-    struct = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     for batch in batches:
-        ids = batch.column(0)
         for part in _text.slices(batch.column(1)):
-            buf = _text.LOWER[part.buf]
-            s, e, first = _text.spans(buf, part.off, IS_WORD)
-            hashes = _text.word_hashes(buf, s, e)
-            data = buf.tobytes()
-            texts = part.hi - part.lo
-            items: list[set[str]] = [set() for _ in range(texts)]
-            step = np.zeros(len(s) + 1, np.int32)
-            for i, n, found in windows.hits(data, s, e, first, hashes):
-                items[int(np.searchsorted(first, i, side="right")) - 1].update(found)
-                step[i] += 1
-                step[i + n] -= 1
-            hit = np.cumsum(step)[:-1] > 0
-            n_hit = np.diff(np.append(0, np.cumsum(hit))[first])
-            runs: list[list[dict]] = [[] for _ in range(texts)]
-            for d in np.flatnonzero(n_hit).tolist():
-                own = hit[first[d] : first[d + 1]]
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-                at = first[d] + edge
-                chars = [(int(s[a]), int(e[b - 1])) for a, b in zip(at[::2], at[1::2])]
-                base = int(part.off[d])
-                runs[d] = [{"start": len(data[base:a].decode("utf-8", "replace")), "end": len(data[base:b].decode("utf-8", "replace"))} for a, b in chars]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(part.lo, texts),
-                    pa.array(np.diff(first)),
-                    pa.array(n_hit.astype(np.int64)),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    pa.array(runs, pa.list_(struct)),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+            words = _Words(part)
+            yield words.judged(batch.column(0), windows.hits(words.data, words.start, words.end, words.first, words.hashes))
+
+
+def _windows(batches: Iterator[pa.RecordBatch], lengths: list[int], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, hash, n, position) of the windows of each text; without lengths, its own: ``window`` or all its words."""
+    for batch in batches:
+        for part in _text.slices(batch.column(1)):
+            words = _Words(part)
+            count = np.diff(words.first)
+            for n in lengths or sorted(set(np.minimum(count[count > 0], window).tolist())):
+                ok = np.flatnonzero(_text.starts_within(words.first, n, len(words.hashes)))
+                text = np.searchsorted(words.first, ok, side="right") - 1
+                if not lengths:
+                    keep = np.minimum(count[text], window) == n
+                    ok, text = ok[keep], text[keep]
+                if len(ok):
+                    ids = batch.column(0).slice(part.lo, part.hi - part.lo).take(pa.array(text))
+                    g = _text.grams(words.hashes, n)[ok].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(g), pa.array(np.full(len(ok), n)), pa.array(ok - words.first[text])], ["id", "h", "n", "pos"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _text.slices(batch.column("text")):
+            words = _Words(part)
+            found = batch.column("found").slice(part.lo, part.hi - part.lo).to_pylist()
+            hits = ((int(words.first[d]) + f["pos"], f["n"], [f["item"]]) for d, own in enumerate(found) for f in own or ())
+            yield words.judged(batch.column("doc_id"), hits)
+
+
+def _by_join(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``_scan`` for a benchmark of any size: its windows are joined with the texts' by hash."""
+    theirs = items.mapInArrow(lambda batches: _windows(batches, [], window), "id string, h bigint, n bigint, pos bigint")
+    theirs = theirs.select("h", "n", F.coalesce("id", F.lit("")).alias("item")).distinct()
+    lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # as many values as a window has words, at most
+    named = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
+    ours = named.select("uid", "text").mapInArrow(lambda batches: _windows(batches, lengths or [window], window), "id bigint, h bigint, n bigint, pos bigint")
+    hits = ours.join(theirs, ["h", "n"]).groupBy("id").agg(F.collect_set(F.struct("pos", "n", "item")).alias("found"))
+    joined = named.join(hits, F.col("uid") == F.col("id"), "left").select("doc_id", "text", "found")
+    return joined.mapInArrow(_marked, _SCAN)
 
 
 def contamination(
@@ -135,36 +185,46 @@ def contamination(
     item_col: str = "item_id",
     max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, items (array), spans (characters of hit runs), contaminated.
+    """doc_id, n_words, n_hit, items (array), spans (characters of hit runs), contaminated."""
+    items = _items(benchmark, item_col, text_col)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    if _fits(items, max_windows):
+        shared = docs.sparkSession.sparkContext.broadcast(WindowSet(benchmark_windows(items.collect(), window)))
+        scanned = texts.mapInArrow(lambda batches: _scan(batches, shared.value), _SCAN)
+    else:
+        scanned = _by_join(texts, items, window)
+    return scanned.withColumn("contaminated", _judged())
 
-    The benchmark's size is checked before anything is collected or broadcast;
-    one of more than 20 * ``max_windows`` characters raises an error.
-    """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if size > 20 * max_windows:
-        raise ValueError(f"benchmark has {size} characters; raise max_windows ({max_windows}) or pass it in parts")
-    shared = spark.sparkContext.broadcast(WindowSet(benchmark_windows(items.collect(), window)))
-    scanned = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda batches: _scan(batches, shared.value), _SCAN
-    )
-    judged = (F.col("n_hit") > 0) & (CONTAMINATED_SHARE * F.col("n_hit") >= F.col("n_words"))
-    return scanned.withColumn("contaminated", judged)
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+
+
+def _fits(items: DataFrame, max_windows: int) -> bool:
+    """Whether the items surely have ``max_windows`` windows or fewer: a window needs two bytes of text."""
+    return items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= 2 * max_windows
+
+
+def _judged() -> Column:
+    return (F.col("n_hit") > 0) & (CONTAMINATED_SHARE * F.col("n_hit") >= F.col("n_words"))
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_windows: int = MAX_WINDOWS
+) -> DataFrame:
     """The rows of ``docs`` whose texts are not contaminated, unchanged.
 
-    Judged in the scan itself (one more column on the row, no join by id), so
-    repeated or null ids cannot mix up rows.
+    With a broadcast benchmark rows are judged in the scan itself (no join by
+    id, so repeated or null ids cannot mix up rows); with a larger one by the
+    text's hash, which rows of one text share, and so does the verdict.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > 20 * MAX_WINDOWS:
-        raise ValueError(f"benchmark has {size} characters; pass it in parts")
-    shared = spark.sparkContext.broadcast(WindowSet(benchmark_windows(items.collect())))
+    items = _items(benchmark, item_col, text_col)
+    if not _fits(items, max_windows):
+        key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+        texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+        bad = _by_join(texts, items, WINDOW).where(_judged()).select(F.col("doc_id").alias("__bad")).distinct()
+        return docs.join(bad, key == F.col("__bad"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(benchmark_windows(items.collect())))
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
