@@ -139,14 +139,6 @@ def starts_within(first: np.ndarray, n: int, total: int) -> np.ndarray:
     return ok
 
 
-def covered(hit_starts: np.ndarray, n: int, total: int) -> np.ndarray:
-    """Which of ``total`` items lie in a window of n items that starts at a hit."""
-    step = np.zeros(total + 1, np.int32)
-    np.add.at(step, hit_starts, 1)
-    np.add.at(step, np.minimum(hit_starts + n, total), -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values, by doubling."""
     have, out = 1, v

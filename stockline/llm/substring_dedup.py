@@ -1,13 +1,15 @@
 """Word-window deduplication by level-wise doubling.
 
-A window is ``window`` consecutive words.  The first level looks at short
-windows (``window`` halved while it stays even and at least ``shortest``) and
-keeps those whose words occur twice or more; only these are extended to twice
-the length, the level after keeps the longer ones that still repeat, and so on
-until the full length: a candidate that does not repeat at one level is never
-looked at again.  Short windows are taken at content-defined anchors
-(``_anchored``), at least one of which lies in every full window, so nothing is
-lost and a fraction of the positions is shuffled.
+A window is ``window`` consecutive words.  The first level looks at windows of
+half that length (halved again while the length stays even and at least
+``shortest``; by default 10 for 20) and keeps those whose words occur twice or
+more in the corpus; only these are extended to twice the length, and the next
+level keeps the longer ones that still repeat: a candidate that does not repeat
+at one level is never looked at again.  Short windows are taken at
+content-defined anchors (``_anchored``), at least one of which lies in every full
+window, so nothing is lost and a fraction of the positions is shuffled.  With a
+smaller ``shortest`` the levels between the first and the full one are decided
+together with the full one.
 
 Every word covered by a full window that also starts earlier (smaller id, or
 the same text further left) is removed.
@@ -29,7 +31,7 @@ from stockline.llm import _anchored, _text
 from stockline.llm._anchored import Arrow, Windows
 
 WINDOW = 20
-SHORTEST = 5
+SHORTEST = 10
 
 
 def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
