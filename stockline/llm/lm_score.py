@@ -16,12 +16,11 @@ of terms that each need one n-gram).
 
     P(t | v) = (n(v t) + MU * P1(t)) / (n(v) + MU)
 
-n(v t) and n(v) come from the filter; P1(t) is the smoothed unigram estimate from
-a broadcast table of the most frequent tokens (``FREQUENT`` at most, a bound set
-by choosing its least count) and, for the others, from their mean count.
-
-The base score needs exact counts of all tokens: frequent ones come from the same
-table, the rest are joined with the counts by token.
+n(v t) and n(v) come from the filter; P1(t), like the base score, is the smoothed
+unigram estimate from exact counts of all tokens.  The most frequent tokens
+(``FREQUENT`` at most, a bound set by choosing its least count) are a broadcast
+table and settled in the pass; the others leave it as rows (token, text, n(v t))
+and are joined with the counts by token.  The table's size changes no result.
 
 Edge cases: a null text is empty and holds the end token alone; a null id is a
 training text; with no training text at all every count is 0; repeated rows are
@@ -37,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stockline.llm import _text
 from stockline.llm._anchored import groups
@@ -218,13 +216,12 @@ class Model:
         scale = self.counts.groupBy(F.floor(F.log2("c")).alias("scale")).agg(F.count("*").alias("types"), F.sum("c").alias("mass")).collect()
         rows = sorted(((r["scale"], r["types"], r["mass"]) for r in scale), reverse=True)
         self.types, self.total = sum(r[1] for r in rows), sum(r[2] for r in rows)
-        taken = mass = 0
+        taken = 0
         self.least = 1 << 62
-        for s, types, m in rows:  # lower the least count while the table stays within its bound
+        for s, types, _ in rows:  # lower the least count while the table stays within its bound
             if taken + types > FREQUENT:
                 break
-            taken, mass, self.least = taken + types, mass + m, 1 << int(s)
-        self.rare_mean = (self.total - mass) / max(self.types - taken, 1)
+            taken, self.least = taken + types, 1 << int(s)
         frequent = self.counts.where(F.col("c") >= self.least).toArrow()
         keys = frequent.column("token").to_numpy().view(np.uint64)
         order = np.argsort(keys)
@@ -275,48 +272,61 @@ def _lookup(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.
     return found, np.where(found, counts[at], 0)
 
 
-def _scored(batches: Arrow, table: tuple[np.ndarray, np.ndarray], part_of: Filter, rare_mean: float, scale: float) -> Arrow:
-    """Per text: tokens, what the frequent table gives to the base score, and the shard's terms of the score."""
+_ROWS = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, token bigint, n double, tf bigint"
+
+
+def _scored(batches: Arrow, table: tuple[np.ndarray, np.ndarray], part_of: Filter, scale: float) -> Arrow:
+    """Per text: tokens, what the frequent table gives to the base score, and the shard's terms of the score.
+
+    Behind them, rows (uid, token, n, tf): tokens outside the table in pairs of
+    the shard, with the pair's count n.  A text's own row has an odd token, which
+    no token's key is.
+    """
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    types = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in _ROWS.split(", ")]
     for batch in batches:
         for part in _text.slices(batch.column("text")):
             token, before, begin = tokens(part)
+            texts = part.hi - part.lo
             distinct, back = np.unique(token, return_inverse=True)
             found, count = _lookup(distinct, table)
             log_base = np.where(found, np.log10((count + 0.5) / scale), 0.0)[back]
-            p1 = (np.where(found, count, rare_mean) + 0.5) / scale
+            p1 = (count + 0.5) / scale
             terms = np.zeros(len(token))
             pair = bigrams(before, token)
             own = np.flatnonzero(part_of.owns(pair))
-            terms[own] += np.log10(part_of.counts(pair[own], MIN_BIGRAM) + MU * p1[back[own]])
+            n = part_of.counts(pair[own], MIN_BIGRAM)
+            known = found[back[own]]
+            terms[own[known]] += np.log10(n[known] + MU * p1[back[own[known]]])
+            rare, n = own[~known], n[~known]
             own = np.flatnonzero(part_of.owns(before))
             terms[own] -= np.log10(part_of.counts(before[own], 1) + MU)
-            at, n = begin[:-1], part.hi - part.lo
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(part.lo, n),
-                    batch.column("uid").slice(part.lo, n),
-                    batch.column("held_out").slice(part.lo, n),
-                    pa.array(np.diff(begin)),
-                    pa.array(np.add.reduceat(found[back].astype(np.int64), at)),
-                    pa.array(np.add.reduceat(log_base, at)),
-                    pa.array(np.add.reduceat(terms, at)),
-                ],
-                ["doc_id", "uid", "held_out", "n_tokens", "known", "base", "score"],
-            )
-
-
-def _rare(batches: Arrow, table: tuple[np.ndarray, np.ndarray]) -> Arrow:
-    """Rows (token, uid, tf) of tokens outside the frequent table."""
-    for batch in batches:
-        uid = batch.column("uid").to_numpy()
-        for part in _text.slices(batch.column("text")):
-            token, _, begin = tokens(part)
-            text = np.repeat(np.arange(part.hi - part.lo), np.diff(begin))
-            distinct, back = np.unique(token, return_inverse=True)
-            keep = ~_lookup(distinct, table)[0][back]
-            pairs, tf = np.unique(back[keep] * np.int64(part.hi - part.lo) + text[keep], return_counts=True)
-            which, own = np.divmod(pairs, part.hi - part.lo)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[which].view(np.int64)), pa.array(uid[part.lo + own]), pa.array(tf)], ["token", "uid", "tf"])
+            at = begin[:-1]
+            uid = batch.column("uid").slice(part.lo, texts)
+            ids = uid.to_numpy()
+            rows = {
+                "uid": uid,
+                "doc_id": batch.column("doc_id").slice(part.lo, texts),
+                "held_out": batch.column("held_out").slice(part.lo, texts),
+                "n_tokens": np.diff(begin),
+                "known": np.add.reduceat(found[back].astype(np.int64), at),
+                "base": np.add.reduceat(log_base, at),
+                "score": np.add.reduceat(terms, at),
+                "token": ids | 1,
+            }
+            yield _rows(names, types, rows, texts)
+            if len(rare):
+                text = np.searchsorted(begin, rare, side="right") - 1
+                kinds, kind = np.unique(n, return_inverse=True)
+                code, tf = np.unique((back[rare] * np.int64(texts) + text) * len(kinds) + kind, return_counts=True)
+                code, kind = np.divmod(code, len(kinds))
+                which, text = np.divmod(code, texts)
+                yield _rows(names, types, {"uid": ids[text], "token": distinct[which].view(np.int64), "n": kinds[kind], "tf": tf}, len(tf))
+
+
+def _rows(names: list[str], types: list[pa.DataType], columns: dict, size: int) -> pa.RecordBatch:
+    """A batch with the given columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types)], names)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,36 +342,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = train(texts.where("NOT held_out").select("text"))
     table = spark.sparkContext.broadcast(model.frequent)
 
-    schema = "doc_id bigint, uid bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
-    mean, scale = model.rare_mean, model.scale
+    scale = model.scale
     passes = []
     for words, lo, hi in model.shards():
         shared = spark.sparkContext.broadcast(model.filter(words, lo, hi))
-        run = lambda batches, shared=shared: _scored(batches, table.value, shared.value, mean, scale)
-        passes.append(texts.mapInArrow(run, schema))
-    scored = passes[0]
-    if len(passes) > 1:  # one row per text and pass, added up
-        for one in passes[1:]:
-            scored = scored.unionByName(one)
-        copies = F.count("*") / F.lit(len(passes))
-        first = [F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "known", "base")]
-        scored = scored.groupBy("uid").agg(*first, (F.sum("score") / copies).alias("score"), copies.cast("int").alias("copies"))
-        scored = scored.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
-
-    rare = texts.mapInArrow(lambda batches: _rare(batches, table.value), "token bigint, uid bigint, tf bigint")
-    found = rare.join(model.counts, "token", "left").select("uid", "tf", F.coalesce("c", F.lit(0)).alias("c"))
-    rest = found.groupBy("uid").agg(
-        F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("rare_base"),
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-    )
+        run = lambda batches, shared=shared: _scored(batches, table.value, shared.value, scale)
+        passes.append(texts.mapInArrow(run, _ROWS))
+    rows = passes[0]
+    for one in passes[1:]:
+        rows = rows.unionByName(one)
+
+    # one row per text and pass; each of a text's tokens outside the table in one pass
+    counts = model.counts.select("token", F.col("c").alias("seen"))
+    c = F.coalesce("seen", F.lit(0))
+    p1 = (c + 0.5) / F.lit(scale)
     # rows listed several times have sent their tokens as often
-    copies = F.count("*").over(Window.partitionBy("uid"))
-    return scored.join(rest, "uid", "left").withColumn("copies", copies).select(
+    per_text = rows.join(counts, "token", "left").groupBy("uid").agg(
+        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base")),
+        (F.count("n_tokens") / F.lit(len(passes))).alias("copies"),
+        F.sum(F.coalesce("score", F.col("tf") * F.log10(F.col("n") + F.lit(MU) * p1))).alias("score"),
+        F.coalesce(F.sum(F.col("tf") * F.log10(p1)), F.lit(0.0)).alias("rare_base"),
+        F.coalesce(F.sum(F.when(c > 0, F.col("tf"))), F.lit(0)).alias("rare_known"),
+    )
+    copies = F.col("copies")
+    listed = per_text.withColumn("one", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return listed.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce(F.col("rare_known") / F.col("copies"), F.lit(0.0))).cast("bigint").alias("n_known"),
+        (F.col("known") + F.col("rare_known") / copies).cast("bigint").alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("rare_base") / F.col("copies"), F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.col("rare_base") / copies).alias("base_score"),
+        (F.col("score") / copies).alias("score"),
     )

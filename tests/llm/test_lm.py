@@ -53,6 +53,37 @@ def test_scores(corpus, make_docs, monkeypatch, frequent, shard):
             assert g[6] == pytest.approx(e[6], rel=0.02)
 
 
+@pytest.mark.parametrize("frequent, shard", [(200_000, 64 << 20), (10, 512)])
+def test_score_of_every_table_size(corpus, make_docs, monkeypatch, frequent, shard):
+    """Tokens outside the table, those never seen included, have the P1 of their own count."""
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", shard)
+    monkeypatch.setattr(lm_score, "BITS_PER_ENTRY", 64)
+    rows = [*corpus, *((d, "never seen words " * 40) for d in range(200, 230) if held(d))]
+    got = lm_score.score(make_docs(rows)).collect()
+    counts, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if not held(d):
+            x = tokens(t)
+            counts.update(x)
+            pairs.update(zip(["\0begin", *x], x))
+            before.update(["\0begin", *x[:-1]])
+    scale = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    least = lm_score.MIN_BIGRAM
+    mid = lambda c, least: 1.5 * least * 2 ** math.floor(math.log2(c / least)) - 0.5 if c >= least else 0.0
+    expected = []
+    for d, t in rows:
+        x = tokens(t)
+        terms = (
+            math.log10((mid(pairs[v, w], least) + lm_score.MU * (counts[w] + 0.5) / scale) / (mid(before[v], 1) + lm_score.MU))
+            for v, w in zip(["\0begin", *x], x)
+        )
+        expected.append((str(d), len(x), sum(terms)))
+    for g, e in zip(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got), sorted(expected), strict=True):
+        assert g[:2] == e[:2]
+        assert g[2] == pytest.approx(e[2], rel=0.01)  # a stray filter bit may lift single terms
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(1 << 62, 1 << 63, 20_000, dtype=np.uint64) | np.uint64(1))
