@@ -3,7 +3,8 @@
 Training counts unigrams and bigrams of all training texts.  A batch sends its
 distinct n-grams (64-bit hashes, sorted) cut into buckets of the hash range, one
 packed row per bucket, so a frequent n-gram is one entry per batch.  A bucket's
-task adds up counts and keeps unigrams, and bigrams seen ``MIN_BIGRAM`` times.
+task adds up counts and keeps them all, also of bigrams seen once (``MIN_BIGRAM``
+is 1): the counts of v's bigrams add up to n(v), so P(. | v) adds up to 1.
 
 The filter holds quantised counts: an n-gram of count c is entered with levels
 1 .. q(c), q growing with log2 of c.  A lookup probes level 1, 2, ... until one
@@ -42,7 +43,7 @@ from stockline.llm._anchored import groups
 from stockline.llm._store import written
 
 FOLDS, HELD_OUT = 5, 1
-MIN_BIGRAM = 2
+MIN_BIGRAM = 1
 MU = 1000.0
 FREQUENT = 200_000
 BITS_PER_ENTRY = 12
@@ -131,7 +132,7 @@ def middle(levels: np.ndarray, least: int) -> np.ndarray:
 
 
 def _merged(batches: Arrow) -> Arrow:
-    """One row per bucket: its tokens with counts, its frequent pairs with levels."""
+    """One row per bucket: its tokens with counts, its pairs with levels."""
     for batch in groups(batches, "bucket"):
         bucket = batch.column("bucket").to_numpy()
         packed, counts = batch.column("keys").to_pylist(), batch.column("counts").to_pylist()

@@ -7,6 +7,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import WORD, lower
 
@@ -84,6 +85,24 @@ def test_score_of_every_table_size(corpus, make_docs, monkeypatch, frequent, sha
         assert g[2] == pytest.approx(e[2], rel=0.01)  # a stray filter bit may lift single terms
 
 
+def test_bigrams_seen_once_count(make_docs, monkeypatch):
+    """Half of v's bigrams are seen once: with them P(. | v) adds up to 1."""
+    monkeypatch.setattr(lm_score, "BITS_PER_ENTRY", 64)
+    trained = [i for i in range(100) if not held(i)]
+    rows = [(i, f"v only{i} v often") for i in trained]
+    model = lm_score.train(make_docs(rows).select("text"), 2)
+    [(words, lo, hi)] = model.shards()
+    found = model.filter(words, lo, hi)
+    key = lambda text: lm_score.tokens(next(iter(lm_score._text.slices(pa.array([text])))))[0][:-1]
+    after = np.unique(np.concatenate([key(t) for _, t in rows]))
+    v = np.repeat(key("v"), len(after))
+    n = found.counts(lm_score.bigrams(v, after), lm_score.MIN_BIGRAM)
+    once = np.isin(after, np.concatenate([key(f"only{i}") for i in trained]))
+    assert (n[once] >= 1).all() and n[once].mean() < 1.1
+    # a level's middle stands for its counts: 64 .. 127 by 95.5
+    assert n.sum() == pytest.approx(len(trained) + 95.5, rel=0.05)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(1 << 62, 1 << 63, 20_000, dtype=np.uint64) | np.uint64(1))
