@@ -12,8 +12,9 @@ is missing and returns the middle of the last level found.  All four bits of an
 entry lie in one 64-bit word; a bucket's words are one segment, built by the
 task that holds the bucket.  Segments are gathered into shards of at most
 ``SHARD_BYTES``, each broadcast by itself; a filter that needs more shards is
-scored in one pass per shard, and the passes' sums are added (the score is a sum
-of terms that each need one n-gram).
+scored in one pass per shard, each written before the next shard is gathered, so
+that one is held at a time, and the passes' sums are added (the score is a sum of
+terms that each need one n-gram of the filter).
 
     P(t | v) = (n(v t) + MU * P1(t)) / (n(v) + MU)
 
@@ -345,10 +346,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     scale = model.scale
     passes = []
-    for words, lo, hi in model.shards():
+    shards = model.shards()
+    for words, lo, hi in shards:
         shared = spark.sparkContext.broadcast(model.filter(words, lo, hi))
         run = lambda batches, shared=shared: _scored(batches, table.value, shared.value, scale)
         passes.append(texts.mapInArrow(run, _ROWS))
+        if len(shards) > 1:  # a written pass needs its shard no more
+            passes[-1] = written(passes[-1], "pass")
+            shared.destroy()
     rows = passes[0]
     for one in passes[1:]:
         rows = rows.unionByName(one)

@@ -85,6 +85,18 @@ def test_score_of_every_table_size(corpus, make_docs, monkeypatch, frequent, sha
         assert g[2] == pytest.approx(e[2], rel=0.01)  # a stray filter bit may lift single terms
 
 
+def test_one_shard_is_held_at_a_time(corpus, make_docs, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 4 << 10)
+    build, destroy = lm_score.Model.filter, Broadcast.destroy
+    dropped, held_before = [], []
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (dropped.append(isinstance(self.value, lm_score.Filter)), destroy(self, *a)))
+    monkeypatch.setattr(lm_score.Model, "filter", lambda self, *a: (held_before.append(len(held_before) - sum(dropped)), build(self, *a))[1])
+    assert len(lm_score.score(make_docs(corpus)).collect()) == len(corpus)
+    assert len(held_before) > 1 and set(held_before) == {0}
+
+
 def test_bigrams_seen_once_count(make_docs, monkeypatch):
     """Half of v's bigrams are seen once: with them P(. | v) adds up to 1."""
     monkeypatch.setattr(lm_score, "BITS_PER_ENTRY", 64)
