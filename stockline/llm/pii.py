@@ -4,12 +4,15 @@ The patterns (e-mail, IPv4, card and phone numbers) find the protected entities.
 A term that keeps turning up beside one entity identifies it as well as the
 entity itself would, so the corpus decides what else must go:
 
-* every mention of an entity contributes the terms within ``RADIUS`` words of it;
+* every mention of an entity, however spelt, contributes the terms within
+  ``RADIUS`` words of it;
 * ``near(t, e)``: texts in which t is that close to e, ``contexts``: different
   stretches of words it happened in (copies of one passage count once);
 * ``df(t)``: texts that hold t at all, over the whole corpus;
 * t discloses e if P(e | t) = near / df reaches ``GENERALISE`` and tells at least
   ``MIN_BITS`` bits, log2(P(e | t) / P(e)), on ``MIN_CONTEXTS`` contexts or more.
+  Two contexts are the least that repeats: a word found once has P(e | t) = 1
+  whatever it stands beside.
 
 Disclosing terms become spans of kind ``term`` wherever they stand.  In the
 sanitised text, entities and terms are generalised to their kind
@@ -43,7 +46,7 @@ from stockline.llm.decontaminate import IS_WORD
 
 KINDS = ("email", "ip", "card", "phone", "term")
 RADIUS = 8
-MIN_CONTEXTS = 3
+MIN_CONTEXTS = 2
 MIN_BITS = 4.0
 GENERALISE = 0.5
 REMOVE = 0.9
@@ -134,6 +137,15 @@ def _byte_to_char(data: bytes, ats: list[int]) -> list[int]:
     return out
 
 
+def _entity(kind: int, text: str) -> str:
+    """One name for all spellings of an entity: e-mails lower-cased, numbers by their digits."""
+    if KINDS[kind] == "email":
+        return f"email:{text.lower()}"
+    if KINDS[kind] == "ip":
+        return f"ip:{'.'.join(p.lstrip('0') or '0' for p in text.split('.'))}"
+    return f"{KINDS[kind]}:{''.join(_DIGIT.findall(text))}"
+
+
 def _hash_text(text: str) -> int:
     data = np.frombuffer(text.encode(), np.uint8)
     return int(_text.word_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
@@ -163,7 +175,7 @@ def _mentions(batches: Arrow) -> Arrow:
                     k0 = int(np.searchsorted(ends, byte[a] + part.off[i], side="right"))
                     k1 = int(np.searchsorted(starts, byte[b] + part.off[i]))
                     inside[k0:k1] = True
-                    borders.append((k0, k1, _hash_text(f"{KINDS[kind]}:{texts[i][a:b]}")))
+                    borders.append((k0, k1, _hash_text(_entity(kind, texts[i][a:b]))))
                 for k0, k1, entity in borders:
                     near = np.append(np.arange(max(0, k0 - RADIUS), k0), np.arange(k1, min(hi - lo, k1 + RADIUS)))
                     terms = words.hash[lo + near[~inside[near]]]

@@ -168,6 +168,48 @@ def test_terms_that_give_an_entity_away(make_docs, monkeypatch, bound):
     assert spans(None) == [("email", 7, 13), ("card", 14, 30)]
 
 
+def brute_terms(rows):
+    """The terms that give an entity away, with the largest P(e | t), word by word."""
+    near, contexts, df, mentions = ({} for _ in range(4))
+    for row, (_, text) in enumerate(rows):
+        words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))]
+        for w in {w for *_, w in words}:
+            df[w] = df.get(w, 0) + 1
+        spans = base_spans(text or "")
+        for a, kind, b in spans:
+            outside = lambda s, e: not any(x < e and s < y for x, _, y in spans)
+            beside = [x for x in words if x[1] <= a][-8:] + [x for x in words if x[0] >= b][:8]
+            beside = tuple(w for s, e, w in beside if outside(s, e))
+            entity = kind, text[a:b].lower() if "@" in text[a:b] else re.sub("[^0-9.]" if kind == 1 else "[^0-9]", "", text[a:b])
+            mentions.setdefault(entity, set()).add(row)
+            for w in beside:
+                near.setdefault((w, entity), set()).add(row)
+                contexts.setdefault((w, entity), set()).add(beside)
+    found = {}
+    for (w, entity), held in near.items():
+        p = len(held) / df[w]
+        if len(contexts[w, entity]) >= 2 and p >= 0.5 and p * len(rows) / len(mentions[entity]) >= 2**4:
+            found[w] = max(p, found.get(w, 0))
+    return found
+
+
+def test_terms_of_two_contexts(make_docs):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    some = lambda: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, f"{some()} {some()}") for i in range(300)]
+    rows += [(400, f"{some()} Quorvex wrote kim@ex.com {some()}"), (401, f"{some()} quorvex, Kim@Ex.com {some()}")]
+    once = f"{some()} Onceonly solo@ex.com {some()}"
+    rows += [(500, once), (501, once)]
+    terms = brute_terms(rows)
+    assert terms["quorvex"] == 1 and "onceonly" not in terms
+    got = by_id(pii.find(make_docs(rows)))
+    for d, text in rows:
+        expected = {lower(text[s["start"] : s["end"]]) for s in got[d].spans if s["kind"] == "term"}
+        assert expected == set(lower(text).replace(",", "").split()) & set(terms), text
+    assert all("quorvex" not in got[d].text.lower() for d in (400, 401)) and "Onceonly" in got[500].text
+
+
 def test_sanitise_keeps_rows_and_columns(make_docs):
     docs = make_docs([(1, "x a@b.cd y"), (1, "x a@b.cd y"), (2, None), (3, "plain")])
     clean = pii.sanitise(docs)
@@ -300,6 +342,34 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert got == expected
 
 
+def test_pipeline_takes_out_terms(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+
+    def before_pii(path):
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            docs = stage(spark, docs, path)
+        return sorted((r.doc_id, r.text) for r in docs.collect())
+
+    one, two = (d for d, _ in before_pii(sf_dir)[:2])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    named = F.when(F.col("doc_id").isin(one, two), F.concat("text", F.lit(" Quorvex wrote kim@ex.com"))).otherwise(F.col("text"))
+    docs.withColumn("text", named).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = before_pii(str(tmp_path))
+    terms = brute_terms(rows)
+    assert terms["quorvex"] == 1
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    expected = {}
+    for d, text in rows:
+        base = [(*s, False) for s in base_spans(text or "")]
+        words = ((m.start(), 4, m.end(), m.group()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)))
+        extra = [(a, k, b, terms[w] >= 0.9) for a, k, b, w in words if w in terms and not any(x < b and a < y for x, _, y, _ in base)]
+        expected[d] = library.encode(pii.redact(text or "", base + extra))
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == expected
+
+
 def test_pipeline_stages_return_documents_columns(spark, sf_dir):
     import corpus_pipeline
 
