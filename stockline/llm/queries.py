@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockline.llm import decontaminate, lm_score, minhash, pii, quality_model, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
+from stockline.llm import bestfit_packing, decontaminate, filter_audit, lexical_search, lm_score, minhash, pii, quality_model, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
 from stockline.session import scratch_path
 
 
@@ -87,6 +87,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = bestfit_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return bestfit_packing.pieces(sequences).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_model": op1_quality_model,
@@ -99,5 +114,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
     "op10_lm_score": op10_lm_score,
+    "op11_bestfit_packing": op11_bestfit_packing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

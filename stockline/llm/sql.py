@@ -118,7 +118,77 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n USING (doc_id)
 """
 
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part,
+         (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first_id, FALSE)::INT AS mask,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), v AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM v a, v b, v c, v d, v e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1]) AS before
+  FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)
+), r AS (
+  SELECT part, filter_order, step::INT AS step, bit,
+         sum(CASE WHEN mask & (coalesce(before, 0)::BIGINT | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM r
+"""
+
+LEXICAL_SEARCH = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents WHERE text IS NOT NULL
+), q AS (
+  SELECT item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts
+  FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0
+), p AS (
+  SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs
+), i AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs::BIGINT) // n_terms::BIGINT))) AS impact
+  FROM tf JOIN w USING (term), s
+), r AS (
+  SELECT item_id, doc_id, sum(impact)::BIGINT AS score
+  FROM (SELECT item_id, unnest(ts) AS term FROM q) JOIN i USING (term) GROUP BY item_id, doc_id HAVING sum(impact) > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r QUALIFY rank <= 50
+"""
+
 ORACLES = {
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_filter_audit": FILTER_AUDIT,
     "op6_minhash": MINHASH,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
