@@ -189,9 +189,27 @@ def _orphans(t: Tables, child: str, ccol: str, parent: str, pcol: str) -> DataFr
     return kids.join(keys, F.col(ccol) == F.col("_parent_key"), "left_anti")
 
 
-def table_pass(t: Tables, table: str, families: tuple[str, ...] = (), only: set[str] | None = None) -> DataFrame | None:
+def _refused(rule: RowRule) -> str:
+    """Predicate of rows that the load refuses under a row rule.
+
+    A CHECK lets a NULL condition pass; the load does not: a missing operand
+    means that the comparison does not hold.  A purchase order whose status is
+    outside the domain fails the domain rule, not the one on its dates.
+    """
+    failed = f"NOT coalesce({rule.condition}, FALSE)"
+    if rule.family == "status":
+        failed += f" AND (status IS NULL OR status IN ({', '.join(repr(v) for v in PO_STATUSES)}))"
+    return failed
+
+
+def table_pass(
+    t: Tables, table: str, families: tuple[str, ...] = (), only: set[str] | None = None, refused: bool = False
+) -> DataFrame | None:
     """B4-B9 for one table: its foreign keys and row rules from one scan.
 
+    ``refused`` adds, in the same scan, a row of family ``load`` for each rule of
+    the load's gate: the rows that the load refuses (``_refused``).
+
     Rows are counted per combination of the foreign-key columns, with the
     violations of every row rule beside them (partial aggregation before the
     shuffle, so a hot key reaches the joins as one row per map task).  The
@@ -204,13 +222,17 @@ def table_pass(t: Tables, table: str, families: tuple[str, ...] = (), only: set[
     rules = [r for r in row_rules() if r.table == table and wanted(r.family, r.rule_id)]
     if not keys and not rules:
         return None
-    broken = [f"count(CASE WHEN NOT ({r.condition}) THEN 1 END)" for r in rules]
-    entries = [f"'{r.rule_id}', '{r.family}', '{table}', CAST({n} AS BIGINT)" for r, n in zip(rules, broken)]
+    checks = [(r.rule_id, r.family, f"NOT ({r.condition})") for r in rules]
+    if refused:
+        gate_ids = {rule_id for rule_id, _ in GATE}
+        checks += [(r.rule_id, "load", _refused(r)) for r in row_rules() if r.table == table and r.rule_id in gate_ids]
+    broken = [f"count(CASE WHEN {failed} THEN 1 END)" for *_, failed in checks]
+    entries = [f"'{rule_id}', '{family}', '{table}', CAST({n} AS BIGINT)" for (rule_id, family, _), n in zip(checks, broken)]
     source = frames[table]
     if keys:
         columns = list(dict.fromkeys(k[2] for k in keys))
         source = source.groupBy(*columns).agg(F.expr("count(1)").alias("_rows"), *[F.expr(n).alias(f"_v{i}") for i, n in enumerate(broken)])
-        entries = [f"'{r.rule_id}', '{r.family}', '{table}', CAST(coalesce(sum(_v{i}), 0) AS BIGINT)" for i, r in enumerate(rules)]
+        entries = [f"'{rule_id}', '{family}', '{table}', CAST(coalesce(sum(_v{i}), 0) AS BIGINT)" for i, (rule_id, family, _) in enumerate(checks)]
         for i, (rule_id, _, column, parent, parent_column) in enumerate(keys):
             known = frames[parent].select(F.col(parent_column).alias(f"_p{i}")).where(F.col(f"_p{i}").isNotNull()).distinct()
             source = source.join(known, F.col(column) == F.col(f"_p{i}"), "left")
@@ -219,9 +241,9 @@ def table_pass(t: Tables, table: str, families: tuple[str, ...] = (), only: set[
     return source.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (rule_id, family, table_name, violations)")
 
 
-def row_and_key_counts(t: Tables, families: tuple[str, ...], only: set[str] | None = None) -> DataFrame:
+def row_and_key_counts(t: Tables, families: tuple[str, ...], only: set[str] | None = None, refused: bool = False) -> DataFrame:
     """``table_pass`` of every table."""
-    return _union([p for p in (table_pass(t, table, families, only) for table in TABLE_NAMES) if p is not None])
+    return _union([p for p in (table_pass(t, table, families, only, refused) for table in TABLE_NAMES) if p is not None])
 
 
 ROW_FAMILIES = ("not_null", "range", "cross_column", "date_order", "status")
@@ -312,24 +334,6 @@ GATE: list[tuple[str, str]] = (
 )
 
 
-def unknown_operand_counts(t: Tables) -> DataFrame:
-    """The gate's row rules with a NULL condition counted as a failure.
-
-    A CHECK lets a NULL condition pass; the load does not: a missing operand
-    means that the comparison does not hold.  A purchase order whose status is
-    outside the domain fails the domain rule, not this one.
-    """
-    gate_ids = {rule_id for rule_id, _ in GATE}
-    parts = []
-    for rule in row_rules():
-        if rule.rule_id in gate_ids:
-            failed = f"NOT coalesce({rule.condition}, FALSE)"
-            if rule.family == "status":
-                failed += f" AND (status IS NULL OR status IN ({', '.join(repr(v) for v in PO_STATUSES)}))"
-            parts.append(t.frames()[rule.table].selectExpr(*_summary_row(rule.rule_id, rule.family, rule.table, f"count(CASE WHEN {failed} THEN 1 END)")))
-    return _union(parts)
-
-
 def validate_tables(t: Tables, scope: str = "loader") -> None:
     """Raise ``ValueError`` for the first failing rule.
 
@@ -338,16 +342,12 @@ def validate_tables(t: Tables, scope: str = "loader") -> None:
     ``scope="all"`` then also enforces every schema constraint of
     ``dq_summary`` (message ``Constraint violated: <rule_id> (<n> rows)``).
     """
-    if scope == "all":
-        summary = dq_summary(t)
-    else:
-        gate_ids = {rule_id for rule_id, _ in GATE}
-        summary = reduce(
-            DataFrame.unionByName,
-            [primary_key_counts(t), row_and_key_counts(t, ("foreign_key", *ROW_FAMILIES), gate_ids)],
-        )
-    counts = {r["rule_id"]: r["violations"] for r in summary.collect()}
-    counts.update({r["rule_id"]: r["violations"] for r in unknown_operand_counts(t).collect()})
+    everything = scope == "all"
+    keyed = [primary_key_counts(t), *([unique_counts(t)] if everything else [])]
+    only = None if everything else {rule_id for rule_id, _ in GATE}
+    rows = _union([*keyed, row_and_key_counts(t, ("foreign_key", *ROW_FAMILIES), only, refused=True)]).collect()
+    # under a rule of the gate, what the load refuses is what counts
+    counts = {r["rule_id"]: r["violations"] for r in sorted(rows, key=lambda r: r["family"] == "load")}
     ordered = []
     for tbl, k in PRIMARY_KEYS.items():
         ordered.append((f"non_empty.{tbl}", f"{tbl} is empty"))

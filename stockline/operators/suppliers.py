@@ -47,7 +47,8 @@ def po_stats_by_supplier(t: Tables) -> DataFrame:
         _delivered_sum("ordered_quantity").cast("bigint").alias("delivered_ordered"),
         _delivered_sum("received_quantity").cast("bigint").alias("delivered_received"),
         _delivered_sum("accepted_quantity").cast("bigint").alias("delivered_accepted"),
-        F.sum(F.when(_delivered(), F.datediff("actual_delivery_date", "order_date"))).cast("bigint").alias("lead_days_total"),
+        # delivered orders without a delivery date have no lead time and do not enter its mean
+        F.avg(F.when(_delivered(), F.datediff("actual_delivery_date", "order_date"))).alias("mean_lead_days"),
         F.sum(extended_value("ordered_quantity", "unit_cost", scale=None)).alias("po_value"),
     )
 
@@ -67,7 +68,7 @@ def supplier_performance(t: Tables) -> DataFrame:
         round_half_up(F.lit(100.0) * safe_divide("on_time_orders", "delivered_orders"), 1).alias("on_time_delivery_pct"),
         round_half_up(pct("delivered_accepted", "delivered_received"), 1).alias("acceptance_quality_pct"),
         round_half_up(pct("delivered_received", "delivered_ordered"), 1).alias("fill_rate_pct"),
-        round_half_up(safe_divide("lead_days_total", "delivered_orders"), 1).alias("actual_lead_time_days"),
+        round_half_up("mean_lead_days", 1).alias("actual_lead_time_days"),
         F.round(F.col("po_value"), 2).cast("double").alias("total_po_value"),
     )
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..tables import Tables
 from . import files
+from .stores import fingerprint
 
 # Fixed values of the projection.
 AS_OF = dt.date(2001, 11, 4)  # last ship date in every scale; a Sunday
@@ -236,11 +237,14 @@ def _purchase_orders(lines: DataFrame, part_attrs: DataFrame, as_of: dt.date) ->
     )
 
 
-_CACHE: dict[tuple[int, str, str], Tables] = {}
+#: Source tables of the projection, in the order of their first use.
+SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
+
+_CACHE: dict[tuple[int, str, str], tuple[str, Tables]] = {}
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """The projected tables of ``sf_dir``, written once per session.
+    """The projected tables of ``sf_dir``, written once per state of its files.
 
     The first call runs the projection once -- the narrow lineitem -> order ->
     customer -> nation join is staged, the six tables are derived from it --
@@ -248,17 +252,23 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     ``spark.checkpoint.dir`` (``weekly_sales`` partitioned by month).  Every
     registered query then reads that snapshot: no query repeats the large
     join or the weekly aggregation of all lines, trailing-window queries
-    prune month folders, and the lineage is cut.  Memoized per (session,
-    application, folder) so a stopped and recreated session never gets frames
-    bound to the old one.
+    prune month folders, and the lineage is cut.
+
+    Every call lists the source files; when a file was added, removed or
+    rewritten since, the projection is built anew (the listing is taken before
+    the build, so a change during it is noticed by the next call).  Memoized per
+    (session, application, folder), so a stopped and recreated session never
+    gets frames bound to the old one.
     """
     app = spark.sparkContext.applicationId
-    key = (id(spark), app, sf_dir.rstrip("/"))
-    if key not in _CACHE:
+    root = sf_dir.rstrip("/")
+    key = (id(spark), app, root)
+    state = fingerprint(spark, [f"{root}/{name}.parquet" for name in SOURCES])
+    if key not in _CACHE or _CACHE[key][0] != state:
         # one snapshot per folder; entries of other applications are stale
         for old in [k for k in _CACHE if k[:2] != key[:2]]:
             del _CACHE[old]
         lazy = build_tables(spark, sf_dir, stage_dir=scratch_path(spark, "lines"))
         snapshot = files.write_tables(lazy, scratch_path(spark, "snapshot"))
-        _CACHE[key] = files.read_published(spark, snapshot, lazy.as_of)
-    return _CACHE[key]
+        _CACHE[key] = state, files.read_published(spark, snapshot, lazy.as_of)
+    return _CACHE[key][1]
