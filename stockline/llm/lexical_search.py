@@ -3,9 +3,12 @@
 A term's share in a document's score is w * impact: w depends on how many
 documents hold the term, the impact on the term's occurrences and the document's
 length.  The impact grows with the occurrences, so a document's sketch keeps, in
-each of a few hashed coordinates, the maximum over the terms that fall there (a
-one-byte code of the occurrences, rounded up).  A sketch has ``SLOTS`` to
-2 * ``SLOTS`` coordinates per distinct term of its document.
+each hashed coordinate, the maximum over the terms that fall there (a one-byte
+code of the occurrences, rounded up).  It does so under ``HASHES`` hash
+functions, each with ``SLOTS`` to 2 * ``SLOTS`` coordinates per distinct term (and
+2**``LEAST_LOG_SLOTS`` at least); a lookup takes the least of a term's maxima,
+which another term raises only by falling together with it under all of them.
+A sketch is stored as a bitmap of the coordinates in use and their codes.
 
 1. One pass over the texts writes the sketches, each under the SHA-256 of its
    text, with the number of documents and terms and, for the terms of the
@@ -17,7 +20,9 @@ one-byte code of the occurrences, rounded up).  A sketch has ``SLOTS`` to
 3. A second pass over the sketches keeps the documents whose bound reaches a
    threshold; these alone are rescored from their texts, in order of descending
    bound until the bound falls below the k-th score so far, and the k best of
-   each task are ranked.
+   each task that reach the threshold are ranked.  Up to ``BROADCAST_TEXTS`` of
+   them are counted and broadcast, so that no text is shuffled; beyond that the
+   texts are joined with them.
 
 No document that reaches the ranking is left out: a bound is never below the
 score, and equal texts have one sketch and one score, whatever their number.
@@ -53,9 +58,13 @@ from stockline.llm import _text
 from stockline.llm._store import written
 
 K = 50
+HASHES = 4
 SLOTS = 8
+LEAST_LOG_SLOTS = 8
 BLOCK_QUERIES = 1024
 BLOCK_CHARS = 16 << 20
+#: Texts to be rescored that are broadcast (their digests); more are joined by digest.
+BROADCAST_TEXTS = 200_000
 #: Documents whose bounds are computed at once.
 ROWS = 128
 #: Cells of one lookup (documents x query terms).
@@ -68,9 +77,19 @@ _TABLE = bytes(
 #: The occurrences that a code stands for, rounded up: exact to 128, then four steps a doubling.
 _OCCURRENCES = np.array([*range(129), *(math.ceil(128 * 2 ** (i / 4)) for i in range(1, 97))], np.float64)
 
+#: Odd multipliers; a coordinate is the upper bits of a 32-bit product.
+_HASH = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)[:HASHES]
+
 Arrow = Iterator[pa.RecordBatch]
 
 
+def slots(hashes: np.ndarray, log_slots: np.ndarray | int) -> np.ndarray:
+    """Coordinate of each term under each hash function (a row each), inside the sketch."""
+    # every function has coordinates of its own, one after the other
+    own = (_HASH[:, None] * hashes.astype(np.uint32)) >> (32 - np.asarray(log_slots)).astype(np.uint32)
+    return own.astype(np.int64) + (np.arange(HASHES)[:, None] << np.asarray(log_slots))
+
+
 def terms(text: bytes) -> list[bytes]:
     """The lower-cased terms of a text, repeats included."""
     return text.translate(_TABLE).split()
@@ -89,12 +108,13 @@ def weight(documents: int, holding: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * holding + 1)))
 
 
-_INDEX = "keys array<binary>, n array<bigint>, log_slots binary, codes binary, documents bigint, total bigint, term array<int>, holding array<bigint>"
+_INDEX = "keys array<binary>, n array<bigint>, log_slots binary, used binary, codes binary, documents bigint, total bigint, term array<int>, holding array<bigint>"
 _INDEX_ARROW = pa.schema(
     [
         ("keys", pa.list_(pa.binary())),
         ("n", pa.list_(pa.int64())),
         ("log_slots", pa.binary()),
+        ("used", pa.binary()),
         ("codes", pa.binary()),
         ("documents", pa.int64()),
         ("total", pa.int64()),
@@ -126,14 +146,16 @@ def _sketched(batches: Arrow, vocabulary: dict[bytes, int]) -> Arrow:
             documents += len(keys)
             total += sum(sizes)
             distinct = np.array([len(tf) for tf in counted])
-            log_slots = np.ceil(np.log2(SLOTS * distinct)).astype(np.int64)
-            begin = np.cumsum(1 << log_slots) - (1 << log_slots)
-            h = np.fromiter(map(crc32, chain.from_iterable(counted)), np.int64, int(distinct.sum()))
+            log_slots = np.maximum(np.ceil(np.log2(SLOTS * distinct)), LEAST_LOG_SLOTS).astype(np.int64)
+            ends = np.cumsum(HASHES << log_slots)
+            h = np.fromiter(map(crc32, chain.from_iterable(counted)), np.uint32, int(distinct.sum()))
             tf = np.fromiter(chain.from_iterable(c.values() for c in counted), np.int64, len(h))
-            at = np.repeat(begin, distinct) + (h & (np.repeat(1 << log_slots, distinct) - 1))
-            codes = np.zeros(int((1 << log_slots).sum()), np.uint8)
-            np.maximum.at(codes, at, np.searchsorted(_OCCURRENCES, tf).astype(np.uint8))
-            row = {"keys": keys, "n": sizes, "log_slots": log_slots.astype(np.uint8).tobytes(), "codes": codes.tobytes()}
+            code = np.searchsorted(_OCCURRENCES, tf).astype(np.uint8)
+            codes = np.zeros(int(ends[-1]), np.uint8)
+            for at in slots(h, np.repeat(log_slots, distinct)) + np.repeat(ends - (HASHES << log_slots), distinct):
+                np.maximum.at(codes, at, code)
+            used = np.packbits(codes > 0)  # a sketch is a whole number of bytes
+            row = {"keys": keys, "n": sizes, "log_slots": log_slots.astype(np.uint8).tobytes(), "used": used.tobytes(), "codes": codes[codes > 0].tobytes()}
             yield pa.RecordBatch.from_pylist([row], _INDEX_ARROW)
     if documents:
         row = {"documents": documents, "total": total, "term": [vocabulary[t] for t in holding], "holding": list(holding.values())}
@@ -154,7 +176,7 @@ class Queries:
         known = sorted({t for _, t, _ in lookups})
         column = {t: i for i, t in enumerate(known)}
         #: Hash of each distinct term; per lookup its column and weight, lookups of a query together.
-        self.hashes = np.array([crc32(t) for t in known], np.int64)
+        self.hashes = np.array([crc32(t) for t in known], np.uint32)
         self.columns = np.array([column[t] for _, t, _ in lookups], np.int64)
         self.w = np.array([w for _, _, w in lookups], np.float32)
         #: Queries with a lookup, and where their lookups begin.
@@ -166,14 +188,17 @@ class Queries:
 
     def bounds(self, n: np.ndarray, log_slots: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, bounds of rows x asked queries) of all sketches of a block, few rows at a time."""
-        begin = np.cumsum(1 << log_slots) - (1 << log_slots)
+        begin = np.cumsum(HASHES << log_slots) - (HASHES << log_slots)
         step = max(1, min(ROWS, CELLS // max(1, len(self.columns))))
         for size in np.unique(log_slots).tolist():
             own = np.flatnonzero(log_slots == size)
-            slot = self.hashes & ((1 << size) - 1)
+            places = slots(self.hashes, size)
             for lo in range(0, len(own), step):
                 rows = own[lo : lo + step]
-                tf = _OCCURRENCES[codes[begin[rows, None] + slot]]
+                code = codes[begin[rows, None] + places[0]]
+                for other in places[1:]:
+                    np.minimum(code, codes[begin[rows, None] + other], out=code)
+                tf = _OCCURRENCES[code]
                 share = (1e6 * tf / (tf + 0.02 * self.norm(n[rows])[:, None])).astype(np.float32)
                 sums = np.add.reduceat(share[:, self.columns] * self.w, self.begin, axis=1, dtype=np.float64)
                 yield rows, sums * (1 + 1e-6)  # above what single precision may lose
@@ -190,7 +215,9 @@ def _blocks(batches: Arrow, queries: Queries) -> Iterator[tuple[list[bytes], np.
             keys = batch.column("keys")[i].as_py()
             n = batch.column("n")[i].values.to_numpy()
             log_slots = np.frombuffer(batch.column("log_slots")[i].as_buffer(), np.uint8).astype(np.int64)
-            codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint8)
+            used = np.unpackbits(np.frombuffer(batch.column("used")[i].as_buffer(), np.uint8)).view(bool)
+            codes = np.zeros(len(used), np.uint8)
+            codes[used] = np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint8)
             for rows, bounds in queries.bounds(n, log_slots, codes):
                 yield keys, rows, bounds
 
@@ -237,8 +264,8 @@ def _reaching(batches: Arrow, queries: Queries, thresholds: np.ndarray) -> Arrow
 _SCORED = "query int, doc_id bigint, score bigint"
 
 
-def _rescored(batches: Arrow, queries: Queries, k: int) -> Arrow:
-    """The k best (score, smaller id) of each query among a task's texts, exact."""
+def _rescored(batches: Arrow, queries: Queries, thresholds: np.ndarray, k: int) -> Arrow:
+    """The k best (score, smaller id) of each query among a task's texts, exact, from the threshold on."""
     best: dict[int, list[tuple[int, float]]] = {}
     nothing = float("inf")  # a null id comes first
     for batch in batches:
@@ -257,7 +284,7 @@ def _rescored(batches: Arrow, queries: Queries, k: int) -> Arrow:
                     found = terms(data[cuts[i] : cuts[i + 1]])
                     held[i] = Counter(found), queries.norm(len(found))
                 score = queries.score(q, *held[i])
-                if score > 0:
+                if score >= thresholds[q]:
                     one = score, nothing if ids[i] is None else -ids[i]
                     if len(own) < k:
                         heappush(own, one)
@@ -290,12 +317,14 @@ def _block(texts: DataFrame, items: list, queries: list[list[bytes]], k: int) ->
     if not len(block.asked):
         return None
     known = spark.sparkContext.broadcast(block)
-    sketches = index.where("keys IS NOT NULL").select("keys", "n", "log_slots", "codes")
+    sketches = index.where("keys IS NOT NULL").select("keys", "n", "log_slots", "used", "codes")
     named = texts.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("key"))
+    thresholds = np.ones(len(items), np.int64)  # only scores above 0 count
 
     def rescored(asked: DataFrame) -> DataFrame:
         found = named.join(asked, "key").select("doc_id", "text", "queries", "bounds")
-        return _ranked(found.mapInArrow(lambda batches: _rescored(batches, known.value, k), _SCORED), k)
+        least = thresholds.copy()
+        return _ranked(found.mapInArrow(lambda batches: _rescored(batches, known.value, least, k), _SCORED), k)
 
     # a text may be among the highest of several tasks
     bounds = sketches.mapInArrow(lambda batches: _highest(batches, known.value, k), _BOUND).groupBy("query", "key").agg(F.max("bound").alias("bound"))
@@ -303,12 +332,14 @@ def _block(texts: DataFrame, items: list, queries: list[list[bytes]], k: int) ->
     first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     asked = first.groupBy("key").agg(F.collect_list(F.struct("query", "bound")).alias("x"))  # a row per query at most
     asked = asked.select("key", F.col("x.query").alias("queries"), F.col("x.bound").alias("bounds"))
-    thresholds = np.ones(len(items))
-    for row in rescored(asked).where(F.col("rank") == k).select("query", "score").collect():  # a number per query
+    # k texts a query at most: fit to broadcast
+    for row in rescored(F.broadcast(asked)).where(F.col("rank") == k).select("query", "score").collect():  # a number per query
         thresholds[row["query"]] = row["score"]
 
-    reaching = sketches.mapInArrow(lambda batches: _reaching(batches, known.value, thresholds), _ASKED)
-    return rescored(reaching.dropDuplicates(["key"]))
+    least = thresholds.copy()
+    reaching = sketches.mapInArrow(lambda batches: _reaching(batches, known.value, least), _ASKED)
+    reaching = written(reaching.dropDuplicates(["key"]), "reaching")
+    return rescored(F.broadcast(reaching) if reaching.count() <= BROADCAST_TEXTS else reaching)
 
 
 def search(
