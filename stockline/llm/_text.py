@@ -10,6 +10,7 @@ a slice is one or more whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,34 @@ def ranges(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int = _P) ->
     return mix(h + (hi - lo).astype(np.uint64) * np.uint64(_Q))
 
 
+#: Words above this many bytes are hashed one by one.
+LONG_WORD = 64
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return ranges(prefix(buf.astype(np.uint64) + np.uint64(1)), starts, ends)
+    """64-bit hash of each word's bytes.
+
+    Eight bytes enter at a time and everything is mixed after each, so the hash
+    has no algebraic form in the bytes: a sum of bytes times powers (as
+    ``ranges`` is) maps some long words, such as a Thue-Morse word and its
+    complement, to one value under every base.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(_Q) + np.uint64(_P))
+    # the eight bytes from each position on
+    eight = np.ndarray((len(buf) + 1,), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    short = size <= LONG_WORD
+    live = np.flatnonzero(short & (size > 0)) if not short.all() else np.arange(len(size))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        h[live] = mix((h[live] ^ (eight[starts[live] + done] & _FIRST_BYTES[np.minimum(left, 8)])) * np.uint64(_P))
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = int.from_bytes(blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def grams(values: np.ndarray, n: int, base: int = _Q) -> np.ndarray:

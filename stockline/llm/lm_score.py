@@ -1,33 +1,37 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Training counts unigrams and bigrams of all training texts.  A batch sends its
-distinct n-grams (64-bit hashes, sorted) cut into buckets of the hash range, one
-packed row per bucket, so a frequent n-gram is one entry per batch.  A bucket's
-task adds up counts and keeps them all, also of bigrams seen once (``MIN_BIGRAM``
-is 1): the counts of v's bigrams add up to n(v), so P(. | v) adds up to 1.
-
-The filter holds quantised counts: an n-gram of count c is entered with levels
-1 .. q(c), q growing with log2 of c.  A lookup probes level 1, 2, ... until one
-is missing and returns the middle of the last level found.  All four bits of an
-entry lie in one 64-bit word; a bucket's words are one segment, built by the
-task that holds the bucket.  Segments are gathered into shards of at most
-``SHARD_BYTES``, each broadcast by itself; a filter that needs more shards is
-scored in one pass per shard, each written before the next shard is gathered, so
-that one is held at a time, and the passes' sums are added (the score is a sum of
-terms that each need one n-gram of the filter).
+The filter is spread over the workers by ranges of the n-gram hash (buckets) and
+is never gathered: lookups travel to it, in one pass over the texts.
+
+1. Texts are dealt to groups of about ``GROUP_BYTES``.  A group sends each of its
+   distinct unigrams and bigrams once, with its count in training texts (0 if it
+   is found in held-out texts only), packed into one row per bucket.  So an
+   n-gram that a third of all rows share is one entry per group.
+2. A bucket's task adds the counts up, all of them, also of bigrams seen once
+   (``MIN_BIGRAM`` is 1): the counts of v's bigrams add up to n(v), so P(. | v)
+   adds up to 1.  It enters them into its segment of the filter: quantised, an
+   n-gram of count c with levels 1 .. q(c), q growing with log2 of c.  Then it
+   probes the segment for every n-gram that a group asks for: level 1, 2, ...
+   until one is missing; the answer is the last level found, one byte an n-gram,
+   in the order of the question.  All four bits of an entry lie in one 64-bit
+   word.  Tokens get their exact training count beside it.
+3. Answers return to their groups, where each text's terms are added up:
 
     P(t | v) = (n(v t) + MU * P1(t)) / (n(v) + MU)
 
-n(v t) and n(v) come from the filter; P1(t), like the base score, is the smoothed
-unigram estimate from exact counts of all tokens.  The most frequent tokens
-(``FREQUENT`` at most, a bound set by choosing its least count) are a broadcast
-table and settled in the pass; the others leave it as rows (token, text, n(v t))
-and are joined with the counts by token.  The table's size changes no result.
+n(v t) and n(v) are the middles of the levels found; P1(t), like the base score,
+is the smoothed unigram estimate from exact counts.  Every bucket answers every
+group with its own number of tokens and of types, so a group has both totals
+without a pass of their own.
+
+Memory: a task holds one group's distinct n-grams or one bucket's, both bounded
+by the two sizes above; the number of groups and buckets grows with the corpus.
+Rows equal in id and text are dealt apart by the partition they are read in.
 
 Edge cases: a null text is empty and holds the end token alone; a null id is a
 training text; with no training text at all every count is 0; repeated rows are
-scored and counted as often as they are listed; texts are read whole; only the
-id and text columns are read.
+scored and counted as often as they are listed; texts are read whole; an empty
+table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -41,15 +45,13 @@ from pyspark.sql import functions as F
 
 from stockline.llm import _text
 from stockline.llm._anchored import groups
-from stockline.llm._store import written
 
 FOLDS, HELD_OUT = 5, 1
 MIN_BIGRAM = 1
 MU = 1000.0
-FREQUENT = 200_000
 BITS_PER_ENTRY = 12
-SHARD_BYTES = 64 << 20
-FLUSH_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 END = np.uint64(0x5BD1E995A1B2C3D4 & ~1)
 BEGIN = np.uint64(0x27D4EB2F16567890 & ~1)
 _ONE = np.uint64(1)
@@ -86,39 +88,59 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def _counted(batches: Arrow, log_buckets: int) -> Arrow:
-    """Rows (bucket, keys, counts): distinct n-grams of some texts, per bucket."""
-    shift = np.uint64(64 - log_buckets)
-
-    def send(held: list[np.ndarray]) -> Arrow:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        bucket = (keys >> shift).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = [*cut[1:].tolist(), len(keys)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[cut], pa.int32()),
-                pa.array([_pack(keys[a:b]) for a, b in zip(cut.tolist(), ends)], pa.binary()),
-                pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary()),
-            ],
-            ["bucket", "keys", "counts"],
-        )
-
-    held: list[np.ndarray] = []
-    size = 0
-    for batch in batches:
-        for part in _text.slices(batch.column(0)):
-            token, before, begin = tokens(part)
-            held += [token, bigrams(before, token), np.full(len(begin) - 1, BEGIN)]
-            size += len(part.buf)
-            if size >= FLUSH_BYTES:
-                yield from send(held)
-                held, size = [], 0
-    if held:
-        yield from send(held)
-
-
-_BUCKET = "bucket int, tokens binary, token_counts binary, pairs binary, pair_levels binary, n_entries bigint"
+class _Group:
+    """The tokens and distinct n-grams of one group's texts."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        parts = [tokens(p) for p in _text.slices(texts.combine_chunks())]
+        sizes = [len(p[0]) for p in parts]
+        at = np.cumsum([0, *sizes[:-1]])
+        self.token, self.before = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        #: Where each text's tokens begin; every text has its end token at least.
+        self.begin = np.concatenate([p[2][:-1] + a for p, a in zip(parts, at)])
+        asked = np.concatenate((self.token, bigrams(self.before, self.token), [BEGIN]))
+        #: Distinct keys in order; the place of each token, of each pair, and of BEGIN among them.
+        self.keys, back = np.unique(asked, return_inverse=True)
+        n = len(self.token)
+        self.of_token, self.of_pair, of_begin = back[:n], back[n : 2 * n], back[-1]
+        self.of_before = np.empty(n, back.dtype)
+        self.of_before[1:] = self.of_token[:-1]
+        self.of_before[self.begin] = of_begin
+
+    def counts(self, trained: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the texts that ``trained`` marks."""
+        size = np.diff(np.append(self.begin, len(self.token)))
+        own = np.repeat(trained, size)
+        n = np.bincount(self.of_token[own], minlength=len(self.keys)) + np.bincount(self.of_pair[own], minlength=len(self.keys))
+        n[np.searchsorted(self.keys, BEGIN)] += int(trained.sum())
+        return n
+
+
+def _cuts(keys: np.ndarray, log_buckets: int) -> np.ndarray:
+    """Where each bucket's keys begin among sorted keys; one entry more than buckets."""
+    if not log_buckets:
+        return np.array([0, len(keys)])
+    edges = np.arange(1 << log_buckets, dtype=np.uint64) << np.uint64(64 - log_buckets)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+_ASKED = "bucket int, group bigint, keys binary, counts binary"
+
+
+def _questions(table: pa.Table, log_buckets: int) -> pa.Table:
+    """Rows (bucket, group, keys, counts) of one group, for every bucket."""
+    group = _Group(table.column("text"))
+    counts = group.counts(~table.column("held_out").to_numpy()).astype("<u4")
+    cuts = _cuts(group.keys, log_buckets).tolist()
+    pairs = list(zip(cuts, cuts[1:]))
+    return pa.table(
+        {
+            "bucket": pa.array(range(len(pairs)), pa.int32()),
+            "group": pa.array([table.column("group")[0].as_py()] * len(pairs), pa.int64()),
+            "keys": pa.array([_pack(group.keys[a:b]) for a, b in pairs], pa.binary()),
+            "counts": pa.array([counts[a:b].tobytes() for a, b in pairs], pa.binary()),
+        }
+    )
 
 
 def level(counts: np.ndarray, least: int) -> np.ndarray:
@@ -132,252 +154,125 @@ def middle(levels: np.ndarray, least: int) -> np.ndarray:
     return np.where(levels > 0, (3 * low - 1) / 2, 0.0)
 
 
-def _merged(batches: Arrow) -> Arrow:
-    """One row per bucket: its tokens with counts, its pairs with levels."""
-    for batch in groups(batches, "bucket"):
-        bucket = batch.column("bucket").to_numpy()
-        packed, counts = batch.column("keys").to_pylist(), batch.column("counts").to_pylist()
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
-        for lo, hi in zip(cut, [*cut[1:], len(bucket)]):
-            keys = np.concatenate([_unpack(x) for x in packed[lo:hi]])
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in counts[lo:hi]]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys, n = keys[begin], np.add.reduceat(n[order], begin)
-            pair = (keys & _ONE).astype(bool)
-            often = pair & (n >= MIN_BIGRAM)
-            levels = level(n[often], MIN_BIGRAM)
-            entries = int(levels.sum()) + int(level(n[~pair], 1).sum())
-            row = [[int(bucket[lo])], [_pack(keys[~pair])], [n[~pair].astype("<i8").tobytes()], [_pack(keys[often])], [levels.tobytes()], [entries]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
-                ["bucket", "tokens", "token_counts", "pairs", "pair_levels", "n_entries"],
-            )
-
-
-def _place(keys: np.ndarray, lev: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word inside the segment and bit mask of an entry (key, level)."""
-    h = _text.mix(keys + np.uint64((lev * 0xA24BAED4963EE407) & 0xFFFFFFFFFFFFFFFF))
-    word = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
-    six = np.uint64(63)
-    mask = _ONE << (h & six) | _ONE << ((h >> np.uint64(6)) & six) | _ONE << ((h >> np.uint64(12)) & six) | _ONE << ((h >> np.uint64(18)) & six)
-    return word.astype(np.int64), mask
-
-
-def _segments(batches: Arrow, words: int) -> Arrow:
-    for batch in batches:
-        for row in batch.to_pylist():
-            segment = np.zeros(words, np.uint64)
-            for keys, levels in (
-                (_unpack(row["tokens"]), level(np.frombuffer(row["token_counts"], "<i8"), 1)),
-                (_unpack(row["pairs"]), np.frombuffer(row["pair_levels"], np.uint8)),
-            ):
-                for lev in range(1, int(levels.max(initial=0)) + 1):
-                    word, mask = _place(keys[levels >= lev], lev, words)
-                    np.bitwise_or.at(segment, word, mask)
-            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([segment.astype("<u8").tobytes()], pa.binary())], ["bucket", "segment"])
-
-
 class Filter:
-    """A shard of the filter: the segments of buckets lo .. hi."""
-
-    def __init__(self, log_buckets: int, words: int, lo: int, hi: int, table: np.ndarray):
-        self.shift, self.words, self.lo, self.hi, self.table = 64 - log_buckets, words, lo, hi, table
-
-    def owns(self, keys: np.ndarray) -> np.ndarray:
-        bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
-        return (bucket >= self.lo) & (bucket < self.hi)
+    """A segment of the filter: the quantised counts of one bucket's n-grams."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY):
+        pair = (keys & _ONE).astype(bool)
+        own = counts >= np.where(pair, MIN_BIGRAM, 1)
+        keys, pair = keys[own], pair[own]
+        levels = np.where(pair, level(counts[own], MIN_BIGRAM), level(counts[own], 1))
+        self.table = np.zeros(max(1, -(-int(levels.sum(dtype=np.int64)) * bits_per_entry // 64)), np.uint64)
+        for lev in range(1, int(levels.max(initial=0)) + 1):
+            word, mask = self._place(keys[levels >= lev], lev)
+            np.bitwise_or.at(self.table, word, mask)
+
+    def _place(self, keys: np.ndarray, lev: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word and bit mask of an entry (key, level)."""
+        h = _text.mix(keys + np.uint64((lev * 0xA24BAED4963EE407) & 0xFFFFFFFFFFFFFFFF))
+        word = ((h >> np.uint64(32)) * np.uint64(len(self.table))) >> np.uint64(32)
+        six = np.uint64(63)
+        mask = _ONE << (h & six) | _ONE << ((h >> np.uint64(6)) & six) | _ONE << ((h >> np.uint64(12)) & six) | _ONE << ((h >> np.uint64(18)) & six)
+        return word.astype(np.int64), mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which every level is a member."""
         out = np.zeros(len(keys), np.uint8)
-        base = ((keys >> np.uint64(self.shift)).astype(np.int64) - self.lo) * self.words
         live = np.arange(len(keys))
         lev = 0
-        while len(live):
+        while len(live) and lev < 255:
             lev += 1
-            word, mask = _place(keys[live], lev, self.words)
-            live = live[(self.table[base[live] + word] & mask) == mask]
+            word, mask = self._place(keys[live], lev)
+            live = live[(self.table[word] & mask) == mask]
             out[live] = lev
-            if lev == 255:
-                break
         return out
 
-    def counts(self, keys: np.ndarray, least: int) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
-        return middle(self.levels(distinct), least)[back]
-
-
-class Model:
-    """What training leaves: the counts per bucket (a written table) and totals."""
-
-    def __init__(self, buckets: DataFrame, log_buckets: int):
-        self.buckets, self.log_buckets = buckets, log_buckets
-        self.counts = buckets.select("tokens", "token_counts").mapInArrow(_token_counts, "token bigint, c bigint")
-        scale = self.counts.groupBy(F.floor(F.log2("c")).alias("scale")).agg(F.count("*").alias("types"), F.sum("c").alias("mass")).collect()
-        rows = sorted(((r["scale"], r["types"], r["mass"]) for r in scale), reverse=True)
-        self.types, self.total = sum(r[1] for r in rows), sum(r[2] for r in rows)
-        taken = 0
-        self.least = 1 << 62
-        for s, types, _ in rows:  # lower the least count while the table stays within its bound
-            if taken + types > FREQUENT:
-                break
-            taken, self.least = taken + types, 1 << int(s)
-        frequent = self.counts.where(F.col("c") >= self.least).toArrow()
-        keys = frequent.column("token").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        self.frequent = keys[order], frequent.column("c").to_numpy()[order]
-        self.scale = self.total + 0.5 * (self.types + 1)
-
-    def shards(self) -> list[tuple[int, int, int]]:
-        """(words per segment, first bucket, last bucket) of each shard."""
-        entries = self.buckets.agg(F.coalesce(F.max("n_entries"), F.lit(0))).first()[0]
-        words = max(1, -(-entries * BITS_PER_ENTRY // 64))
-        step = max(1, SHARD_BYTES // (8 * words))
-        return [(words, lo, min(lo + step, 1 << self.log_buckets)) for lo in range(0, 1 << self.log_buckets, step)]
-
-    def filter(self, words: int, lo: int, hi: int) -> Filter:
-        """Gather one shard (SHARD_BYTES at most, or one segment) on the driver."""
-        own = self.buckets.where((F.col("bucket") >= lo) & (F.col("bucket") < hi))
-        table = np.zeros((hi - lo) * words, np.uint64)
-        built = own.mapInArrow(lambda batches: _segments(batches, words), "bucket int, segment binary").toArrow()
-        for bucket, segment in zip(built.column("bucket").to_pylist(), built.column("segment")):
-            at = (bucket - lo) * words
-            table[at : at + words] = np.frombuffer(segment.as_buffer(), "<u8")
-        return Filter(self.log_buckets, words, lo, hi, table)
-
-
-def _token_counts(batches: Arrow) -> Arrow:
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys = _unpack(row["tokens"])
-            own = keys != BEGIN
-            yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64)), pa.array(np.frombuffer(row["token_counts"], "<i8")[own])], ["token", "c"])
-
-
-def train(texts: DataFrame, log_buckets: int | None = None) -> Model:
-    """Count the n-grams of a one-column frame of texts (all of them)."""
-    if log_buckets is None:
-        log_buckets = max(2, int(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    sent = texts.mapInArrow(lambda batches: _counted(batches, log_buckets), "bucket int, keys binary, counts binary")
-    return Model(written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged, _BUCKET), "ngrams"), log_buckets)
-
-
-def _lookup(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(found, count) of keys in a sorted table."""
-    known, counts = table
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    found = known[at] == keys
-    return found, np.where(found, counts[at], 0)
-
-
-_ROWS = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, token bigint, n double, tf bigint"
-
-
-def _scored(batches: Arrow, table: tuple[np.ndarray, np.ndarray], part_of: Filter, scale: float) -> Arrow:
-    """Per text: tokens, what the frequent table gives to the base score, and the shard's terms of the score.
-
-    Behind them, rows (uid, token, n, tf): tokens outside the table in pairs of
-    the shard, with the pair's count n.  A text's own row has an odd token, which
-    no token's key is.
-    """
-    names = [c.split()[0] for c in _ROWS.split(", ")]
-    types = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in _ROWS.split(", ")]
-    for batch in batches:
-        for part in _text.slices(batch.column("text")):
-            token, before, begin = tokens(part)
-            texts = part.hi - part.lo
-            distinct, back = np.unique(token, return_inverse=True)
-            found, count = _lookup(distinct, table)
-            log_base = np.where(found, np.log10((count + 0.5) / scale), 0.0)[back]
-            p1 = (count + 0.5) / scale
-            terms = np.zeros(len(token))
-            pair = bigrams(before, token)
-            own = np.flatnonzero(part_of.owns(pair))
-            n = part_of.counts(pair[own], MIN_BIGRAM)
-            known = found[back[own]]
-            terms[own[known]] += np.log10(n[known] + MU * p1[back[own[known]]])
-            rare, n = own[~known], n[~known]
-            own = np.flatnonzero(part_of.owns(before))
-            terms[own] -= np.log10(part_of.counts(before[own], 1) + MU)
-            at = begin[:-1]
-            uid = batch.column("uid").slice(part.lo, texts)
-            ids = uid.to_numpy()
-            rows = {
-                "uid": uid,
-                "doc_id": batch.column("doc_id").slice(part.lo, texts),
-                "held_out": batch.column("held_out").slice(part.lo, texts),
-                "n_tokens": np.diff(begin),
-                "known": np.add.reduceat(found[back].astype(np.int64), at),
-                "base": np.add.reduceat(log_base, at),
-                "score": np.add.reduceat(terms, at),
-                "token": ids | 1,
-            }
-            yield _rows(names, types, rows, texts)
-            if len(rare):
-                text = np.searchsorted(begin, rare, side="right") - 1
-                kinds, kind = np.unique(n, return_inverse=True)
-                code, tf = np.unique((back[rare] * np.int64(texts) + text) * len(kinds) + kind, return_counts=True)
-                code, kind = np.divmod(code, len(kinds))
-                which, text = np.divmod(code, texts)
-                yield _rows(names, types, {"uid": ids[text], "token": distinct[which].view(np.int64), "n": kinds[kind], "tf": tf}, len(tf))
-
-
-def _rows(names: list[str], types: list[pa.DataType], columns: dict, size: int) -> pa.RecordBatch:
-    """A batch with the given columns, the others null."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types)], names)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+_ANSWERED = "group bigint, bucket int, levels binary, counts binary, total bigint, types bigint"
+
+
+def _answers(batches: Arrow, bits_per_entry: int) -> Arrow:
+    """Per question: levels from the bucket's segment, exact counts of tokens, and the bucket's totals."""
+    for batch in groups(batches, "bucket"):
+        bucket = batch.column("bucket").to_numpy()
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        for lo, hi in zip(cut, [*cut[1:], len(bucket)]):
+            asked = [_unpack(x.as_buffer()) for x in batch.column("keys").slice(lo, hi - lo)]
+            seen = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("counts").slice(lo, hi - lo)]
+            keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+            n = np.bincount(back, np.concatenate(seen), len(keys)).astype(np.int64)
+            levels = Filter(keys, n, bits_per_entry).levels(keys)
+            token = (keys & _ONE == 0) & (keys != BEGIN)
+            ends = np.cumsum([len(x) for x in asked]).tolist()
+            own = [back[a:b] for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("group").slice(lo, hi - lo),
+                    pa.array([int(bucket[lo])] * len(own), pa.int32()),
+                    pa.array([levels[x].tobytes() for x in own], pa.binary()),
+                    pa.array([n[x][(k & _ONE) == 0].astype("<i8").tobytes() for x, k in zip(own, asked)], pa.binary()),
+                    pa.array([int(n[token].sum())] * len(own), pa.int64()),
+                    pa.array([int((n[token] > 0).sum())] * len(own), pa.int64()),
+                ],
+                ["group", "bucket", "levels", "counts", "total", "types"],
+            )
+
+
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _scores(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The scores of one group's texts from the answers of all buckets."""
+    answers = answers.sort_by("bucket")
+    group = _Group(table.column("text"))
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in answers.column(name)])
+    levels, counts = joined("levels", np.uint8), joined("counts", "<i8")
+    token = (group.keys & _ONE) == 0
+    if len(levels) != len(group.keys) or len(counts) != int(token.sum()):
+        raise ValueError("the texts of a group have changed between question and answer")
+    exact = np.zeros(len(levels), np.int64)
+    exact[token] = counts
+    total, types = (sum(answers.column(c).to_pylist()) for c in ("total", "types"))
+    scale = total + 0.5 * (types + 1)
+    n = np.where(token, middle(levels, 1), middle(levels, MIN_BIGRAM))
+    c = exact[group.of_token]
+    p1 = (c + 0.5) / scale
+    terms = np.log10(n[group.of_pair] + MU * p1) - np.log10(n[group.of_before] + MU)
+    texts = table.num_rows
+    return pa.table(
+        {
+            "doc_id": table.column("doc_id"),
+            "held_out": table.column("held_out"),
+            "n_tokens": np.diff(np.append(group.begin, len(c))),
+            "n_known": np.add.reduceat((c > 0).astype(np.int64), group.begin),
+            "train_tokens": np.full(texts, total, np.int64),
+            "base_score": np.add.reduceat(np.log10(p1), group.begin),
+            "score": np.add.reduceat(terms, group.begin),
+        }
+    )
+
+
+def score(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_bytes: int = GROUP_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    bits_per_entry: int = BITS_PER_ENTRY,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     The model is trained on the texts whose crc32(id as text) mod FOLDS is not HELD_OUT.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-    texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), F.coalesce(fold, F.lit(False)).alias("held_out"))
-    model = train(texts.where("NOT held_out").select("text"))
-    table = spark.sparkContext.broadcast(model.frequent)
-
-    scale = model.scale
-    passes = []
-    shards = model.shards()
-    for words, lo, hi in shards:
-        shared = spark.sparkContext.broadcast(model.filter(words, lo, hi))
-        run = lambda batches, shared=shared: _scored(batches, table.value, shared.value, scale)
-        passes.append(texts.mapInArrow(run, _ROWS))
-        if len(shards) > 1:  # a written pass needs its shard no more
-            passes[-1] = written(passes[-1], "pass")
-            shared.destroy()
-    rows = passes[0]
-    for one in passes[1:]:
-        rows = rows.unionByName(one)
-
-    # one row per text and pass; each of a text's tokens outside the table in one pass
-    counts = model.counts.select("token", F.col("c").alias("seen"))
-    c = F.coalesce("seen", F.lit(0))
-    p1 = (c + 0.5) / F.lit(scale)
-    # rows listed several times have sent their tokens as often
-    per_text = rows.join(counts, "token", "left").groupBy("uid").agg(
-        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base")),
-        (F.count("n_tokens") / F.lit(len(passes))).alias("copies"),
-        F.sum(F.coalesce("score", F.col("tf") * F.log10(F.col("n") + F.lit(MU) * p1))).alias("score"),
-        F.coalesce(F.sum(F.col("tf") * F.log10(p1)), F.lit(0.0)).alias("rare_base"),
-        F.coalesce(F.sum(F.when(c > 0, F.col("tf"))), F.lit(0)).alias("rare_known"),
-    )
-    copies = F.col("copies")
-    listed = per_text.withColumn("one", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return listed.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.col("rare_known") / copies).cast("bigint").alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base") / copies).alias("base_score"),
-        (F.col("score") / copies).alias("score"),
-    )
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    n_groups = max(1, -(-size // group_bytes))
+    log_buckets = max(0, -(-size // bucket_bytes) - 1).bit_length()
+    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_groups))
+    texts = texts.select(group.alias("group"), "doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "text")
+    asked = texts.groupBy("group").applyInArrow(lambda table: _questions(table, log_buckets), _ASKED)
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
+    answered = dealt.mapInArrow(lambda batches: _answers(batches, bits_per_entry), _ANSWERED)
+    return texts.groupBy("group").cogroup(answered.groupBy("group")).applyInArrow(_scores, _SCORED)
