@@ -9,7 +9,10 @@ About 2 in (window - base + 2) positions are anchors, and only anchors travel:
 1. ``repeated_anchors``: anchors whose gram occurs twice or more in the corpus.
    A batch sends each distinct gram once (the rest of its occurrences are known
    to be repeated), so a gram that a third of all rows share reaches its task
-   as one row per batch.  The answer is a written table.
+   as one row per batch.  The answer is a written table.  With ``shorter``
+   lengths the anchors climb a ladder: first the grams of the shortest length at
+   the anchors' positions, then the next length at the positions that survived
+   alone, up to ``base``; each level's survivors are a written table.
 2. ``window_rows``: the texts again, joined with their repeated anchors; each
    one sends the windows dealt to it, routed by the gram.  Grams that occur
    very often (``hot``; a bounded list, largest first) have their windows
@@ -25,7 +28,7 @@ fully equal rows count as one row listed several times.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +51,11 @@ Arrow = Iterator[pa.RecordBatch]
 class Windows:
     """How texts become items: ``words`` (runs of non-space bytes) or bytes."""
 
-    def __init__(self, words: bool, window: int, base: int):
+    def __init__(self, words: bool, window: int, base: int, shorter: Sequence[int] = ()):
         if not 0 < base <= window:
             raise ValueError("base must be between 1 and window")
         self.words, self.window, self.base = words, window, base
+        self.ladder = [*shorter, base]
 
     def items(self, part: _text.Slice) -> tuple[np.ndarray, np.ndarray]:
         """A 64-bit value per item, and where each text's items begin."""
@@ -67,6 +71,11 @@ class Windows:
         at, lo, hi = _text.anchors(gram, _text.starts_within(first, self.window, len(values)), self.window - self.base + 1)
         return values, first, at, lo, hi, gram[at], np.searchsorted(first, at, side="right") - 1
 
+    def levels(self, values: np.ndarray, at: np.ndarray, gram: np.ndarray) -> list[np.ndarray]:
+        """At each anchor, the gram of every length of the ladder that begins there."""
+        # a pre-filter: 40 bits decide which positions go on, and what goes on is looked at again
+        return [*(_text.grams(values, n)[at] >> np.uint64(24) for n in self.ladder[:-1]), gram]
+
     def hashes(self, values: np.ndarray) -> np.ndarray:
         """Hash of the window that starts at each item (also across texts)."""
         return _text.grams(values, self.window)
@@ -109,47 +118,75 @@ def _joined(parts: list[pa.RecordBatch]) -> Arrow:
     yield from table.to_batches() if table is not None else ()
 
 
+def _deal(grams: Sequence[np.ndarray], uid: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """A batch's anchors for one level: gram, uid, pos and local count (packed), and grams of later levels."""
+    gram = grams[0]
+    _, where, back, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+    once = np.zeros(len(gram), bool)
+    once[where] = True
+    n = np.where(once, np.minimum(count[back], (1 << _COUNT) - 1), 0)
+    # what is known to be repeated needs no count: it is dealt out evenly
+    key = np.where(once, gram, _text.mix(uid.view(np.uint64) + pos.astype(np.uint64)))
+    later = {f"next{i}": g.view(np.int64) for i, g in enumerate(grams[1:])}
+    return _batch({"gram": key.view(np.int64), "uid": uid, "packed": (pos.astype(np.int64) << _COUNT) | n} | later)
+
+
 def repeated_anchors(docs: DataFrame, windows: Windows) -> DataFrame:
     """Written table: uid, pos (item) of every anchor whose gram is found twice or more; gram and n where it is hot."""
 
-    def emit(batches: Arrow) -> Arrow:
+    def first(batches: Arrow) -> Arrow:
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
             for part in _text.slices(batch.column("text")):
-                _, first, at, _, _, gram, text = windows.anchors(part)
-                found.append((gram, uid[part.lo + text], at - first[text]))
-            if not found:
-                continue
-            gram, own, pos = (np.concatenate(x) for x in zip(*found))
-            _, where, back, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-            once = np.zeros(len(gram), bool)
-            once[where] = True
-            n = np.where(once, np.minimum(count[back], (1 << _COUNT) - 1), 0)
-            # what is known to be repeated needs no count: it is dealt out evenly
-            key = np.where(once, gram, _text.mix(own.view(np.uint64) + pos.astype(np.uint64)))
-            yield _batch({"gram": key.view(np.int64), "uid": own, "packed": (pos.astype(np.int64) << _COUNT) | n})
-
-    def resolve(batches: Arrow) -> Arrow:
+                values, first, at, _, _, gram, text = windows.anchors(part)
+                if len(at):
+                    found.append((uid[part.lo + text], at - first[text], *windows.levels(values, at, gram)))
+            if found:
+                own, pos, *grams = (np.concatenate(x) for x in zip(*found))
+                yield _deal(grams, own, pos)
+
+    def further(batches: Arrow) -> Arrow:
+        for batch in batches:
+            grams = [batch.column(c).to_numpy().view(np.uint64) for c in batch.schema.names if c.startswith("next")]
+            yield _deal(grams, batch.column("uid").to_numpy(), batch.column("pos").to_numpy())
+
+    def repeated(batches: Arrow) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows sorted by gram, which of them are repeated, and those grams' counts."""
         for batch in groups(batches, "gram"):
-            gram, packed = batch.column("gram").to_numpy(), batch.column("packed").to_numpy()
-            n = packed & ((1 << _COUNT) - 1)
+            gram, n = batch.column("gram").to_numpy(), batch.column("packed").to_numpy() & ((1 << _COUNT) - 1)
             begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             total = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(gram))))
             keep = np.flatnonzero((n == 0) | (total > 1))
-            hot = (n[keep] > 0) & (total[keep] >= HOT_ROWS)
+            yield batch, keep, total[keep]
+
+    def survivors(batches: Arrow) -> Arrow:
+        for batch, keep, _ in repeated(batches):
+            rows = batch.take(pa.array(keep))
+            later = {c: rows.column(c) for c in rows.schema.names if c.startswith("next")}
+            yield _batch({"uid": rows.column("uid"), "pos": rows.column("packed").to_numpy() >> _COUNT} | later)
+
+    def anchors(batches: Arrow) -> Arrow:
+        for batch, keep, total in repeated(batches):
+            gram, packed = batch.column("gram").to_numpy()[keep], batch.column("packed").to_numpy()[keep]
+            hot = ((packed & ((1 << _COUNT) - 1)) > 0) & (total >= HOT_ROWS)
             yield _batch(
                 {
                     "uid": batch.column("uid").to_numpy()[keep],
-                    "pos": (packed[keep] >> _COUNT),
-                    "gram": pa.array(gram[keep], mask=~hot),
-                    "n": pa.array(total[keep], mask=~hot),
+                    "pos": packed >> _COUNT,
+                    "gram": pa.array(gram, mask=~hot),
+                    "n": pa.array(total, mask=~hot),
                 }
             )
 
-    sent = docs.select("text", "uid").mapInArrow(emit, "gram bigint, uid bigint, packed bigint")
-    found = sent.repartition("gram").sortWithinPartitions("gram").mapInArrow(resolve, "uid bigint, pos bigint, gram bigint, n bigint")
-    return written(found, "anchors")
+    rows, step = docs.select("text", "uid"), first
+    for i, length in enumerate(windows.ladder):
+        later = "".join(f", next{j} bigint" for j in range(len(windows.ladder) - 1 - i))
+        sent = rows.mapInArrow(step, f"gram bigint, uid bigint, packed bigint{later}")
+        dealt = sent.repartition("gram").sortWithinPartitions("gram")
+        if later:
+            rows, step = written(dealt.mapInArrow(survivors, f"uid bigint, pos bigint{later}"), f"level-{length}"), further
+    return written(dealt.mapInArrow(anchors, "uid bigint, pos bigint, gram bigint, n bigint"), "anchors")
 
 
 def hot_grams(anchors: DataFrame) -> np.ndarray:

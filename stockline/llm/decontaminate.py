@@ -5,8 +5,9 @@ the driver and broadcast, if its size, checked first, says that there are at
 most ``max_windows`` of them.  Documents are scanned batch by
 batch: words are hashed over the Arrow buffer, windows are looked up in the
 sorted hash set, and every hit is verified on the words themselves.  No
-shuffle of documents.  A larger benchmark is not broadcast: its windows are
-joined with those of the documents by hash.
+shuffle of documents.  A larger benchmark is not broadcast: its windows, words
+included, are joined with those of the documents by hash, and every hit is
+verified on the words in the same way, so the size changes no result.
 
 Normalisation lower-cases A-Z and takes words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm import _text
+from stockline.llm._store import fresh
 
 WINDOW = 13
 MAX_WINDOWS = 1_000_000
@@ -101,6 +103,10 @@ class _Words:
         self.hashes = _text.word_hashes(buf, self.start, self.end)
         self.data = buf.tobytes()
 
+    def content(self, i: int, n: int) -> bytes:
+        """The ``n`` words from the i-th on."""
+        return b"\x00".join(self.data[a:b] for a, b in zip(self.start[i : i + n].tolist(), self.end[i : i + n].tolist()))
+
     def judged(self, ids: pa.Array, hits: Hits) -> pa.RecordBatch:
         """One row per text from (word position, window length, item ids) of every occurrence."""
         part, first, s, e = self.part, self.first, self.start, self.end
@@ -138,7 +144,10 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: WindowSet) -> Iterator[pa.
 
 
 def _windows(batches: Iterator[pa.RecordBatch], lengths: list[int], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, hash, n, position) of the windows of each text; without lengths, its own: ``window`` or all its words."""
+    """Rows (id, hash, n, position, words) of the windows of each text; without lengths, its own: ``window`` or all its words.
+
+    The words themselves go with a text's own windows only (the benchmark's).
+    """
     for batch in batches:
         for part in _text.slices(batch.column(1)):
             words = _Words(part)
@@ -152,7 +161,8 @@ def _windows(batches: Iterator[pa.RecordBatch], lengths: list[int], window: int)
                 if len(ok):
                     ids = batch.column(0).slice(part.lo, part.hi - part.lo).take(pa.array(text))
                     g = _text.grams(words.hashes, n)[ok].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(g), pa.array(np.full(len(ok), n)), pa.array(ok - words.first[text])], ["id", "h", "n", "pos"])
+                    content = pa.nulls(len(ok), pa.binary()) if lengths else pa.array([words.content(i, n) for i in ok.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(g), pa.array(np.full(len(ok), n)), pa.array(ok - words.first[text]), content], ["id", "h", "n", "pos", "words"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +170,21 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batch.column("text")):
             words = _Words(part)
             found = batch.column("found").slice(part.lo, part.hi - part.lo).to_pylist()
-            hits = ((int(words.first[d]) + f["pos"], f["n"], [f["item"]]) for d, own in enumerate(found) for f in own or ())
+            at = ((int(words.first[d]) + f["pos"], f) for d, own in enumerate(found) for f in own or ())
+            # equal hashes are candidates; the words decide
+            hits = ((i, f["n"], [f["item"]]) for i, f in at if words.content(i, f["n"]) == f["words"])
             yield words.judged(batch.column("doc_id"), hits)
 
 
 def _by_join(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """``_scan`` for a benchmark of any size: its windows are joined with the texts' by hash."""
-    theirs = items.mapInArrow(lambda batches: _windows(batches, [], window), "id string, h bigint, n bigint, pos bigint")
-    theirs = theirs.select("h", "n", F.coalesce("id", F.lit("")).alias("item")).distinct()
+    """``_scan`` for a benchmark of any size: its windows are joined with the texts' by hash, their words with them."""
+    schema = "id string, h bigint, n bigint, pos bigint, words binary"
+    theirs = items.mapInArrow(lambda batches: _windows(batches, [], window), schema)
+    theirs = theirs.select("h", "n", F.coalesce("id", F.lit("")).alias("item"), "words").distinct()
     lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # as many values as a window has words, at most
     named = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    ours = named.select("uid", "text").mapInArrow(lambda batches: _windows(batches, lengths or [window], window), "id bigint, h bigint, n bigint, pos bigint")
-    hits = ours.join(theirs, ["h", "n"]).groupBy("id").agg(F.collect_set(F.struct("pos", "n", "item")).alias("found"))
+    ours = named.select("uid", "text").mapInArrow(lambda batches: _windows(batches, lengths or [window], window), schema.replace("id string", "id bigint"))
+    hits = ours.drop("words").join(theirs, ["h", "n"]).groupBy("id").agg(F.collect_set(F.struct("pos", "n", "item", "words")).alias("found"))
     joined = named.join(hits, F.col("uid") == F.col("id"), "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_marked, _SCAN)
 
@@ -222,8 +235,9 @@ def remove_contaminated(
     if not _fits(items, max_windows):
         key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
         texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-        bad = _by_join(texts, items, WINDOW).where(_judged()).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, key == F.col("__bad"), "left_anti")
+        name = fresh(docs, "bad_text")
+        bad = _by_join(texts, items, WINDOW).where(_judged()).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(bad, key == F.col(name), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet(benchmark_windows(items.collect())))
     at = docs.columns.index(text_col)
 

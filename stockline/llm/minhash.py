@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from stockline.llm import _text
 from stockline.llm._anchored import groups
-from stockline.llm._store import written
+from stockline.llm._store import fresh, written
 
 WORDS = 5
 PERCENT = 80
@@ -294,8 +294,9 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Rows that share an id are one document and stay or go together.
     """
-    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    name = fresh(docs, "kept_id")
+    kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def _similar(batches: Arrow) -> Arrow:

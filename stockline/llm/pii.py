@@ -33,7 +33,9 @@ run); only the id and text columns are read, ``sanitise`` keeps all columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm import _text
-from stockline.llm._store import written
+from stockline.llm._store import fresh, written
 from stockline.llm.decontaminate import IS_WORD
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -233,9 +235,9 @@ def _term_spans(part: _text.Slice, known: np.ndarray, remove: np.ndarray, texts:
     words = _Words(part)
     k = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
     hits = np.flatnonzero(known[k] == words.hash)
-    owner = np.searchsorted(words.first, hits, side="right") - 1
-    for i in np.unique(owner).tolist():
-        own = hits[owner == i]
+    cut = np.searchsorted(hits, words.first)  # hits are in order of texts
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        own = hits[cut[i] : cut[i + 1]]
         base = int(part.off[i])
         data = texts[i].encode()
         edges = np.stack((words.start[own], words.end[own]), axis=1).reshape(-1) - base
@@ -256,6 +258,13 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     return "".join(out)
 
 
+def _apart(terms: list[tuple], base: list[tuple]) -> list[tuple]:
+    """The terms that no base span overlaps; both are in order of their starts."""
+    starts = [s[0] for s in base]
+    reach = list(accumulate((s[2] for s in base), max))  # the furthest end up to each span
+    return [t for t in terms if not (n := bisect_left(starts, t[2])) or reach[n - 1] <= t[0]]
+
+
 def _found(column: pa.Array, known: np.ndarray, remove: np.ndarray) -> Iterator[tuple[int, list[str], list[list]]]:
     """Slices of a text column: first row, texts, and per text all spans, in order."""
     for part in _text.slices(column):
@@ -264,7 +273,7 @@ def _found(column: pa.Array, known: np.ndarray, remove: np.ndarray) -> Iterator[
         spans = []
         for i, t in enumerate(texts):
             base = [(*s, False) for s in base_spans(t)]
-            extra = [s for s in terms.get(i, ()) if not any(a < s[2] and s[0] < b for a, _, b, _ in base)]
+            extra = _apart(terms.get(i, []), base)
             spans.append(sorted(base + extra) if extra else base)
         yield part.lo, texts, spans
 
@@ -297,6 +306,7 @@ def _texts_with_terms(docs: DataFrame, terms: DataFrame, text_col: str, use: Cal
         return docs.mapInArrow(run, schema)
 
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    text_key, own_key, own_terms = (fresh(docs, n) for n in ("text_key", "own_key", "own_terms"))
 
     def vocabulary(batches: Arrow) -> Arrow:
         for batch in batches:
@@ -306,17 +316,17 @@ def _texts_with_terms(docs: DataFrame, terms: DataFrame, text_col: str, use: Cal
                 yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(text)], ["term", "k"])
 
     occurring = docs.select(F.col(text_col).alias("t"), key.alias("k")).mapInArrow(vocabulary, "term bigint, k bigint").distinct()
-    per_text = occurring.join(terms, "term").groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("term", "disclosure")).alias("__terms"))
-    joined = docs.withColumn("__key", key).join(per_text, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+    per_text = occurring.join(terms, "term").groupBy(F.col("k").alias(own_key)).agg(F.collect_list(F.struct("term", "disclosure")).alias(own_terms))
+    joined = docs.withColumn(text_key, key).join(per_text, F.col(text_key) == F.col(own_key), "left").drop(text_key, own_key)
 
     def run_joined(batches: Arrow) -> Arrow:
         for batch in batches:
-            own = batch.column("__terms")
+            own = batch.column(own_terms)
             flat = own.flatten()
             term = flat.field("term").to_numpy().view(np.uint64)
             known, where = np.unique(term, return_index=True)
             remove = flat.field("disclosure").to_numpy()[where] >= REMOVE
-            rest = batch.select([c for c in batch.schema.names if c != "__terms"])
+            rest = batch.select([c for c in batch.schema.names if c != own_terms])
             yield from use(rest, _found(rest.column(text_col), known, remove))
 
     return joined.mapInArrow(run_joined, schema)

@@ -1,15 +1,15 @@
 """Word-window deduplication by level-wise doubling.
 
 A window is ``window`` consecutive words.  The first level looks at windows of
-half that length (halved again while the length stays even and at least
-``shortest``; by default 10 for 20) and keeps those whose words occur twice or
-more in the corpus; only these are extended to twice the length, and the next
-level keeps the longer ones that still repeat: a candidate that does not repeat
-at one level is never looked at again.  Short windows are taken at
-content-defined anchors (``_anchored``), at least one of which lies in every full
-window, so nothing is lost and a fraction of the positions is shuffled.  With a
-smaller ``shortest`` the levels between the first and the full one are decided
-together with the full one.
+that length halved as often as it stays even and at least ``shortest`` (5, 10,
+20 words by default) and keeps those whose words occur twice or more in the
+corpus; only these are extended to twice the length, and the next level keeps the
+longer ones that still repeat: a candidate that does not repeat at one level is
+never looked at again.  Each level's survivors are a written table.  Short
+windows are taken at content-defined anchors (``_anchored``), at least one of
+which lies in every full window, so nothing is lost and a fraction of the
+positions is shuffled; the last level compares the full windows around the
+anchors that are left.
 
 Every word covered by a full window that also starts earlier (smaller id, or
 the same text further left) is removed.
@@ -31,7 +31,7 @@ from stockline.llm import _anchored, _text
 from stockline.llm._anchored import Arrow, Windows
 
 WINDOW = 20
-SHORTEST = 10
+SHORTEST = 5
 
 
 def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
@@ -87,8 +87,8 @@ def _kept(batches: Arrow, windows: Windows) -> Arrow:
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space."""
-    base, *_ = levels(window, shortest)
-    windows = Windows(words=True, window=window, base=base)
+    *shorter, base = levels(window, shortest)[:-1] or [window]
+    windows = Windows(words=True, window=window, base=base, shorter=shorter)
     texts = _anchored.identified(docs, id_col, text_col)
     anchors = _anchored.repeated_anchors(texts, windows)
     rows = _anchored.window_rows(texts, anchors, windows, as_hashes=True)
