@@ -155,22 +155,26 @@ class ForecastResult:
             *[F.expr(e).alias(n) for n, e in ridge.feature_exprs("t")],
         )
 
+    def _moments(self) -> DataFrame:
+        """keys, n_obs, last_week and both moment sets (holdout fit, full refit) in one aggregation pass."""
+        feats = self._features(self.indexed.where(F.col("n_obs") >= self.minimum))
+        aggs = ridge.moment_aggregates("h_", "t < split", "actual_demand") + ridge.moment_aggregates(
+            "f_", "true", "actual_demand"
+        )
+        return feats.groupBy(*self.keys).agg(
+            *[F.expr(e).alias(n) for n, e in aggs],
+            F.max("n_obs").alias("n_obs"),
+            F.max("week_start").alias("last_week"),
+        )
+
     @property
     def fitted(self) -> DataFrame:
         """G4/G7/G8/G9 per series: n_obs, last_week, h_* and f_* coefficients,
         unrounded MAE/MAPE (model and seasonal naive) and the residual band."""
         if self._fitted is None:
             keys = self.keys
+            moments = self._moments()
             feats = self._features(self.indexed.where(F.col("n_obs") >= self.minimum))
-            # Both moment sets (holdout fit, full refit) in one aggregation pass.
-            aggs = ridge.moment_aggregates("h_", "t < split", "actual_demand") + ridge.moment_aggregates(
-                "f_", "true", "actual_demand"
-            )
-            moments = feats.groupBy(*keys).agg(
-                *[F.expr(e).alias(n) for n, e in aggs],
-                F.max("n_obs").alias("n_obs"),
-                F.max("week_start").alias("last_week"),
-            )
             outputs = {f"{p}{c}" for p in ("h_", "f_") for c in COEF_COLS}
             carry = [*keys, "n_obs", "last_week"]
             if self.solver == "sql":
@@ -215,12 +219,11 @@ class ForecastResult:
     @property
     def rejected(self) -> DataFrame:
         """Series shorter than test_weeks + 52, with the reference's message."""
+        return self._rejected(self.indexed.where(F.col("t") == 0))
+
+    def _rejected(self, series: DataFrame) -> DataFrame:
         reason = f"At least {self.minimum} weekly observations are required for annual validation"
-        return (
-            self.indexed.where(F.col("t") == 0)
-            .where(F.col("n_obs") < self.minimum)
-            .select(*self.keys, "n_obs", F.lit(reason).alias("reason"))
-        )
+        return series.where(F.col("n_obs") < self.minimum).select(*self.keys, "n_obs", F.lit(reason).alias("reason"))
 
     @property
     def validation(self) -> DataFrame:

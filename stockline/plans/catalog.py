@@ -7,14 +7,17 @@ parameterised readers (a warehouse, an area, a supplier).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import expiry, forecast, inventory, kpis, quality, sales, suppliers
-from ..sources import mart
+from ..functions.numeric import round_half_up
+from ..operators import expiry, forecast, inventory, kpis, moments, quality, quality_state, rollup, sales, suppliers
+from ..session import scratch_path
+from ..sources import bucketed, mart
 from ..tables import Tables
 
 # Fixed example arguments of the parameterised readers.
@@ -22,6 +25,8 @@ EXAMPLE_WAREHOUSE = 1
 EXAMPLE_AREA = "STANDARD"
 EXAMPLE_SUPPLIER = 7
 FORECAST_GRAIN = ("dosage_form", "warehouse_id")
+# Queries on kept state load the history before this month first, then the rest.
+EXAMPLE_MONTH = dt.date(2001, 8, 1)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -177,5 +182,70 @@ SPARK_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def dq_two_loads(t: Tables) -> DataFrame:
+    """B1-B9 over all rows, from the saved states of two loads (``quality_state``)."""
+    spark = t.products.sparkSession
+    root = scratch_path(spark, "dq-state")
+    for name, load in zip(("history", EXAMPLE_MONTH.isoformat()), quality_state.split_by_month(t, EXAMPLE_MONTH)):
+        quality_state.save(quality_state.measure(load), root, name)
+    return quality_state.evaluate(quality_state.read(spark, root))
+
+
+def _on_rollup(part: Callable[[Tables, DataFrame], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """An output of the demand rollup, saved for the history first and then for the months after it."""
+
+    def run(t: Tables) -> DataFrame:
+        spark = t.products.sparkSession
+        root = scratch_path(spark, "rollup")
+        for load in quality_state.split_by_month(t, EXAMPLE_MONTH):
+            rollup.save(rollup.monthly(load.weekly_sales), root)
+        return part(t, rollup.read(spark, root))
+
+    return run
+
+
+def _stored_forecast(t: Tables) -> moments.StoredForecast:
+    """The forecast of a kept state: the history's moments, the later weeks' shifted behind them."""
+    spark, keys = t.products.sparkSession, list(FORECAST_GRAIN)
+    weekly = forecast.series_demand(t, keys)
+    root = scratch_path(spark, "moments")
+    moments.save(moments.measure(weekly.where(F.col("week_start") < F.lit(EXAMPLE_MONTH)), keys), root)
+    later = moments.measure(weekly.where(F.col("week_start") >= F.lit(EXAMPLE_MONTH)), keys)
+    return moments.StoredForecast(moments.merge(moments.read(spark, root), later, keys), keys)
+
+
+def ridge_two_loads(t: Tables) -> DataFrame:
+    """G4/G9 coefficients from a kept state, to four decimals (sums taken in another order)."""
+    found = _stored_forecast(t).coefficients
+    return found.select(*[c if c in (*FORECAST_GRAIN, "n_obs") else round_half_up(c, 4).alias(c) for c in found.columns])
+
+
+def _bucketed(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A query over the bucketed layout, written for it under names of its own."""
+
+    def run(t: Tables) -> DataFrame:
+        spark = t.products.sparkSession
+        root = scratch_path(spark, "bucketed")
+        prefix = root.rsplit("/", 1)[-1].replace("-", "_")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bucketed.write(t, root, prefix, buckets)
+        return fn(bucketed.read(spark, root, prefix, buckets, t.as_of))
+
+    return run
+
+
+#: Queries on state that is kept and added to, load by load, and on the bucketed layout.
+LOAD_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
+    "dq_two_loads": dq_two_loads,
+    "safety_stock_two_loads": _on_rollup(rollup.safety_stock_by_position),
+    "recent_demand_two_loads": _on_rollup(rollup.recent_demand),
+    "last_n_mean_two_loads": _on_rollup(rollup.last_n_mean_demand),
+    "ridge_two_loads": ridge_two_loads,
+    "forecast_future_two_loads": lambda t: _stored_forecast(t).future,
+    "inventory_health_bucketed": _bucketed(inventory.inventory_health),
+    "dq_unique_bucketed": _bucketed(_dq_family("unique")),
+}
+
+
 def queries() -> dict[str, Query]:
-    return {key: _on_tables(fn) for key, fn in SPARK_QUERIES.items()}
+    return {key: _on_tables(fn) for key, fn in (SPARK_QUERIES | LOAD_QUERIES).items()}

@@ -7,7 +7,7 @@ writers.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -30,26 +30,34 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def _files(spark: SparkSession, path: str) -> Iterator[tuple[str, int, int]]:
+    """(name below the path, bytes, modification time) of its data files; none for a missing path."""
+    fs, where = store(spark, path)
+    if not fs.exists(where):
+        return
+    listing, base = fs.listFiles(where, True), str(fs.makeQualified(where))
+    while listing.hasNext():
+        status = listing.next()
+        name = str(status.getPath()).removeprefix(base)
+        # hidden files, which Spark's readers skip too
+        if not any(part.startswith(("_", ".")) for part in name.split("/")):
+            yield name, status.getLen(), status.getModificationTime()
+
+
+def file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the data files under a path."""
+    return [(name, size) for name, size, _ in _files(spark, path)]
+
+
 def fingerprint(spark: SparkSession, paths: Iterable[str]) -> str:
     """A digest of the files under these paths: their names, sizes and modification times.
 
     Equal as long as no file is added, removed or rewritten.  Only the listing is
     read, never content, so a file rewritten with as many bytes within the
-    store's clock resolution goes unnoticed.  Hidden files (``_`` and ``.``), which Spark's readers
-    skip, do not count.  A missing path counts as no file.
+    store's clock resolution goes unnoticed.
     """
     digest = hashlib.sha256()
     for path in sorted(paths):
-        fs, where = store(spark, path)
         digest.update(f"{path}\n".encode())
-        if not fs.exists(where):
-            continue
-        found, listing = [], fs.listFiles(where, True)
-        base = str(fs.makeQualified(where))
-        while listing.hasNext():
-            status = listing.next()
-            name = str(status.getPath()).removeprefix(base)
-            if not any(part.startswith(("_", ".")) for part in name.split("/")):
-                found.append(f"{name}\t{status.getLen()}\t{status.getModificationTime()}\n")
-        digest.update("".join(sorted(found)).encode())
+        digest.update("".join(sorted(f"{n}\t{size}\t{time}\n" for n, size, time in _files(spark, path))).encode())
     return digest.hexdigest()

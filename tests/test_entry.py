@@ -9,7 +9,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from stockline.plans.catalog import SPARK_QUERIES
+from stockline.plans import catalog
 
 
 @pytest.mark.parametrize("missing", ["public_tokenizers", "corpus_pipeline", "stockline.llm.queries"])
@@ -27,9 +27,9 @@ def test_a_missing_import_costs_the_optional_queries_only(monkeypatch, missing):
     monkeypatch.setattr(builtins, "__import__", refuse)
     monkeypatch.setattr(importlib, "import_module", lambda name, *a: refuse(name) if name == missing else by_name(name, *a))
     with pytest.warns(UserWarning, match="training-data queries left out"):
-        assert set(entry.queries()) == set(SPARK_QUERIES)
+        assert set(entry.queries()) == set(catalog.queries())
     with pytest.warns(UserWarning):
-        assert set(entry.oracle_sql()) == set(SPARK_QUERIES)
+        assert set(entry.oracle_sql()) == set(catalog.queries())
 
 
 def test_a_fault_that_is_no_import_error_is_not_hidden(monkeypatch):
