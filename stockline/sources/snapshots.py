@@ -24,18 +24,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
 import uuid
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tables import TABLE_NAMES, Tables, to_date
 from . import files
-from .stores import children, drop_folder, store
+from .stores import children, create_new, drop_folder
 
 VERSIONS = "versions"
 PREFIX = "snapshot-"
@@ -57,30 +55,6 @@ def _entry_path(root: str, number: int) -> str:
     return f"{root}/{VERSIONS}/{number:020d}.json"
 
 
-def _create_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a file with this content; False if there is one already."""
-    fs, where = store(spark, path)
-    if fs.getScheme() == "file":
-        # the local file system's own create checks first and creates later
-        local = where.toUri().getPath()
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        try:
-            with open(local, "x", encoding="utf-8") as f:
-                f.write(text)
-        except FileExistsError:
-            return False
-        return True
-    try:
-        out = fs.create(where, False)
-    except Py4JJavaError as error:
-        if "AlreadyExists" in error.java_exception.getClass().getName():
-            return False
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True
-
-
 def last_number(spark: SparkSession, root: str) -> int:
     """The highest number claimed under ``root``, whether or not its entry is whole; 0 if none is."""
     names = [n for n in children(spark, f"{root.rstrip('/')}/{VERSIONS}") if n.endswith(".json")]
@@ -145,6 +119,6 @@ def publish(tables: Tables, root: str, validate: bool = True, base: int | None =
             drop_folder(spark, path)
             raise
     entry = {"snapshot": snapshot, "as_of": tables.as_of.isoformat(), "schemas": {n: json.loads(schemas[n].json()) for n in TABLE_NAMES}}
-    if not _create_new(spark, _entry_path(root, number), json.dumps(entry)):
+    if not create_new(spark, _entry_path(root, number), json.dumps(entry)):
         raise PublishConflict(f"Version {number} under {root} is claimed by another publish; {path} is an orphan")
     return Version(number, path, tables.as_of, schemas)

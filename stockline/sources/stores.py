@@ -7,8 +7,10 @@ writers.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +26,30 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with this content; False if there is one already."""
+    fs, where = store(spark, path)
+    if fs.getScheme() == "file":
+        # the local file system's own create checks first and creates later
+        local = where.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x", encoding="utf-8") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(where, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that the caller has written itself."""
     fs, where = store(spark, path)

@@ -62,7 +62,7 @@ def test_two_publishers_cannot_both_win(spark):
 
 def test_only_one_of_many_claims_is_granted(spark):
     path, won = f"{_tmp()}/versions/1.json", []
-    claims = [threading.Thread(target=lambda i=i: won.append(i) if snapshots._create_new(spark, path, str(i)) else None) for i in range(8)]
+    claims = [threading.Thread(target=lambda i=i: won.append(i) if stores.create_new(spark, path, str(i)) else None) for i in range(8)]
     for c in claims:
         c.start()
     for c in claims:
