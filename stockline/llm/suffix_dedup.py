@@ -123,15 +123,25 @@ def _kept(batches: Arrow, length: int) -> Arrow:
             )
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (runs removed) and ``kept``, the bytes that stay."""
-    windows = Windows(words=False, window=length, base=min(gram, length))
-    texts = _anchored.identified(docs, id_col, text_col)
+def repeated_runs(texts: DataFrame, windows: Windows) -> DataFrame:
+    """uid and ``gone``, the runs (start, last) of strings that also start earlier, of identified texts."""
+    length = windows.window
     anchors = _anchored.repeated_anchors(texts, windows)
     rows = _anchored.window_rows(texts, anchors, windows, as_hashes=False)
     # buckets of bounded size, whatever the number of candidates
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), anchors.count() // _anchored.ROWS_PER_TASK + 1)
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), anchors.count() // _anchored.ROWS_PER_TASK + 1)
     rows = rows.repartition(buckets, F.col("route")).sortWithinPartitions("doc_id", "uid", "start", "route")
-    gone = _anchored.removals(rows, lambda batches: _resolve(batches, length))
-    joined = texts.join(gone, "uid", "left").select("doc_id", "text", "gone")
+    return _anchored.removals(rows, lambda batches: _resolve(batches, length))
+
+
+def kept_bytes(judged: DataFrame, length: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` of texts with their removed runs."""
+    joined = judged.select("doc_id", "text", "gone")
     return joined.mapInArrow(lambda batches: _kept(batches, length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (runs removed) and ``kept``, the bytes that stay."""
+    windows = Windows(words=False, window=length, base=min(gram, length))
+    texts = _anchored.identified(docs, id_col, text_col)
+    return kept_bytes(texts.join(repeated_runs(texts, windows), "uid", "left"), length)

@@ -90,3 +90,41 @@ def test_query_digest_is_of_the_kept_text(make_docs):
     got = {r.doc_id: r for r in substring_dedup.remove_repeated_windows(make_docs([(1, text), (2, text + " tail")])).collect()}
     assert got[1].n_removed == 0 and got[2].kept == "tail"
     assert hashlib.sha256(got[2].kept.encode()).hexdigest()
+
+
+def _bytes_result(frame):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in frame.collect())
+
+
+@pytest.mark.parametrize("cuts", [[30], [10, 20, 45, 46]])
+def test_batches_added_to_a_stored_index(spark, corpus, make_docs, tmp_path, cuts):
+    """Batch after batch gives the result of all at once; stored levels at least halve."""
+    from stockline.llm.suffix_index import SuffixIndex
+
+    rows = [r for r in dict.fromkeys(corpus) if r[0] is not None and r != (7, "other " * 30)]  # ids in order of batches
+    whole = _bytes_result(suffix_dedup.remove_repeated_bytes(make_docs(rows)))
+    index, got = SuffixIndex(spark, str(tmp_path / "index")), []
+    assert index.levels() == []
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
+        got += _bytes_result(index.add(make_docs(rows[lo:hi])))
+        sizes = [level.suffixes for level in index.levels()]
+        assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+    assert sorted(got) == whole
+    for level in index.levels():
+        suffixes = index._table(level, "suffixes")
+        assert suffixes.count() == level.suffixes == suffixes.select("uid", "pos").distinct().count()
+        for part in suffixes.rdd.glom().map(lambda p: [bytes(r["prefix"]) for r in p]).collect():
+            assert part == sorted(part)  # lexicographic order in each part
+
+
+def test_a_batch_that_is_known_adds_no_suffix(spark, make_docs, tmp_path):
+    from stockline.llm.suffix_index import SuffixIndex
+
+    index = SuffixIndex(spark, str(tmp_path / "index"))
+    rows = [(1, "".join(chr(97 + i * i % 26) + str(i) for i in range(200))), (None, None), (2, "")]
+    index.add(make_docs(rows))
+    before = index.levels()
+    again = index.add(make_docs([(0, rows[0][1]), (None, rows[0][1]), (5, rows[0][1] + "tail")])).collect()
+    assert {r.doc_id: bytes(r.kept) for r in again} == {0: b"", None: b"", 5: b"tail"}
+    assert sum(x.suffixes for x in index.levels()) <= sum(x.suffixes for x in before) + 4  # the tail's
+    assert index.add(make_docs([])).collect() == []
