@@ -98,6 +98,16 @@ def _forecast(t: Tables, grain: tuple[str, ...]) -> forecast.ForecastResult:
     return _RESULTS[grain][1]
 
 
+def forget_fits() -> None:
+    """Fit anew from now on (a timed run must not read another run's fit)."""
+    _RESULTS.clear()
+
+
+def fit(t: Tables, grain: tuple[str, ...] = FORECAST_GRAIN) -> None:
+    """Write the index and the models that all queries on the fit read."""
+    _forecast(t, grain).materialize()
+
+
 def _fit(part: Callable[[forecast.ForecastResult], DataFrame], grain: tuple[str, ...] = FORECAST_GRAIN) -> Callable[[Tables], DataFrame]:
     """An output of the fit: index and fit are written once and read by all of them."""
     return lambda t: part(_forecast(t, grain).materialize())
