@@ -195,14 +195,15 @@ def hot_grams(anchors: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
-def window_rows(docs: DataFrame, anchors: DataFrame, windows: Windows, as_hashes: bool) -> DataFrame:
+def window_rows(docs: DataFrame, anchors: DataFrame, windows: Windows, as_hashes: bool, held_bytes: int = 1 << 62) -> DataFrame:
     """route, doc_id, uid, start (item) and the windows dealt to each repeated anchor.
 
     ``body``: the hashes of the windows that start at start, start + 1, ...
     (8 bytes each), or with ``as_hashes`` false the items' bytes themselves.
     Where an equal stretch starts earlier in the same batch, its windows are
     settled: such a row is dealt out evenly and its body is only their number
-    (``SETTLED`` bytes).  doc_id is the order of texts, nulls first.
+    (``SETTLED`` bytes).  doc_id is the order of texts, nulls first.  A task
+    holds the stretches of a batch, or of about ``held_bytes`` of its texts.
     """
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_grams(anchors))
@@ -231,28 +232,37 @@ def window_rows(docs: DataFrame, anchors: DataFrame, windows: Windows, as_hashes
         bodies = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends), pa.py_buffer(body)])
         return gram, part.lo + text, lo - first[text], hi - lo + 1, content, bodies
 
+    def send(batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
+        route, row, start, count, content = (np.concatenate(x) for x in list(zip(*parts))[:5])
+        doc, uid = batch.column("doc_id").to_numpy()[row], batch.column("uid").to_numpy()[row]
+        order = np.lexsort((start, uid, doc, content))
+        lead = np.append(True, content[order][1:] != content[order][:-1])
+        leader = np.empty(len(order), np.int64)
+        leader[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        is_lead = np.zeros(len(order), bool)
+        is_lead[order[lead]] = True
+        same = (doc == doc[leader]) & (uid == uid[leader]) & (start == start[leader])
+        number = pa.Array.from_buffers(
+            pa.binary(SETTLED), len(count), [None, pa.py_buffer(count.astype("<i4"))]
+        ).cast(pa.binary())
+        body = pc.if_else(pa.array(is_lead), pa.concat_arrays([p[5] for p in parts]), number)
+        even = _text.mix(uid.view(np.uint64) + start.astype(np.uint64))
+        out = _batch({"route": np.where(is_lead, route, even).view(np.int64), "doc_id": doc, "uid": uid, "start": start, "body": body})
+        return out.filter(pa.array(is_lead | ~same))
+
     def emit(batches: Arrow) -> Arrow:
         for batch in batches:
             batch = batch.filter(batch.column("marks").is_valid())
-            parts = (stretches(p, batch.column("marks").slice(p.lo, p.hi - p.lo)) for p in _text.slices(batch.column("text")))
-            if not (parts := [p for p in parts if p is not None]):
-                continue
-            route, row, start, count, content = (np.concatenate(x) for x in list(zip(*parts))[:5])
-            doc, uid = batch.column("doc_id").to_numpy()[row], batch.column("uid").to_numpy()[row]
-            order = np.lexsort((start, uid, doc, content))
-            lead = np.append(True, content[order][1:] != content[order][:-1])
-            leader = np.empty(len(order), np.int64)
-            leader[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-            is_lead = np.zeros(len(order), bool)
-            is_lead[order[lead]] = True
-            same = (doc == doc[leader]) & (uid == uid[leader]) & (start == start[leader])
-            number = pa.Array.from_buffers(
-                pa.binary(SETTLED), len(count), [None, pa.py_buffer(count.astype("<i4"))]
-            ).cast(pa.binary())
-            body = pc.if_else(pa.array(is_lead), pa.concat_arrays([p[5] for p in parts]), number)
-            even = _text.mix(uid.view(np.uint64) + start.astype(np.uint64))
-            out = _batch({"route": np.where(is_lead, route, even).view(np.int64), "doc_id": doc, "uid": uid, "start": start, "body": body})
-            yield out.filter(pa.array(is_lead | ~same))
+            held, size = [], 0
+            for part in _text.slices(batch.column("text")):
+                found = stretches(part, batch.column("marks").slice(part.lo, part.hi - part.lo))
+                held += [found] if found is not None else []
+                size += len(part.buf)
+                if held and size >= held_bytes:
+                    yield send(batch, held)
+                    held, size = [], 0
+            if held:
+                yield send(batch, held)
 
     joined = docs.join(marks, "uid", "left").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", "uid", "marks")
     return joined.mapInArrow(emit, "route bigint, doc_id bigint, uid bigint, start bigint, body binary")

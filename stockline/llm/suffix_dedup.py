@@ -35,6 +35,7 @@ from stockline.llm._anchored import Arrow, Windows
 
 LENGTH = 100
 GRAM = 24
+HELD_BYTES = 12 << 20
 
 
 class SuffixFamily:
@@ -127,7 +128,7 @@ def repeated_runs(texts: DataFrame, windows: Windows) -> DataFrame:
     """uid and ``gone``, the runs (start, last) of strings that also start earlier, of identified texts."""
     length = windows.window
     anchors = _anchored.repeated_anchors(texts, windows)
-    rows = _anchored.window_rows(texts, anchors, windows, as_hashes=False)
+    rows = _anchored.window_rows(texts, anchors, windows, as_hashes=False, held_bytes=HELD_BYTES)
     # buckets of bounded size, whatever the number of candidates
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), anchors.count() // _anchored.ROWS_PER_TASK + 1)
     rows = rows.repartition(buckets, F.col("route")).sortWithinPartitions("doc_id", "uid", "start", "route")
