@@ -6,12 +6,11 @@ output (texts, spans, ids, files); the work is the operator's.
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockline.llm import bestfit_packing, decontaminate, filter_audit, lexical_search, lm_score, minhash, pii, quality_model, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
+from stockline.llm import bestfit_packing, decontaminate, filter_audit, lexical_search, lm_score, minhash, pii, pipeline, quality_model, quality_rules, sentencepiece_codec, sql, substring_dedup, suffix_dedup, token_pack
 from stockline.session import scratch_path
 
 
@@ -103,7 +102,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_quality_model": op1_quality_model,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
@@ -118,4 +117,4 @@ QUERIES = {
     "op12_lexical_search": op12_lexical_search,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL = sql.ORACLES | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
