@@ -1,66 +1,10 @@
 """Corpus pipeline: documents in, token ids of clean, distinct, sanitised texts out.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; between stages the rows are a written Parquet table, so a lost executor
-costs a reread and no stage is computed twice.
+The stages are functions of ``stockline.llm.pipeline``; this module names them
+where jobs look for them.  Each stage takes (spark, docs, sf_dir) and works on
+all that its predecessor kept.
 """
 
-from __future__ import annotations
+from stockline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stockline.llm import decontaminate, minhash, pii, quality_rules, sentencepiece_codec
-from stockline.llm._store import written
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return minhash.keep_one_of_each(docs)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold benchmark passages."""
-    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms taken out of their texts."""
-    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the piece ids, and digests of ids and of the text decoded from them."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.round_trip(docs, model).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
-STAGES = [
-    ("quality_rules", quality),
-    ("minhash_near_dedup", near_dedup),
-    ("decontamination", decontaminated),
-    ("pii", sanitised),
-    ("sentencepiece", encoded),
-]
-
-#: SQL has no SentencePiece encoder; the stages are tested against brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
