@@ -12,17 +12,17 @@ import __spark_entry__ as entry
 from stockline.plans import catalog
 
 
-@pytest.mark.parametrize("missing", ["public_tokenizers", "corpus_pipeline", "stockline.llm.queries"])
+@pytest.mark.parametrize("missing", ["public_tokenizers", "stockline.llm.pipeline", "stockline.llm.queries"])
 def test_a_missing_import_costs_the_optional_queries_only(monkeypatch, missing):
     for name in [n for n in sys.modules if n.startswith("stockline.llm") or n in ("corpus_pipeline", "public_tokenizers")]:
         monkeypatch.delitem(sys.modules, name)
     load = builtins.__import__
     by_name = importlib.import_module
 
-    def refuse(name, *args, **kwargs):
-        if name == missing:
+    def refuse(name, globals=None, locals=None, names=(), level=0):
+        if name == missing or missing in [f"{name}.{n}" for n in names or ()]:
             raise ModuleNotFoundError(f"No module named {name!r}")
-        return load(name, *args, **kwargs)
+        return load(name, globals, locals, names, level)
 
     monkeypatch.setattr(builtins, "__import__", refuse)
     monkeypatch.setattr(importlib, "import_module", lambda name, *a: refuse(name) if name == missing else by_name(name, *a))
