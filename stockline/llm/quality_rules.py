@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
-SYMBOLS = "#*$%&|<>"
-SPACES = "\t\n\x0b\x0c\r "
+SYMBOLS = "[#*$%&|<>]"
+SPACE = "[\\x09-\\x0D\\x20]"
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -61,59 +61,92 @@ RULES = (
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def _window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
+def _hashed(windows: Column) -> Column:
+    """One number per window, in text order."""
+    return F.transform(windows, lambda x, i: _window_hash(x, F.get("w", i + 1), F.get("w", i + 2)))
+
+
+def _equal_words(i: Column, j: Column) -> Column:
+    return F.get("w", i).eqNullSafe(F.get("w", j))
+
+
+def _by_words(windows: Column) -> Column:
+    """Positions of repeated windows, from the words themselves (sorted beside their positions)."""
+    placed = F.sort_array(
+        F.transform(windows, lambda x, i: F.struct(F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2)).alias("k"), i.cast("long").alias("p")))
+    )
+
+    def repeated(s: Column) -> Column:
+        kept = F.filter(s, lambda x, i: (x["k"] == F.get(s, i + 1)["k"]) | (x["k"] == F.get(s, i - 1)["k"]))
+        return F.sort_array(F.transform(kept, lambda x: x["p"]))
+
+    return F.get(F.transform(F.array(placed), repeated), F.lit(0))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts the rules bound, per row: ``row`` (all columns of it), doc_id, n_words, word_chars, ...
 
     ``n_repeat_words`` counts words that lie in a 3-word window found twice or
-    more in the text: windows are sorted beside their position, equal
-    neighbours keep their positions, and the union of the kept windows is the
-    sum of gaps between sorted positions, 3 at most each.
+    more in the text; the union of those windows is the sum of gaps between their
+    sorted positions, 3 at most each.  Windows are numbers: a hash whose lowest
+    bits give way to the position, so that one sort of plain numbers brings equal
+    ones together in text order.  Only texts that hold a number twice are sorted.
+    Neighbours with equal hashes are compared word by word, and a text in which
+    two of them differ is counted on its words instead.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text.alias("t"))
     base = base.select("row", "doc_id", "t", _words(F.col("t")).alias("w"))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    windows = F.transform(
-        F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
-        lambda x, i: F.struct(F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2)).alias("k"), i.alias("p")),
-    )
-    counted = base.select(
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
+    windows = F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0)))
+    # the lowest bits, as many as the largest position has
+    mask = F.expr("shiftleft(1L, length(bin(size(w)))) - 1").alias("mask")
+    hashed = base.select("row", "doc_id", "t", "w", lines.alias("l"), _hashed(windows).alias("h"), mask)
+    counted = hashed.select(
         "row",
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        lines.alias("l"),
-        F.sort_array(windows).alias("s"),
-    )
-    same = F.filter(
-        F.transform(
-            "s",
-            lambda x, i: F.when(
-                (x["k"] == F.get("s", i + 1)["k"]) | (x["k"] == F.get("s", i - 1)["k"]),
-                x["p"],
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    numbers = [c for c in counted.columns if c not in ("l", "s")]
-    placed = counted.select(
-        *numbers,
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(same).alias("r"),
+        "w",
+        "mask",
+        F.when(
+            F.size(F.array_distinct("h")) < F.size("h"),
+            F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(i.cast("long")))),
+        ).alias("s"),
     )
+    numbers = [c for c in counted.columns if c not in ("w", "mask", "s")]
+
+    def equal_hash(x: Column, y: Column) -> Column:
+        return x.bitwiseXOR(y).bitwiseAND(F.bitwise_not("mask")) == 0
+
+    repeated = F.filter("s", lambda x, i: equal_hash(x, F.get("s", i + 1)) | equal_hash(x, F.get("s", i - 1)))
+    found = counted.select(*numbers, "w", "mask", repeated.alias("s"))
+
+    def differ(x: Column, y: Column) -> Column:
+        i, j = (v.bitwiseAND(F.col("mask")).cast("int") for v in (x, y))
+        return equal_hash(x, y) & ~(_equal_words(i, j) & _equal_words(i + 1, j + 1) & _equal_words(i + 2, j + 2))
+
+    clash = F.exists(F.transform("s", lambda x, i: F.coalesce(differ(x, F.get("s", i + 1)), F.lit(False))), lambda x: x)
+    positions = F.sort_array(F.transform("s", lambda x: x.bitwiseAND(F.col("mask"))))
+    placed = found.select(*numbers, F.when(F.size("s") == 0, F.array().cast("array<bigint>")).when(clash, _by_words(windows)).otherwise(positions).alias("r"))
     union = F.aggregate(
         "r",
-        F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum")),
+        F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("sum")),
         lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(p - a["last"], F.lit(3))).alias("sum")),
         lambda a: a["sum"],
     )
-    return placed.select(*numbers, "n_lines", "n_dup_lines", union.alias("n_repeat_words"))
+    return placed.select(*numbers, F.coalesce(union, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,14 @@ def test_rule_counts(corpus, make_docs):
         assert not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("values", [1, 7, 1 << 40])
+def test_rule_counts_when_window_hashes_clash(corpus, make_docs, monkeypatch, values):
+    monkeypatch.setattr(quality_rules, "_window_hash", lambda *words: F.pmod(F.xxhash64(*words), F.lit(values)) * (1 << 22))
+    rows = corpus[:60] + [(900, "a b c a b c a b c"), (901, "a b c d a b c e a b c"), (902, "one two"), (903, None), (904, "x y z p q r x y z")]
+    got = quality_rules.measures(make_docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_repeat_words) for r in got) == sorted((str(d), rule_counts(t)[4]) for d, t in rows)
+
+
 def test_rule_filter_keeps_rows_as_they_are(make_docs):
     good = " ".join(["the house of a man that is not far from here was built"] * 1 + [f"and word{i} is" for i in range(30)])
     docs = make_docs([(1, good), (2, "### $$$ " * 60), (3, None), (None, good)])
