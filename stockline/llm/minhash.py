@@ -19,7 +19,8 @@ The work is arranged so that no group is ever expanded into all its pairs:
 3. Links make components (repeated minimum over links, pointers halved).
 4. What is left are buckets whose members are still in several components (of
    buckets with equal members, one).  They are cut into blocks of bounded size,
-   and every two blocks of a bucket meet in one task.  A first round looks at
+   those of the bucket's fullest component apart, and every two blocks of a
+   bucket meet in one task, unless both are of that component.  A first round looks at
    signatures only and names the members that agree with a member of another
    component to within five standard deviations of the threshold; a second
    brings the texts of those, confirms pairs on their full sets, and returns
@@ -232,6 +233,34 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
 
 
+def _routes(placed: DataFrame) -> DataFrame:
+    """Where the members of open buckets meet: route, cls, component, side of (key, cls, component) rows.
+
+    A bucket is open if its members are in several components; of open buckets
+    with the same members one is enough.  The members of its fullest component
+    are linked already, so their blocks meet only those of the others, which meet
+    all.  With n members in the fullest component and m others that is
+    m * (2n + m) / BLOCK rows beside the members themselves: the usual open
+    bucket, a large group of copies and a few strangers, gives about one row a
+    member.
+    """
+    content = [F.sum(F.pmod(F.xxhash64("cls", F.lit(k)), F.lit(1 << 40))).alias(f"m{k}") for k in (0, 1)]
+    parts = placed.groupBy("key", "component").agg(*content, F.count("*").alias("n"))
+    sums = [F.sum(c).alias(c) for c in ("m0", "m1")]
+    keys = parts.groupBy("key").agg(*sums, F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    keys = keys.where("top.n < size").groupBy("m0", "m1", "size").agg(F.min(F.struct("key", "top")).alias("one"))
+    blocks = [F.ceil(n / BLOCK).cast("int") for n in (F.col("one.top.n"), F.col("size") - F.col("one.top.n"))]
+    keys = keys.select("one.key", F.col("one.top.component").alias("main"), blocks[0].alias("linked"), blocks[1].alias("others"))
+    rest = placed.join(keys, "key")
+    inside = F.col("component") == F.col("main")
+    within = F.pmod(F.xxhash64("cls"), F.when(inside, F.col("linked")).otherwise(F.col("others"))).cast("int")
+    rest = rest.withColumn("own", F.when(inside, within).otherwise(F.col("linked") + within))
+    met = F.sequence(F.when(inside, F.col("linked")).otherwise(F.lit(0)), F.col("linked") + F.col("others") - 1)
+    rest = rest.withColumn("met", F.explode(met))
+    route = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
+    return rest.select(route.alias("route"), "cls", "component", (F.col("own") > F.col("met")).cast("int").alias("side"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (first of its component)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -265,18 +294,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = written(_links(close, texts, words, percent), "links")
     label = components(links)
 
-    placed = bucket.select("key", "cls", "size").join(label.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.select("key", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    # still open: several components; of buckets with the same members one is enough
-    content = [F.sum(F.pmod(F.xxhash64("cls", F.lit(k)), F.lit(1 << 40))).alias(f"m{k}") for k in (0, 1)]
-    ends = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")]
-    open_keys = placed.groupBy("key").agg(*content, *ends).where("lo <> hi").groupBy("m0", "m1", "size").agg(F.min("key").alias("key"))
-    rest = placed.drop("size").join(open_keys.select("key", "size"), "key").join(sigs, "cls")
-    # every member meets every block of its bucket, in its own block's row or column
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    route = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
-    rest = rest.select(route.alias("route"), "cls", "component", (F.col("own") > F.col("met")).cast("int").alias("side"), "sig")
+    placed = bucket.select("key", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    rest = _routes(placed.select("key", "cls", F.coalesce("component", "cls").alias("component"))).join(sigs, "cls")
+    rest = rest.select("route", "cls", "component", "side", "sig")
     schema = "route bigint, cls bigint, component bigint, side int, sig binary"
     near = written(rest.repartition("route").sortWithinPartitions("route").mapInArrow(_close, schema), "near")
     near = near.join(texts, "cls").select("route", "cls", "component", "side", "sig", "text")

@@ -62,6 +62,33 @@ def test_components_match_all_pairs(make_docs, monkeypatch, seed, block):
     assert sorted((null(r.doc_id), r.n_shingles, null(r.component_id), r.kept) for r in got) == brute(rows, 4)
 
 
+def test_members_of_different_components_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(8)
+    placed = [(key, cls, rng.choice([1, 1, 1, 1, 2, 3, 50 + cls])) for key in range(6) for cls in rng.sample(range(100), 30)]
+    placed += [(7, c, 1) for c in range(20)]  # settled
+    placed += [(8, cls, component) for key, cls, component in placed if key == 0]  # the members of another bucket
+    routes = minhash._routes(spark.createDataFrame(placed, "key bigint, cls bigint, component bigint")).collect()
+    tasks = {}
+    for r in routes:
+        tasks.setdefault(r.route, ([], []))[r.side].append((r.cls, r.component))
+    met = []
+    for left, right in tasks.values():
+        pairs = [(a, b) for a in left for b in right] if right else [(a, b) for i, a in enumerate(left) for b in left[:i]]
+        met += [tuple(sorted((a[0], b[0]))) for a, b in pairs if a[1] != b[1]]
+        assert len(left) < 30 and len(right) < 30
+    want = []
+    for key in range(6):
+        members = [(cls, component) for k, cls, component in placed if k == key]
+        want += [tuple(sorted((a[0], b[0]))) for i, a in enumerate(members) for b in members[:i] if a[1] != b[1]]
+    assert sorted(met) == sorted(want)
+
+
+def test_a_large_open_bucket_has_few_rows_a_member(spark):
+    member = spark.range(100_000).selectExpr("1L as key", "id as cls", "CASE WHEN id < 95000 THEN 0 ELSE id div 1000 END as component")
+    assert minhash._routes(member).count() < 20 * 100_000
+
+
 def test_stage_keeps_the_rows_of_the_smallest_id(make_docs):
     text = " ".join(f"v{i}" for i in range(60))
     rows = [(4, text), (2, text), (9, text + " more"), (5, "something else entirely here now"), (6, None), (7, "")]
