@@ -43,6 +43,7 @@ HOT_ROWS = 20_000
 HOT_GRAMS = 100_000
 ROWS_PER_TASK = 100_000
 SETTLED = 4
+COMPARED_ROWS = 10_000
 _COUNT = 24  # low bits of a packed position hold the local count
 
 Arrow = Iterator[pa.RecordBatch]
@@ -241,11 +242,17 @@ def window_rows(docs: DataFrame, anchors: DataFrame, windows: Windows, as_hashes
         leader[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
         is_lead = np.zeros(len(order), bool)
         is_lead[order[lead]] = True
+        bodies = pa.concat_arrays([p[5] for p in parts])
+        follows = np.flatnonzero(~is_lead)
+        for lo in range(0, len(follows), COMPARED_ROWS):  # equal hashes, equal items
+            some = follows[lo : lo + COMPARED_ROWS]
+            alike = pc.equal(bodies.take(pa.array(some)), bodies.take(pa.array(leader[some])))
+            is_lead[some] = ~alike.to_numpy(zero_copy_only=False)
         same = (doc == doc[leader]) & (uid == uid[leader]) & (start == start[leader])
         number = pa.Array.from_buffers(
             pa.binary(SETTLED), len(count), [None, pa.py_buffer(count.astype("<i4"))]
         ).cast(pa.binary())
-        body = pc.if_else(pa.array(is_lead), pa.concat_arrays([p[5] for p in parts]), number)
+        body = pc.if_else(pa.array(is_lead), bodies, number)
         even = _text.mix(uid.view(np.uint64) + start.astype(np.uint64))
         out = _batch({"route": np.where(is_lead, route, even).view(np.int64), "doc_id": doc, "uid": uid, "start": start, "body": body})
         return out.filter(pa.array(is_lead | ~same))

@@ -7,14 +7,16 @@ The index is spread over buckets by a gram of the suffix (``_anchored``): a
 string and its earlier occurrence always share a bucket, and only strings whose
 gram repeats in the corpus travel at all.  In its bucket a task takes the texts
 in order, batch by batch.  A new batch gets a suffix array: the starts of its
-candidate strings, ordered by the fingerprint of the ``length`` bytes that
-follow (the scan asks for equal prefixes of that length only, so any fixed order
-of prefixes serves, and one number per suffix is kept instead of its bytes).
-The array is merge-scanned against the existing levels; a suffix found there
-has an earlier match, one equal to its neighbour in the new array has an earlier
-match in the batch.  What is new becomes a level, and while the last two levels
-are of about equal size they are merged, so n batches leave at most log2(n)
-levels and each suffix is merged log2(n) times.
+candidate strings, ordered by a fingerprint of the ``length`` bytes that follow
+(the scan asks for equal prefixes of that length only, so any fixed order of
+prefixes serves).  The array is merge-scanned against the existing levels; a
+suffix found there has an earlier match, one equal to its neighbour in the new
+array has an earlier match in the batch.  Fingerprints only bring candidates
+together: their bytes are compared, and strings that share a fingerprint but
+differ are told apart by content.  What is new becomes a level, a suffix array
+with the bytes that it points into, and while the last two levels are of about
+equal size they are merged, so n batches leave at most log2(n) levels and each
+suffix is merged log2(n) times.
 
 Edge cases: null texts are empty; texts shorter than ``length`` stay whole; null
 ids come first; rows equal in id and text count as one row listed several times
@@ -25,6 +27,9 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,39 +43,90 @@ GRAM = 24
 HELD_BYTES = 12 << 20
 
 
+def _fingerprints(text: np.ndarray, length: int) -> np.ndarray:
+    return _text.grams(text.astype(np.uint64) + np.uint64(1), length)
+
+
+@dataclass
+class Level:
+    """A suffix array: fingerprints in order, where each suffix starts, and the bytes it starts in."""
+
+    prints: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+
+    def merged(self, later: Level) -> Level:
+        prints = np.concatenate((self.prints, later.prints))
+        order = np.argsort(prints, kind="stable")  # merges the two runs
+        at = np.concatenate((self.at, later.at + len(self.text)))
+        return Level(prints[order], at[order], np.concatenate((self.text, later.text)))
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes of ``a`` from each of ``at`` are those of ``b`` from ``to``."""
+    unit = min(length, 8)
+    kind = np.dtype((np.void, unit)) if unit < 8 else np.dtype("<u8")
+    wide_a, wide_b = (np.ndarray((max(len(x) - unit + 1, 0),), kind, np.ascontiguousarray(x), strides=(1,)) for x in (a, b))
+    out = np.ones(len(at), bool)
+    for step in {*range(0, length - unit, unit), length - unit}:
+        out &= wide_a[at + step] == wide_b[to + step]
+    return out
+
+
 class SuffixFamily:
-    """Levels of sorted suffix fingerprints whose sizes shrink geometrically."""
+    """Levels of suffixes, equal ones once, whose sizes shrink geometrically."""
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
+    def __init__(self, length: int, prints: Callable[[np.ndarray, int], np.ndarray] = _fingerprints):
+        self.length, self.prints = length, prints
+        self.levels: list[Level] = []
+        #: strings whose fingerprint belongs to another string
+        self.others: set[bytes] = set()
 
-    def add(self, prints: np.ndarray) -> np.ndarray:
-        """Take in a batch (in text order); which of its suffixes have an earlier equal one."""
+    def add(self, text: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Take in the suffixes of a batch that start at ``where``, in text order; which have an earlier equal one."""
+        prints = self.prints(text, self.length)[where]
         order = np.argsort(prints, kind="stable")
         array = prints[order]
         lead = np.append(True, array[1:] != array[:-1]) if len(array) else np.zeros(0, bool)
-        distinct = array[lead]
+        distinct, first = array[lead], where[order[lead]]
+        group = np.empty(len(prints), np.int64)
+        group[order] = np.cumsum(lead) - 1
         known = np.zeros(len(distinct), bool)
+        same = np.ones(len(prints), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, distinct), len(level) - 1)
-            known |= level[at] == distinct
-        self._push(distinct[~known])
-        earlier = np.empty(len(prints), bool)
-        earlier[order] = ~lead | known[np.cumsum(lead) - 1]
+            at = np.minimum(np.searchsorted(level.prints, distinct), len(level.prints) - 1)
+            here = level.prints[at] == distinct
+            known |= here
+            mine = np.flatnonzero(here[group])
+            same[mine] = _equal(text, where[mine], level.text, level.at[at[group[mine]]], self.length)
+        earlier = known[group]
+        follows = np.ones(len(prints), bool)
+        follows[order[lead]] = False
+        mine = np.flatnonzero(follows & ~earlier)
+        same[mine] = _equal(text, where[mine], text, first[group[mine]], self.length)
+        earlier = (earlier | follows) & same
+        for i in np.flatnonzero(~same).tolist():
+            string = text[where[i] : where[i] + self.length].tobytes()
+            earlier[i] = string in self.others
+            self.others.add(string)
+        self._push(distinct[~known], first[~known], text)
         return earlier
 
-    def _push(self, level: np.ndarray) -> None:
-        if len(level):
-            self.levels.append(level)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
+    def _push(self, prints: np.ndarray, at: np.ndarray, text: np.ndarray) -> None:
+        if len(prints):
+            # of the batch's bytes those that a new suffix covers
+            step = np.zeros(len(text) + 1, np.int64)
+            step[at] += 1
+            np.subtract.at(step, at + self.length, 1)
+            held = np.cumsum(step[:-1]) > 0
+            self.levels.append(Level(prints, (np.cumsum(held) - 1)[at], text[held]))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1].prints) > len(self.levels[-2].prints):
             last = self.levels.pop()
-            merged = np.concatenate((self.levels.pop(), last))
-            merged.sort(kind="stable")  # merges the two runs
-            self.levels.append(merged)
+            self.levels.append(self.levels.pop().merged(last))
 
 
 def _resolve(batches: Arrow, length: int) -> Arrow:
-    family, before = SuffixFamily(), None
+    family, before = SuffixFamily(length), None
     for batch in batches:
         batch, uid, start = _anchored.settled(batch)
         own, doc, at = (batch.column(c).to_numpy() for c in ("uid", "doc_id", "start"))
@@ -90,10 +146,9 @@ def _resolve(batches: Arrow, length: int) -> Arrow:
         while lo < len(size):  # bounded pieces of the batch, each a new batch of the index
             base = int(ends[lo - 1]) if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, base + _text.SLICE_BYTES, side="right")))
-            prints = _text.grams(buf[base : int(ends[hi - 1])].astype(np.uint64) + np.uint64(1), length)
             count = size[lo:hi] - length + 1
             where = _text.expand(np.append(0, ends[lo : hi - 1] - base), count)
-            earlier = family.add(prints[where])
+            earlier = family.add(buf[base : int(ends[hi - 1])], where)
             found[0].append(np.repeat(own[lo:hi], count)[earlier])
             found[1].append(_text.expand(at[lo:hi], count)[earlier])
             lo = hi

@@ -71,18 +71,31 @@ def test_levels_double():
     assert substring_dedup.levels(7) == [7]
 
 
-def test_family_levels_stay_geometric():
-    rng = np.random.default_rng(3)
-    family, seen = suffix_dedup.SuffixFamily(), set()
-    for _ in range(64):
-        batch = rng.integers(0, 5000, 100, dtype=np.uint64)
-        earlier = family.add(batch)
-        for value, flag in zip(batch.tolist(), earlier.tolist()):
-            assert flag == (value in seen)
-            seen.add(value)
-        sizes = [len(x) for x in family.levels]
+@pytest.mark.parametrize("length", [3, 8, 12, 20])
+@pytest.mark.parametrize("bits", [64, 4, 0])
+def test_family_levels_stay_geometric(length, bits):
+    """Bytes decide, whatever the fingerprints tell apart; levels at least halve and hold each fingerprint once."""
+    rng = np.random.default_rng(length)
+
+    def prints(text, n):
+        return suffix_dedup._fingerprints(text, n) & np.uint64((1 << bits) - 1)
+
+    family, seen, known = suffix_dedup.SuffixFamily(length, prints), set(), set()
+    assert len(family.add(np.zeros(0, np.uint8), np.zeros(0, np.int64))) == 0
+    for _ in range(48):
+        text = rng.integers(97, 99 if length > 3 else 105, 100, dtype=np.uint8)
+        where = np.flatnonzero(rng.random(100 - length + 1) < 0.7)
+        earlier = family.add(text, where)
+        known.update(prints(text, length)[where].tolist())
+        for at, flag in zip(where.tolist(), earlier.tolist()):
+            string = text[at : at + length].tobytes()
+            assert flag == (string in seen)
+            seen.add(string)
+        sizes = [len(x.prints) for x in family.levels]
         assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
-    assert sorted(np.concatenate(family.levels).tolist()) == sorted(seen)
+    assert sorted(np.concatenate([x.prints for x in family.levels]).tolist()) == sorted(known)
+    held = {x.text[at : at + length].tobytes() for x in family.levels for at in x.at.tolist()}
+    assert held | family.others == seen and not held & family.others
 
 
 def test_query_digest_is_of_the_kept_text(make_docs):
