@@ -51,6 +51,9 @@ _PRE_TOKEN = re.compile(
     "|[^a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+"
 )
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
+#: The byte-level symbols of a pre-token's bytes: printable Latin-1 as itself, the others from U+0100 on.
+_AS_ITSELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SYMBOLS = {b: 0x100 + i for i, b in enumerate(sorted({*range(256)} - _AS_ITSELF))}
 _PROBES = ("", "  A b\tC\r\nd ", "don't it's x'LL", "é ́x Å", "a b　c d\x85e\x1cf", "<|endoftext|>x <|startoftext|> y", "中文 \U0001f600!?", "1 22 333 ΣΣ İ", "Ünï-Çødé÷x, 'TIS ½x²! it'S_x")
 
 
@@ -108,11 +111,10 @@ class Encoder:
 
     def __init__(self, model: str, table_chunks: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.model = self.tokenizer.model
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = table_chunks
         self.chunks, self.pieces = _Table(self._chunk), _Table(self._piece)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
@@ -132,15 +134,17 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token."""
-        symbols = piece if piece.isascii() else self.as_bytes.pre_tokenize_str(piece)[0][0]
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SYMBOLS)
         return array("i", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of one white-space-delimited chunk."""
+        if chunk.isascii() and chunk.isalpha():  # one pre-token
+            return self.pieces[chunk.lower()]
         if not chunk.isascii() and _BEYOND_LATIN.search(chunk) or not chunk.isprintable() or "<|" in chunk:
             return array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         low = chunk.lower()
-        if low.isalpha():  # one pre-token
+        if low.isalpha():
             return self.pieces[low]
         return b"".join(map(self.pieces.__getitem__, _PRE_TOKEN.findall(low)))
 
@@ -150,6 +154,9 @@ class Encoder:
         self.pieces.trim(2 * self.limit)
         out, of = [], self.chunks.__getitem__
         for text in texts:
+            # lower case is chunk by chunk among Latin-1 characters, and chunks that differ in case alone are one
+            if "<|" not in text and (text.isascii() or not _BEYOND_LATIN.search(text)):
+                text = text.lower()
             for c in _SPACES:
                 text = text.replace(c, " ")
             out.append(b"".join(map(of, text.split(" "))))

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stockline.llm import bestfit_packing as bp
+from stockline.llm import token_pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -87,3 +88,15 @@ def test_open_bins_against_a_search_of_all_bins():
             assert bins.bits == sum(1 << f for f in {30 - sum(b) for b in plain})
         assert closed == wanted
         assert sorted(30 - f for f, _ in bins.rest()) == sorted(map(sum, plain))
+
+
+def test_words_that_differ_in_case_alone_are_tokenised_once():
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_pack.Encoder(f.read(), 100)
+    encoder.chunks.clear()
+    texts = ["Word wORD\tword ÀÉ àé", "KİΣ Word ΑΣ", "<|endoftext|> Word Word's", "¡Þ\xad×\x85Ÿ \xa0Ð"]
+    found = [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)]
+    assert found == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.chunks.clear()
+    encoder.encode(texts[:1])
+    assert sorted(encoder.chunks) == ["word", "àé"]
