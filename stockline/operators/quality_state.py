@@ -120,7 +120,9 @@ def evaluate(state: QualityState) -> DataFrame:
 
     parents = spark.createDataFrame([(rule_id, _pk_rule(parent)) for rule_id, _, _, parent, _ in FOREIGN_KEYS], "rule_id string, parent string")
     wanted = sizes.where(F.col("rule_id").startswith("fk.") & ~empty).join(F.broadcast(parents), "rule_id")  # one row per rule
-    known = sizes.where(primary).select(F.col("rule_id").alias("parent"), "key")
+    # the keys of the tables that are referred to; a fact's own keys are as many as its rows
+    referred = sorted({_pk_rule(parent) for _, _, _, parent, _ in FOREIGN_KEYS})
+    known = sizes.where(F.col("rule_id").isin(referred)).select(F.col("rule_id").alias("parent"), "key")
     orphans = wanted.join(known, ["parent", "key"], "left_anti").groupBy("rule_id").agg(F.sum("n").alias("n"))
 
     broken = state.counts.where(~F.col("rule_id").startswith("rows.")).groupBy("rule_id").agg(F.sum("n").alias("n"))

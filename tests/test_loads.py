@@ -69,6 +69,17 @@ def test_a_load_saved_twice_counts_once_and_only_loads_are_read(spark, faulty):
     assert all("/load=" in f for f in quality_state.read(spark, root).keys.inputFiles())
 
 
+def test_only_keys_of_tables_referred_to_are_joined(spark, faulty, capsys):
+    root = _tmp()
+    quality_state.save(quality_state.measure(faulty), root, "all")
+    capsys.readouterr()
+    quality_state.evaluate(quality_state.read(spark, root)).explain("formatted")
+    scans = [x for x in capsys.readouterr().out.split("\n") if "PushedFilters" in x and "rule_id" in x]
+    referred = [x for x in scans if "pk.products.product_id" in x]
+    assert referred and all("pk.weekly_sales" not in x for x in referred)
+    assert not any("StringStartsWith(rule_id,pk.)" in x and "Not(" not in x for x in scans)
+
+
 def test_state_of_empty_tables(spark, faulty):
     empty = replace(faulty, **{n: df.limit(0) for n, df in faulty.frames().items()})
     assert _rows(quality_state.evaluate(quality_state.measure(empty))) == _rows(quality.dq_summary(empty))
