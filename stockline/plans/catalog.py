@@ -230,21 +230,22 @@ def ridge_two_loads(t: Tables) -> DataFrame:
     return found.select(*[c if c in (*FORECAST_GRAIN, "n_obs") else round_half_up(c, 4).alias(c) for c in found.columns])
 
 
-def _bucketed(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+def _bucketed(fn: Callable[[Tables], DataFrame]) -> Query:
     """A query over the bucketed layout, written for it under names of its own."""
 
-    def run(t: Tables) -> DataFrame:
-        spark = t.products.sparkSession
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = scratch_path(spark, "bucketed")
         prefix = root.rsplit("/", 1)[-1].replace("-", "_")
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        t = mart.build_dealt(spark, sf_dir, buckets)
         bucketed.write(t, root, prefix, buckets)
         return fn(bucketed.read(spark, root, prefix, buckets, t.as_of))
 
+    run.__doc__ = fn.__doc__
     return run
 
 
-#: Queries on state that is kept and added to, load by load, and on the bucketed layout.
+#: Queries on state that is kept and added to, load by load.
 LOAD_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "dq_two_loads": dq_two_loads,
     "safety_stock_two_loads": _on_rollup(rollup.safety_stock_by_position),
@@ -252,10 +253,14 @@ LOAD_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "last_n_mean_two_loads": _on_rollup(rollup.last_n_mean_demand),
     "ridge_two_loads": ridge_two_loads,
     "forecast_future_two_loads": lambda t: _stored_forecast(t).future,
+}
+
+#: Queries on the bucketed layout, which is built from the source tables without the snapshot.
+BUCKETED_QUERIES: dict[str, Query] = {
     "inventory_health_bucketed": _bucketed(inventory.inventory_health),
     "dq_unique_bucketed": _bucketed(_dq_family("unique")),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {key: _on_tables(fn) for key, fn in (SPARK_QUERIES | LOAD_QUERIES).items()}
+    return {key: _on_tables(fn) for key, fn in (SPARK_QUERIES | LOAD_QUERIES).items()} | BUCKETED_QUERIES

@@ -12,6 +12,9 @@ sizes: if the largest bucket of a table has more than ``SKEW`` times the mean,
 that table is read as plain files instead, cut by size, and its aggregates are
 combined before an ordinary exchange.
 
+A table that comes in as many parts by the same columns (``stage`` keeps rows in
+that order between two jobs) is written as it lies, without an exchange.
+
 The bucket specification lives in the session's catalog; ``register`` makes the
 tables known to another session from the folder alone.
 """
@@ -42,6 +45,14 @@ def _laid_out(name: str, df: DataFrame) -> DataFrame:
     return df.drop(SALES_PARTITION).withColumn(SALES_PARTITION, F.trunc("week_start", "month"))
 
 
+def stage(df: DataFrame, path: str, buckets: int, columns: tuple[str, ...]) -> DataFrame:
+    """``df`` written under ``path``, dealt by ``columns``, and read from there with its buckets known."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    out = df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns)
+    out.format("parquet").mode("errorifexists").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write(tables: Tables, root: str, prefix: str, buckets: int) -> None:
     """Write all tables under ``root`` and register them as ``{prefix}_{table}``."""
     root = root.rstrip("/")

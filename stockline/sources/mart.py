@@ -15,6 +15,10 @@ nation chain is resolved once per order, so the large lineitem side joins a
 single (orderkey -> warehouse) relation; the fact aggregation for sales runs
 before the product attributes are attached, so the part join sees one row per
 (week, part, warehouse) instead of one per line.
+
+For the bucketed layout the lines are dealt by (part, warehouse) once, narrow as
+they are (``build_dealt``); sales, batches and orders come out of that deal and
+keep it, so the layout's writer moves no wide fact row.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..tables import Tables
-from . import files
+from . import bucketed, files
 from .stores import fingerprint
 
 # Fixed values of the projection.
@@ -68,16 +72,20 @@ LINE_COLUMNS = (
 )
 
 
-def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage_dir: str | None = None) -> Tables:
+def build_tables(
+    spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage_dir: str | None = None, deal: int | None = None
+) -> Tables:
     """Lazy projection; nothing runs until an operator's result is evaluated.
 
     ``stage_dir`` (a folder in shared storage) makes the lineitem -> order ->
     customer -> nation join run once: its narrow result is written there and
     the three fact tables are derived from that file instead of each
     repeating the large join (use it when all tables are written, as in a
-    publish).
+    publish).  With ``deal`` that file has as many buckets by (part, warehouse),
+    which the facts keep; see ``build_dealt``.
     """
-    lineitem = _read(spark, sf_dir, "lineitem")
+    # the day is taken before the join: it is smaller to move than the time
+    lineitem = _read(spark, sf_dir, "lineitem").withColumn("d", F.to_date("l_shipdate"))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation (25 rows) and region (5 rows) have a fixed size: safe to broadcast.
@@ -121,19 +129,22 @@ def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", F.col("n_regionkey").alias("warehouse_id"))
     )
-    lines = lineitem.join(order_warehouse, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
-        "d", F.to_date("l_shipdate")
-    )
-    if stage_dir:
+    lines = lineitem.join(order_warehouse, F.col("l_orderkey") == F.col("o_orderkey"))
+    of_line = products
+    if stage_dir and deal:
+        lines = bucketed.stage(lines.select(*LINE_COLUMNS), stage_dir, deal, ("l_partkey", "warehouse_id"))
+        # a product once per warehouse joins the dealt lines on the keys they are dealt by
+        of_line = products.crossJoin(F.broadcast(nation.select(F.col("n_regionkey").alias("warehouse_id")).distinct())).hint("merge")
+    elif stage_dir:
         lines.select(*LINE_COLUMNS).write.mode("overwrite").parquet(stage_dir)
         lines = spark.read.parquet(stage_dir)
+    keys = [c for c in bucketed.COLUMNS if c in of_line.columns]
+    lines = lines.withColumn("product_id", F.col("l_partkey"))
 
-    weekly_sales = _weekly_sales(lines, products)
-    part_attrs = products.select("product_id", "unit_cost", "lead_time_days", F.col("lead_time_days").alias("_lead"))
+    weekly_sales = _weekly_sales(lines, of_line.select(*keys, "unit_price"), keys)
+    part_attrs = of_line.select(*keys, "unit_cost", "lead_time_days", F.col("lead_time_days").alias("_lead"))
     size = F.col("_lead") - LEAD_BASE_DAYS
-    batch_lines = lines.where(F.col("l_returnflag") == "N").join(
-        part_attrs, F.col("l_partkey") == F.col("product_id")
-    )
+    batch_lines = lines.where(F.col("l_returnflag") == "N").join(part_attrs, keys)
     safety = F.lit(SAFETY_BASE) + F.col("l_partkey") % SAFETY_MOD
     inventory_batches = batch_lines.select(
         _line_key().alias("batch_id"),
@@ -149,7 +160,7 @@ def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage
         safety.cast("bigint").alias("safety_stock"),
         F.lit(as_of).alias("last_count_date"),
     )
-    purchase_orders = _purchase_orders(lines, part_attrs, as_of)
+    purchase_orders = _purchase_orders(lines, part_attrs, keys, as_of)
     return Tables(
         suppliers=suppliers,
         products=products,
@@ -161,14 +172,14 @@ def build_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF, stage
     )
 
 
-def _weekly_sales(lines: DataFrame, products: DataFrame) -> DataFrame:
+def _weekly_sales(lines: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
     lost_line = F.when(
         F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") * F.col("l_discount"))
     ).otherwise(F.lit(0))
     weekly = (
         lines.select(
             F.trunc("d", "week").alias("week_start"),
-            F.col("l_partkey").alias("product_id"),
+            "product_id",
             "warehouse_id",
             "l_quantity",
             lost_line.alias("_lost"),
@@ -179,13 +190,12 @@ def _weekly_sales(lines: DataFrame, products: DataFrame) -> DataFrame:
             F.sum("_lost").cast("bigint").alias("lost_sales_units"),
         )
     )
-    prices = products.select("product_id", "unit_price")
     sold = F.col("demand_units") - F.col("lost_sales_units")
     # Deterministic surrogate key: recomputation after executor loss yields the
     # same ids (monotonically_increasing_id would not).  The parts have fields of
     # their own; keys too large for them overflow, which is an error in ANSI mode.
     week_number = F.floor(F.datediff("week_start", F.lit(dt.date(1970, 1, 5))) / 7)
-    return weekly.join(prices, "product_id").select(
+    return weekly.join(prices, keys).select(
         ((F.col("product_id") * 65536 + F.col("warehouse_id")) * 65536 + week_number).cast("bigint").alias("sales_id"),
         "week_start",
         "product_id",
@@ -197,10 +207,8 @@ def _weekly_sales(lines: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def _purchase_orders(lines: DataFrame, part_attrs: DataFrame, as_of: dt.date) -> DataFrame:
-    po_lines = lines.where(F.col("l_returnflag").isin("A", "R")).join(
-        part_attrs, F.col("l_partkey") == F.col("product_id")
-    )
+def _purchase_orders(lines: DataFrame, part_attrs: DataFrame, keys: list[str], as_of: dt.date) -> DataFrame:
+    po_lines = lines.where(F.col("l_returnflag").isin("A", "R")).join(part_attrs, keys)
     lead = F.col("_lead")
     open_cutoff = F.date_sub(F.lit(as_of), F.floor(lead * OPEN_WINDOW_PCT / 100).cast("int"))
     status = (
@@ -237,6 +245,20 @@ def _purchase_orders(lines: DataFrame, part_attrs: DataFrame, as_of: dt.date) ->
     )
 
 
+def build_dealt(spark: SparkSession, sf_dir: str, buckets: int) -> Tables:
+    """The projected tables, each fact dealt into ``buckets`` by (product, warehouse).
+
+    The lines, narrower than the facts made of them, cross the network once to
+    their bucket; no snapshot is written.  Products are joined on (product,
+    warehouse) there, one row per warehouse, so the facts stay where they are.
+    A nation without a region gives lines without warehouse, which no such row
+    matches: then products are joined by product alone and the facts moved.
+    """
+    nation = _read(spark, sf_dir, "nation")
+    whole = nation.where(F.col("n_regionkey").isNull()).isEmpty()
+    return build_tables(spark, sf_dir, stage_dir=scratch_path(spark, "lines"), deal=buckets if whole else None)
+
+
 #: Source tables of the projection, in the order of their first use.
 SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 

@@ -265,3 +265,55 @@ def test_a_hot_position_is_read_by_size_instead(spark, laid_out, monkeypatch):
     assert "Exchange hashpartitioning" in _plan(inventory.stock_position(b))
     assert "Exchange hashpartitioning" not in _plan(inventory.open_on_order(b))
     assert b.inventory_batches.count() == skewed.inventory_batches.count()
+
+
+def _star(spark, regions=(0, 1)):
+    """Source tables of a few orders, under a fresh folder: a part twice, a line without part, nations of these regions."""
+    root, day = _tmp(), dt.datetime(2001, 10, 1)
+    tables = {
+        "region": (("r_regionkey int", "r_name string"), [(0, "EAST"), (1, "WEST")]),
+        "nation": (("n_nationkey int", "n_name string", "n_regionkey int"), [(i, f"N{i}", r) for i, r in enumerate(regions)]),
+        "supplier": (("s_suppkey bigint", "s_name string", "s_nationkey int"), [(1, "S1", 0), (2, "S2", 1)]),
+        "customer": (("c_custkey bigint", "c_nationkey int"), [(i, i % len(regions)) for i in range(4)]),
+        "part": (("p_partkey bigint", "p_name string", "p_brand string", "p_type string", "p_size int", "p_retailprice double"),
+                 [(p, f"P{p}", "B", "T", p, 10.5 * n) for p, n in ((1, 1), (2, 1), (2, 2), (3, 1), (3, 1))]),
+        "orders": (("o_orderkey bigint", "o_custkey bigint"), [(o, o % 4) for o in range(30)]),
+        "lineitem": (("l_orderkey bigint", "l_partkey bigint", "l_suppkey bigint", "l_linenumber int", "l_quantity double",
+                      "l_discount double", "l_tax double", "l_returnflag string", "l_shipdate timestamp_ntz"),
+                     [(i % 30, i % 5 or None, 1 + i % 2, i % 7, 1.0 + i % 9, 0.1, 0.01 * (i % 8), "NAR"[i % 3], day + dt.timedelta(days=i % 40, hours=i % 24))
+                      for i in range(240)]),
+    }
+    for name, (columns, rows) in tables.items():
+        spark.createDataFrame(rows, ", ".join(columns)).write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+@pytest.mark.parametrize("regions", [(0, 1), (0, 1, 1, 0), (0, None)])
+def test_dealt_facts_are_the_projected_ones(spark, regions):
+    from stockline.sources import mart
+
+    root = _star(spark, regions)
+    plain, dealt = mart.build_tables(spark, root), mart.build_dealt(spark, root, 6)
+    for name, df in plain.frames().items():
+        got = dealt.frames()[name]
+        assert got.schema.simpleString() == df.schema.simpleString(), name
+        assert _rows(got) == _rows(df) and df.count(), name
+
+
+def test_the_layout_moves_no_dealt_fact(spark):
+    from stockline.sources import mart
+
+    t = mart.build_dealt(spark, _star(spark), 6)
+    for name in bucketed.FACTS:
+        plan = _plan(t.frames()[name].repartition(6, *bucketed.COLUMNS))
+        # the products' rows only, the few distinct warehouses aside
+        assert plan.count("Exchange hashpartitioning(product_id") == 1 and "hashpartitioning(l_partkey" not in plan, plan
+        assert "SelectedBucketsCount: 6 out of 6" in plan, plan
+
+
+@pytest.mark.parametrize("key", ["dq_unique_bucketed", "inventory_health_bucketed"])
+def test_bucketed_queries_on_dealt_facts(spark, key):
+    from stockline.plans import catalog
+
+    root, found = _star(spark), catalog.queries()
+    assert _rows(found[key](spark, root)) == _rows(found[key.removesuffix("_bucketed")](spark, root))
