@@ -36,6 +36,7 @@ from .stores import file_sizes
 FACTS = ("weekly_sales", "inventory_batches", "purchase_orders")
 COLUMNS = ("product_id", "warehouse_id")
 SKEW = 4.0
+CODEC = "zstd"
 _BUCKET = re.compile(r"_(\d+)\.c\d+\.")
 
 
@@ -49,7 +50,7 @@ def stage(df: DataFrame, path: str, buckets: int, columns: tuple[str, ...]) -> D
     """``df`` written under ``path``, dealt by ``columns``, and read from there with its buckets known."""
     name = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
     out = df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns)
-    out.format("parquet").mode("errorifexists").option("path", path).saveAsTable(name)
+    out.format("parquet").option("compression", CODEC).mode("errorifexists").option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -64,7 +65,8 @@ def write(tables: Tables, root: str, prefix: str, buckets: int) -> None:
             out = out.partitionBy(SALES_PARTITION) if name == "weekly_sales" else out
         else:
             out = df.write
-        out.format("parquet").mode("errorifexists").option("path", f"{root}/{name}").saveAsTable(target)
+        out = out.format("parquet").option("compression", CODEC).mode("errorifexists")
+        out.option("path", f"{root}/{name}").saveAsTable(target)
 
 
 def register(spark: SparkSession, root: str, prefix: str, buckets: int, schemas: dict[str, T.StructType]) -> None:

@@ -66,9 +66,10 @@ def _line_key() -> Column:
     )
 
 
+# Columns of few values first and side by side: a shuffle's compression then covers several with one match.
 LINE_COLUMNS = (
-    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-    "l_returnflag", "d", "warehouse_id",
+    "warehouse_id", "l_returnflag", "l_quantity", "l_linenumber", "lost", "early", "d",
+    "l_orderkey", "l_partkey", "l_suppkey",
 )
 
 
@@ -84,8 +85,7 @@ def build_tables(
     publish).  With ``deal`` that file has as many buckets by (part, warehouse),
     which the facts keep; see ``build_dealt``.
     """
-    # the day is taken before the join: it is smaller to move than the time
-    lineitem = _read(spark, sf_dir, "lineitem").withColumn("d", F.to_date("l_shipdate"))
+    lineitem = _line_values(_read(spark, sf_dir, "lineitem"))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation (25 rows) and region (5 rows) have a fixed size: safe to broadcast.
@@ -172,22 +172,28 @@ def build_tables(
     )
 
 
+def _line_values(lineitem: DataFrame) -> DataFrame:
+    """The lines with what the facts need of them; day, lost units and punctuality are smaller to move than their sources."""
+    lost = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") * F.col("l_discount"))).otherwise(F.lit(0))
+    valued = lineitem.withColumns(
+        {"d": F.to_date("l_shipdate"), "lost": lost, "early": F.col("l_tax") <= EARLY_TAX_LIMIT}
+    )
+    return valued.select(*[c for c in LINE_COLUMNS if c != "warehouse_id"])
+
+
 def _weekly_sales(lines: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
-    lost_line = F.when(
-        F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") * F.col("l_discount"))
-    ).otherwise(F.lit(0))
     weekly = (
         lines.select(
             F.trunc("d", "week").alias("week_start"),
             "product_id",
             "warehouse_id",
             "l_quantity",
-            lost_line.alias("_lost"),
+            "lost",
         )
         .groupBy("week_start", "product_id", "warehouse_id")
         .agg(
             F.sum("l_quantity").cast("bigint").alias("demand_units"),
-            F.sum("_lost").cast("bigint").alias("lost_sales_units"),
+            F.sum("lost").cast("bigint").alias("lost_sales_units"),
         )
     )
     sold = F.col("demand_units") - F.col("lost_sales_units")
@@ -217,7 +223,7 @@ def _purchase_orders(lines: DataFrame, part_attrs: DataFrame, keys: list[str], a
         .otherwise(F.lit("Delivered"))
     )
     promised = F.date_add("d", lead)
-    offset = F.when(F.col("l_tax") <= EARLY_TAX_LIMIT, -(F.col("l_orderkey") % EARLY_MOD)).otherwise(
+    offset = F.when(F.col("early"), -(F.col("l_orderkey") % EARLY_MOD)).otherwise(
         1 + F.col("l_orderkey") % LATE_MOD
     )
     qty = F.col("l_quantity").cast("bigint")

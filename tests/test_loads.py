@@ -13,6 +13,7 @@ from fixtures import D, tiny_tables
 from stockline.functions import ridge
 from stockline.operators import forecast, inventory, moments, quality, quality_state, rollup
 from stockline.sources import bucketed, files
+from stockline.sources.stores import file_sizes
 
 
 def _tmp() -> str:
@@ -317,3 +318,37 @@ def test_bucketed_queries_on_dealt_facts(spark, key):
 
     root, found = _star(spark), catalog.queries()
     assert _rows(found[key](spark, root)) == _rows(found[key.removesuffix("_bucketed")](spark, root))
+
+
+def test_the_deal_moves_only_what_the_facts_need(spark):
+    from stockline.sources import mart
+
+    t = mart.build_dealt(spark, _star(spark), 6)
+    staged = {c for name in bucketed.FACTS for c in _plan(t.frames()[name]).replace(",", " ").split()}
+    # discount and tax stay with their reader: lost units and punctuality go on
+    assert not any(c.startswith(("l_discount", "l_tax", "l_shipdate")) for c in staged)
+    assert any(c.startswith("lost#") for c in staged) and any(c.startswith("early#") for c in staged)
+
+
+def test_the_layout_is_written_compact(spark, laid_out):
+    t, root = laid_out
+    found = [name for table in t.frames() for name, _ in file_sizes(spark, f"{root}/{table}")]
+    assert found and all(name.endswith(".zstd.parquet") for name in found), found
+    assert all(bucketed.skew(spark, f"{root}/{name}", 6) > 0 for name in bucketed.FACTS)  # buckets are told by these names
+
+
+def test_lost_units_and_punctuality_of_odd_lines(spark):
+    """Lines without flag, quantity, discount or tax keep their reading: nothing lost, delivered late."""
+    from stockline.sources import mart
+
+    root, day = _star(spark), dt.datetime(2001, 1, 1)
+    lines = [(0, 2, 1, 0, 9.0, 0.3, 0.01, "R"), (1, 2, 1, 1, 9.0, 0.3, None, "A"), (2, 2, 1, 2, 9.0, None, 0.06, "R"),
+             (3, 2, 1, 3, None, 0.3, 0.05, "A"), (6, 2, 1, 4, 9.0, 0.3, 0.0, None)]
+    names = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz"
+    spark.createDataFrame([(*x, day) for x in lines], names).write.mode("overwrite").parquet(f"{root}/lineitem.parquet")
+    for t in (mart.build_tables(spark, root), mart.build_dealt(spark, root, 6)):
+        weeks = t.weekly_sales.groupBy("warehouse_id").agg(F.max("demand_units"), F.max("lost_sales_units"))
+        assert _rows(weeks) == [(27, 2, 0), (9, 0, 1)]  # demand, lost, warehouse
+        late = F.datediff("actual_delivery_date", "promised_delivery_date")
+        orders = t.purchase_orders.select(F.element_at(F.split("purchase_order_id", "-"), 2).alias("line"), late.alias("late")).distinct()
+        assert {r.line: r.late for r in orders.collect()} == {"0": None, "1": 2, "2": 3, "3": -3}
